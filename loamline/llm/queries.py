@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loamline.llm.leakage import leaked
+from loamline.llm.mixing import mix
 from loamline.llm.survivorship import surviving_rows, survivors
 from loamline.llm.truncation import truncated, truncation_rates
 from loamline.session import read_table
@@ -28,6 +29,16 @@ def p8_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"), slack=2)
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixed documents, with how often each is used."""
+    return mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncated(read_table(spark, folder, "documents")).select("doc_id")
 
@@ -37,25 +48,25 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_rates(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p8_found, p8_proximity, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p8_found, p8_proximity, p9_mix, p9_shares, p10_found, p10_rates)}
 
 ORACLE = {
     "p3_found": r"""
-WITH files AS (SELECT DISTINCT lower(trim(prod)) AS prod, trim(area) AS area, rpad(regexp_replace(img_datetime, '[^0-9]', '', 'g'), 14, '0') AS at,
+WITH files AS (SELECT DISTINCT lower(trim(prod)) AS prod, trim(area) AS area, rpad(regexp_replace(img_datetime, '[^0-9]', '', 'g'), 14, '0') AS img,
   image_id, list_transform(regexp_extract_all(vers, '\d+'), lambda p: CAST(p AS BIGINT)) AS v, produced_at,
   CASE WHEN trim(orbit_dir) NOT IN ('', 'n/a') THEN orbit_dir END AS orbit_dir, CASE WHEN n_valid <> -9999 THEN n_valid END AS n_valid,
   CASE WHEN NOT isnan(mean_value) AND mean_value <> -9999 THEN mean_value END AS mean_value, CASE WHEN NOT isnan(mean_noise) AND mean_noise <> -9999 THEN mean_noise END AS mean_noise,
   CASE WHEN trim(qc_note) NOT IN ('', 'n/a') THEN qc_note END AS qc_note FROM image_versions),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY prod, area, at ORDER BY coalesce(v[1], 0) DESC, coalesce(v[2], 0) DESC, coalesce(v[3], 0) DESC, coalesce(v[4], 0) DESC, produced_at DESC NULLS LAST, image_id) AS r FROM files),
-groups AS (SELECT prod, area, at, max(CASE WHEN r = 1 THEN image_id END) AS image_id FROM ranked GROUP BY prod, area, at HAVING count(DISTINCT image_id) > 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY prod, area, img ORDER BY coalesce(v[1], 0) DESC, coalesce(v[2], 0) DESC, coalesce(v[3], 0) DESC, coalesce(v[4], 0) DESC, produced_at DESC NULLS LAST, image_id) AS r FROM files),
+groups AS (SELECT prod, area, img, max(CASE WHEN r = 1 THEN image_id END) AS image_id FROM ranked GROUP BY prod, area, img HAVING count(DISTINCT image_id) > 1),
 cells AS (
-  SELECT prod, area, at, r, image_id AS donor_id, 'orbit_dir' AS field_name FROM ranked WHERE orbit_dir IS NOT NULL UNION ALL
-  SELECT prod, area, at, r, image_id, 'n_valid' FROM ranked WHERE n_valid IS NOT NULL UNION ALL
-  SELECT prod, area, at, r, image_id, 'mean_value' FROM ranked WHERE mean_value IS NOT NULL UNION ALL
-  SELECT prod, area, at, r, image_id, 'mean_noise' FROM ranked WHERE mean_noise IS NOT NULL UNION ALL
-  SELECT prod, area, at, r, image_id, 'qc_note' FROM ranked WHERE qc_note IS NOT NULL),
-firsts AS (SELECT prod, area, at, field_name, min(r) AS r FROM cells GROUP BY prod, area, at, field_name)
-SELECT g.image_id, c.field_name, c.donor_id FROM groups g JOIN firsts f ON f.prod = g.prod AND f.area = g.area AND f.at = g.at
-JOIN cells c ON c.prod = f.prod AND c.area = f.area AND c.at = f.at AND c.field_name = f.field_name AND c.r = f.r
+  SELECT prod, area, img, r, image_id AS donor_id, 'orbit_dir' AS field_name FROM ranked WHERE orbit_dir IS NOT NULL UNION ALL
+  SELECT prod, area, img, r, image_id, 'n_valid' FROM ranked WHERE n_valid IS NOT NULL UNION ALL
+  SELECT prod, area, img, r, image_id, 'mean_value' FROM ranked WHERE mean_value IS NOT NULL UNION ALL
+  SELECT prod, area, img, r, image_id, 'mean_noise' FROM ranked WHERE mean_noise IS NOT NULL UNION ALL
+  SELECT prod, area, img, r, image_id, 'qc_note' FROM ranked WHERE qc_note IS NOT NULL),
+firsts AS (SELECT prod, area, img, field_name, min(r) AS r FROM cells GROUP BY prod, area, img, field_name)
+SELECT g.image_id, c.field_name, c.donor_id FROM groups g JOIN firsts f ON f.prod = g.prod AND f.area = g.area AND f.img = g.img
+JOIN cells c ON c.prod = f.prod AND c.area = f.area AND c.img = f.img AND c.field_name = f.field_name AND c.r = f.r
 """,
 }
