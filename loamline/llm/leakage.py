@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,8 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 12, slack: int =
     Passages shorter than ``least`` words can't match.  Repeated documents and items count once; an empty table on
     either side gives an empty result.
     """
+    if least < 3:
+        raise EngineError("a match needs at least three words")
     spark = documents.sparkSession
     known = [(i, w) for i, w in passages(items) if len(w) >= least]
     vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in known for w in ws}))}
@@ -98,15 +101,21 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 12, slack: int =
     for item, ws in known:
         ids = [vocabulary[w] for w in ws]
         terms += [(item, t, at) for at, t in enumerate(ids)]
-        # a window with room for s strange words keeps at least one of its s + 1 rarest terms in every match
+        # a window with room for s strange words keeps at least three of its s + 3 rarest terms in every match
         for start in range(max(1, len(ids) - span + 1)):
             window = range(start, min(start + span, len(ids)))
-            rare = sorted(window, key=lambda at: (frequency.get(ids[at], 0), at))[: slack + 1]
-            firsts |= {(item, ids[at], at) for at in rare}
+            rare = sorted(window, key=lambda at: (frequency.get(ids[at], 0), at))[: slack + 3]
+            firsts |= {(item, *(x for at in three for x in (ids[at], at))) for three in combinations(rare, 3) if all(frequency.get(ids[at]) for at in three)}
     at_items = spark.createDataFrame(terms, "item_id long, term int, at int")
-    anchors = spark.createDataFrame(sorted(firsts), "item_id long, term int, at int")
-    lists = F.broadcast(anchors)  # no more rows than the passages have words
-    candidates = postings.join(lists, "term").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    anchors = spark.createDataFrame(sorted(firsts), "item_id long, term int, at1 int, term2 int, at2 int, term3 int, at3 int")
+    # the lists of the three rarest terms, one after the other, each moved by its offset in the passage;
+    # broadcast: at most (span * (slack + 3) ** 3) rows for each word of the bounded passages
+    candidates = postings.join(F.broadcast(anchors), "term").withColumn("shift", F.col("pos") - F.col("at1"))
+    for n in (2, 3):
+        other = postings.select("doc_id", F.col("term").alias(f"term{n}"), F.col("pos").alias(f"pos{n}"))
+        candidates = candidates.withColumn(f"pos{n}", F.col("shift") + F.col(f"at{n}")).select("doc_id", "item_id", "shift", f"term{n}", f"pos{n}", *(["term3", "at3"] if n == 2 else []))
+        candidates = candidates.join(other, ["doc_id", f"term{n}", f"pos{n}"], "left_semi")
+    candidates = candidates.select("doc_id", "item_id", "shift").distinct()
     expected = candidates.join(F.broadcast(at_items), "item_id").select("doc_id", "item_id", "shift", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
     met = expected.join(postings.distinct(), ["doc_id", "term", "pos"])
     line = Window.partitionBy("doc_id", "item_id", "shift")  # at most as many rows as a passage has words
