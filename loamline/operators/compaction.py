@@ -13,11 +13,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.session import EngineError, cut, work_path
+from loamline.functions.strptime import strptime_parts
+from loamline.session import EngineError, work_path
 
 MISSING_TEXT = ("", "nan", "n/a", "na", "null", "none", "-", "-9999", "-9999.0")
-#: strptime directive -> (regular expression, Java letters)
-DIRECTIVES = {"Y": (r"\d{4}", "yyyy"), "m": (r"\d{2}", "MM"), "d": (r"\d{2}", "dd"), "H": (r"\d{2}", "HH"), "M": (r"\d{2}", "mm"), "S": (r"\d{2}", "ss"), "j": (r"\d{3}", "DDD"), "f": (r"\d{6}", "SSSSSS")}
 READERS_AT_MOST = 10_000
 
 
@@ -43,19 +42,6 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-def strptime_parts(fmt: str) -> tuple[str, str]:
-    """A strptime format as regular expression and as Java date pattern."""
-    regex = java = ""
-    for directive, literal in re.findall(r"%(.)|([^%]+)", fmt):
-        if directive:
-            if directive not in DIRECTIVES:
-                raise EngineError(f"date directive %{directive} is not supported")
-            regex, java = regex + DIRECTIVES[directive][0], java + DIRECTIVES[directive][1]
-        else:
-            regex, java = regex + re.escape(literal), java + re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", literal)
-    return regex, java
-
-
 def template_regex(template: str, fmt: str) -> str:
     """A base-name regular expression for a file-name template; group 1 is the time."""
     parts = re.split(r"(\{datetime\}|\*)", template)
