@@ -1 +1 @@
-"""Structured Streaming variants."""
+"""Structured Streaming variants (extensions: the operators themselves are batch)."""
