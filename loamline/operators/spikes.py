@@ -76,7 +76,7 @@ def features(x: np.ndarray, piece: np.ndarray, brk: np.ndarray, longest: int, le
             low, high = np.minimum(low, nxt), np.maximum(high, nxt)
             end = _shifted(after, piece, -(w - 1))
         v = np.maximum(low - np.maximum(before, end), np.minimum(before, end) - high)
-        v = np.where(np.isnan(v), 0, v)
+        v = np.where(v > np.abs(end - before), v, 0)  # it must return: a rise that only fades stays half way
         for d in range(w):  # every reading of the window
             excursion = np.fmax(excursion, v if d == 0 else np.nan_to_num(_shifted(v, piece, d)))
     step = x - _shifted(x, piece, 1)
@@ -261,7 +261,7 @@ def flag_readings(readings: DataFrame, valid: tuple[float, float] = (0.0, 1.0),
     ``reason`` is ``range`` (outside ``valid``), ``constant`` (at least ``least_run`` present readings in a row with one
     value) or ``spike``: the remainder of the decomposition passes the source's generalised ESD limit (level ``alpha``,
     up to the share ``most`` of readings), and one to ``longest`` readings in a row leave the course before and after
-    them to the same side by more than ``times`` the source's scatter.  Each obs_id comes once per sensor; repeated
+    them to the same side by more than ``times`` the source's scatter, and by more than the course itself has moved.  Each obs_id comes once per sensor; repeated
     deliveries count once; equal times are ordered by obs_id.  Input needs ``sensor`` (smap or smos), gpi, unix, value
     and obs_id; rows with NULL in one of them must be gone (``readings_of`` drops them, but for obs_id).  An empty input
     gives an empty result.  Series of less than three readings have no spikes.
