@@ -137,3 +137,13 @@ def near_stations(series: DataFrame, stations: DataFrame, series_id: str, radius
 def distance(a: tuple[str, str], b: tuple[str, str]) -> Column:
     """Great-circle kilometres between two (lat, lon) column pairs."""
     return great_circle_km(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))
+
+
+def points_of_cells(grid: DataFrame, cells: list[int]) -> DataFrame:
+    """Grid points of some cells."""
+    return grid.where(F.col("cell").isin(*cells))
+
+
+def coordinates_of(df: DataFrame, grid: DataFrame) -> DataFrame:
+    """Rows with the coordinates of their gpi; rows off the grid have none."""
+    return df.join(grid.select("gpi", "lat", "lon"), "gpi", "left")

@@ -146,3 +146,24 @@ def outdated_files(files: DataFrame, keys: list[str], version: str = "vers") ->
     """Files that have a newer version: candidates for clean-up.  Nothing is deleted."""
     newest = latest_versions(files, keys, version).withColumnRenamed(version, "_newest")
     return files.join(newest, keys).where(F.col(version) < F.col("_newest")).drop("_newest")
+
+
+def with_fill(df: DataFrame, fill: float, variables: list[str]) -> DataFrame:
+    """Missing values of the named variables as a fill value, in a type that holds it."""
+    return df.withColumns({v: F.coalesce(present(F.col(v).cast("double")), F.lit(float(fill))) for v in variables})
+
+
+def where_flag(value: Column, flag: Column, good: str = "G") -> Column:
+    """A value where its in-situ flag is the good one."""
+    return F.when(flag == good, value)
+
+
+def with_landmask(grid_df: DataFrame, mask: DataFrame) -> DataFrame:
+    """A grid with the mask of another table (gpi, is_land); points the mask doesn't know have none."""
+    return grid_df.drop("is_land").join(mask.select("gpi", "is_land"), "gpi", "left")
+
+
+def joined_by_day(left: DataFrame, right: DataFrame, keys: list[str], time: str = "time") -> DataFrame:
+    """Left rows with the right rows of the same day (left join); the right side should have one row per key and day."""
+    day = F.date_trunc("day", time).cast("timestamp_ntz")
+    return left.withColumn("day", day).join(right.withColumn("day", day).drop(time), [*keys, "day"], "left")

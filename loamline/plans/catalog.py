@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import times as T
 from loamline.functions.missing import present
-from loamline.operators import agreement, grid, images, sensors, series, uploads
+from loamline.operators import agreement, grid, images, sensors, series, swath, uploads
 from loamline.operators.near import in_regions, valid_points
 from loamline.operators.readings import all_readings
 from loamline.session import read_table
@@ -443,3 +443,67 @@ def error_summary(spark, folder):
 def coordinate_ranges(spark, folder):
     c = read_table(spark, folder, "csv_series").where("lat BETWEEN -90 AND 90")
     return c.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_name").alias("names"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"))
+
+
+# --- swaths of the missions, and what remains ---------------------------------------------------------------------
+
+
+@register("SELECT s.obs_id, s.gpi, g.cell, make_timestamp(CAST(round((s.acquisition_time + 946728000) * 1000000) AS BIGINT)) AS time, CASE WHEN NOT isnan(s.soil_moisture) AND s.soil_moisture <> -9999 THEN s.soil_moisture END AS soil_moisture FROM smap_obs s JOIN grid_points g ON g.row_idx = s.row_idx AND g.col_idx = s.col_idx AND g.grid_name = 'ease2_m09km' WHERE s.acquisition_time IS NOT NULL AND NOT isnan(s.acquisition_time)")
+def smap_on_grid(spark, folder):
+    g = read_table(spark, folder, "grid_points").where("grid_name = 'ease2_m09km'").select("row_idx", "col_idx", "gpi", "cell", "is_land")
+    rows = swath.smap_rows(read_table(spark, folder, "smap_obs").select("obs_id", "row_idx", "col_idx", "acquisition_time", "soil_moisture"))
+    return swath.on_grid(rows, g, "smap").select("obs_id", "gpi", "cell", "time", "soil_moisture")
+
+
+@register("SELECT s.obs_id, s.gpi, make_timestamp(CAST(round((s.acquisition_time + 946684800) * 1000000) AS BIGINT)) AS time FROM smos_obs s JOIN grid_points g ON g.gpi = s.gpi AND g.grid_name = 'smos_dgg' AND g.is_land WHERE s.acquisition_time IS NOT NULL AND NOT isnan(s.acquisition_time) AND s.acquisition_time <> 0")
+def smos_on_land(spark, folder):
+    g = read_table(spark, folder, "grid_points").where("grid_name = 'smos_dgg'").select("gpi", "cell", "is_land")
+    o = read_table(spark, folder, "smos_obs").select("obs_id", "gpi", F.col("soil_moisture").alias("Soil_Moisture"), "acquisition_time")
+    day = F.floor(present(F.col("acquisition_time")) / 86400)
+    split = o.withColumns({"Days": day, "Seconds": present(F.col("acquisition_time")) - day * 86400}).drop("acquisition_time")
+    return swath.on_grid(swath.smos_rows(split), g, "smos", only_land=True).select("obs_id", "gpi", F.expr("CAST(time AS TIMESTAMP_NTZ)").alias("time"))
+
+
+@register("SELECT DISTINCT file_name, try_strptime(regexp_extract(file_name, '_([0-9]{8}T[0-9]{6})_R', 1), '%Y%m%dT%H%M%S') AS time FROM smap_obs")
+def orbit_times(spark, folder):
+    return read_table(spark, folder, "smap_obs").select("file_name").distinct().select("file_name", swath.orbit_time(F.col("file_name"), "smap").alias("time"))
+
+
+@register(f"SELECT a.event_id, a.gpi, round(b.value, 6) AS daily FROM {OBS_SQL} a LEFT JOIN (SELECT gpi, date_trunc('day', time)::TIMESTAMP AS day, avg(value) AS value FROM {OBS_SQL} o WHERE gpi % 2 = 0 GROUP BY ALL) b ON b.gpi = a.gpi AND b.day = date_trunc('day', a.time)::TIMESTAMP")
+def join_by_day(spark, folder):
+    o = _obs(spark, folder).select("gpi", "time", "value", "event_id")
+    daily = images.daily_mean(o.where("gpi % 2 = 0"), ["value"]).withColumnRenamed("value", "daily")
+    return images.joined_by_day(o.select("gpi", "time", "event_id"), daily, ["gpi"]).select("event_id", "gpi", F.round("daily", 6).alias("daily"))
+
+
+@register(f"SELECT o.event_id, g.lat, g.lon FROM {OBS_SQL} o LEFT JOIN {GRID_SQL} g ON g.gpi = o.gpi")
+def gpi_coordinates(spark, folder):
+    return grid.coordinates_of(_obs(spark, folder).select("event_id", "gpi"), _grid(spark, folder)).select("event_id", "lat", "lon")
+
+
+@register("SELECT gpi, cell, lat, lon FROM grid_points WHERE cell IN (1780, 2357, 1715, 316)")
+def points_of_cell(spark, folder):
+    return grid.points_of_cells(read_table(spark, folder, "grid_points"), [1780, 2357, 1715, 316]).select("gpi", "cell", "lat", "lon")
+
+
+@register("SELECT obs_id, CASE WHEN soil_moisture IS NULL OR isnan(soil_moisture) THEN -1.0 ELSE soil_moisture END AS soil_moisture FROM smos_obs")
+def fill_on_read(spark, folder):
+    return images.with_fill(read_table(spark, folder, "smos_obs").select("obs_id", "soil_moisture"), -1, ["soil_moisture"])
+
+
+@register("SELECT reader_name, count(*) AS files, count(*) FILTER (WHERE path LIKE '%.nc') AS nc_files, sum(size_bytes)::BIGINT AS bytes FROM image_files GROUP BY reader_name")
+def file_counts(spark, folder):
+    f = read_table(spark, folder, "image_files")
+    return f.groupBy("reader_name").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("path").endswith(".nc")).alias("nc_files"), F.sum("size_bytes").alias("bytes"))
+
+
+@register("SELECT image_id, prod, regexp_extract(file_name, '_([A-Z0-9]+)_V', 1) AS sensor FROM image_versions WHERE regexp_matches(file_name, '_(SCATSAR|S1CSAR)_V') ")
+def product_sensors(spark, folder):
+    v = read_table(spark, folder, "image_versions").where("file_name rlike '_(SCATSAR|S1CSAR)_V'")
+    return v.select("image_id", "prod", T.sensor_of_product(F.upper("prod")).alias("sensor"))
+
+
+@register("SELECT dataset_name, count(*) AS n, count(*) FILTER (WHERE g > 1) AS in_repeated FROM (SELECT dataset_name, count(*) OVER (PARTITION BY file_name) AS g FROM csv_series) t GROUP BY dataset_name")
+def repeated_names(spark, folder):
+    c = read_table(spark, folder, "csv_series").groupBy("dataset_name", "file_name").agg(F.count(F.lit(1)).alias("g"))
+    return c.groupBy("dataset_name").agg(F.sum("g").alias("n"), F.sum(F.when(F.col("g") > 1, F.col("g")).otherwise(0)).alias("in_repeated"))

@@ -382,3 +382,72 @@ def test_core_needs_no_text_operators():
     for f in (ROOT / "loamline").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT).parts:
             assert "loamline.llm" not in f.read_text(), f
+
+
+# --- metadata, planning, uploads to series ------------------------------------------------------------------------
+
+
+def test_coordinates_by_metadata():
+    from loamline.functions import cf
+
+    v = {"a": {"standard_name": "latitude"}, "b": {"long_name": " Longitude "}, "t": {"units": "days since 2000-01-01"}, "x": {"long_name": "latitude of something"}}
+    assert cf.coordinate_of(v, "latitude") == "a" and cf.coordinate_of(v, "longitude") == "b" and cf.time_of(v, {"t": ["time"]}) == "t"
+    assert cf.coordinate_of({"LAT": {}}, "latitude") == "LAT"
+    for bad in ({}, {"a": {"units": "degrees_north"}, "b": {"units": "degree_N"}}):
+        with pytest.raises(EngineError):
+            cf.coordinate_of(bad, "latitude")
+    assert cf.time_of({}, {"q": ["q"]}, {"q": "timestamp_ntz"}) == "q"
+    assert cf.yx_dims(["east_x", "north_y"]) == ("north_y", "east_x") and cf.yx_dims(["p", "q"]) == ("p", "q")
+    assert cf.with_time_axis(["lat", "lon"], ("lat", "lon")) == ["time", "lat", "lon"]
+    with pytest.raises(EngineError):
+        cf.with_time_axis(["a", "b", "lat"], ("lat",))
+    assert cf.merged_attributes({"x": {"u": 1}}, {"x": {"u": 2}, "y": {"k": 3}}) == {"x": {"u": 2}, "y": {"k": 3}} and cf.merged_attributes({"x": {"u": 1}}, discard=True) == {}
+    assert [n for n, _ in cf.description({"b": {}, "row_size": {}, "a": {}})] == ["a", "b"]
+
+
+def test_chunk_planning():
+    from loamline.functions.chunks import chunk_sizes, images_in
+
+    assert chunk_sizes((1000, 1000, 1000), 80, 8) == (100, 100, 1000)
+    assert images_in(8e-9 * 1000 * 16, (10, 100), 8) == 16
+    with pytest.raises(EngineError):
+        images_in(1e-9, (10, 100), 8)
+
+
+def test_swath_rows(spark):
+    from loamline.operators import swath
+
+    o = spark.createDataFrame([(1, 5, 100, 0.2, "A"), (2, 0, 0, 0.3, "D"), (3, 5, 7, float("nan"), "D"), (9, 5, 9, 0.1, "D")], "gpi long, Days int, Seconds int, Soil_Moisture double, Ascending_Flag string")
+    g = spark.createDataFrame([(1, True), (2, True), (3, True), (4, True)], "gpi long, is_land boolean")
+    got = {r.gpi: (r.time, r.Overpass) for r in swath.on_grid(swath.smos_rows(o, True), g, "smos", True).collect()}
+    assert got == {1: (datetime(2000, 1, 6, 0, 1, 40), 1), 3: (datetime(2000, 1, 6, 0, 0, 7), 0)}
+    with pytest.raises(EngineError):
+        swath.smos_rows(o.drop("Ascending_Flag"), True)
+    assert swath.inside_valid_range(o, {"Soil_Moisture": (0.15, 0.25)}).where("Soil_Moisture IS NOT NULL").count() == 1
+    assert one(spark, swath.orbit_time(F.lit("SM_OPER_MIR_SMUDP2_20160323T120000_20160324T000000_650_001_1.nc"), "smos")) == datetime(2016, 3, 23, 12)
+
+
+def test_uploads_to_series(spark, tmp_path):
+    from loamline.sources import ingest
+
+    x = np.arange(8, dtype=float).reshape(2, 4)
+    nc_image(tmp_path / "u.nc", x, name="sm")
+    out = ingest.ingest_upload(spark, str(tmp_path / "u.nc"), str(tmp_path / "o1"))
+    assert sorted(r.sm for r in out.collect()) == sorted(x.reshape(-1)) and out.select("time").distinct().first().time == T0
+    (tmp_path / "u.zip").write_bytes(archive({GOOD: CSV, "metadata.yml": "a: b"}))
+    out = ingest.ingest_upload(spark, str(tmp_path / "u.zip"), str(tmp_path / "o2"))
+    assert [r.sm for r in out.orderBy("time").collect()] == [1.0, 2.0]
+    (tmp_path / "n.zip").write_bytes(archive({"d/a.nc": "x", "b.nc4": "y"}))
+    assert sorted(os.listdir(ingest.ingest_upload(spark, str(tmp_path / "n.zip"), str(tmp_path / "o3")))) == ["a.nc", "b.nc4"]
+    assert (tmp_path / "n.zip").exists()
+    with pytest.raises(EngineError):
+        ingest.ingest_upload(spark, str(tmp_path / "u.txt"), str(tmp_path / "o4"))
+
+
+def test_reshuffle(spark, cube, tmp_path):
+    from loamline.sources.ingest import reshuffle
+
+    g = cube.select("gpi", "lat", "lon").distinct()
+    assert reshuffle(cube, g, str(tmp_path / "c"), "2000-01-02", "2000-01-03", lat_max=0.5).count() == 8
+    assert images.with_landmask(g, g.select("gpi", (F.col("gpi") > 3).alias("is_land"))).where("is_land").count() == 4
+    assert one(spark, images.where_flag(F.lit(1.0), F.lit("D01"))) is None
