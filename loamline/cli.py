@@ -7,7 +7,7 @@ import sys
 
 from loamline.operators.grid import grid_from_points, within_box, with_cells
 from loamline.operators.images import daily_mean
-from loamline.session import EngineError, build_session
+from loamline.session import EngineError, build_session, purge
 from loamline.sources.netcdf3 import read_netcdf3
 from loamline.sources.readers import read_images, read_stack
 from loamline.sources.writers import write_cells, write_transposed
@@ -77,6 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{out.count()} rows below {a.output_root}")
     else:
         write_transposed(obs.join(grid.select("gpi"), "gpi", "left_semi"), a.parameter, a.output_root)
+    purge(spark)
     return 0
 
 

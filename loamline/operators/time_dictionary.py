@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions.instants import instant_ms
 from loamline.operators.skew import hot_aware_join
-from loamline.session import work_path
+from loamline.session import cut, work_path
 
 KEYS = ["raw", "units", "site"]
 UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -77,9 +77,9 @@ def normalise_times(rows: DataFrame, dictionary: TimeDictionary | None = None) -
     spark = rows.sparkSession
     dictionary = dictionary or TimeDictionary(spark, work_path(spark, "times"))
     wanted = keyed(rows.where("reading_id IS NOT NULL"))
-    counts = wanted.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    counts = cut(wanted.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows")), "time-texts")
     dictionary.extend(counts)
-    known = dictionary.read().where("base_ms IS NOT NULL").join(counts, KEYS)
+    known = cut(dictionary.read().where("base_ms IS NOT NULL").join(counts, KEYS), "time-known")
     slim = wanted.select("reading_id", *KEYS, "timeoffsetvarname", "time_offset", "timeoffsetunit")
     shift = F.when(F.col("timeoffsetvarname").isNull(), F.lit(0).cast("long")).otherwise(whole_offset_ms())
     return (

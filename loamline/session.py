@@ -66,8 +66,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder; ``purge`` removes all that were given out."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    given = getattr(spark.sparkContext, "_loamline_paths", [])
+    spark.sparkContext._loamline_paths = [*given, path]
+    return path
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this context.  Results that were not yet written can't be read afterwards."""
+    for path in getattr(spark.sparkContext, "_loamline_paths", []):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    spark.sparkContext._loamline_paths = []
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

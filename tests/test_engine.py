@@ -451,3 +451,13 @@ def test_reshuffle(spark, cube, tmp_path):
     assert reshuffle(cube, g, str(tmp_path / "c"), "2000-01-02", "2000-01-03", lat_max=0.5).count() == 8
     assert images.with_landmask(g, g.select("gpi", (F.col("gpi") > 3).alias("is_land"))).where("is_land").count() == 4
     assert one(spark, images.where_flag(F.lit(1.0), F.lit("D01"))) is None
+
+
+def test_purge_removes_intermediate_tables(spark):
+    from loamline.session import cut, purge
+
+    df = cut(spark.range(5), "purged")
+    path = spark.sparkContext._loamline_paths[-1]
+    assert df.count() == 5 and path.split("/")[-1].startswith("purged-")
+    purge(spark)
+    assert not writers.exists(df, path) and spark.sparkContext._loamline_paths == []
