@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from loamline.operators import swath
 from loamline.operators.grid import grid_from_points, within_box, with_cells
 from loamline.operators.images import daily_mean
 from loamline.session import EngineError, build_session, purge
@@ -45,12 +46,30 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--append", action="store_true")
     p.add_argument("--only_land", action="store_true")
+    p.add_argument("--mission", choices=["smos", "smap"], help="the input is a table of orbit rows; needs --grid")
+    p.add_argument("--add_overpass_flag", action="store_true")
     return p
 
 
+def _swath(spark, a: argparse.Namespace) -> int:
+    """Orbit rows to series by cell, each row under its own acquisition time."""
+    if not a.grid:
+        raise EngineError("orbit rows need a grid table")
+    grid, orbit = spark.read.parquet(a.grid), spark.read.parquet(a.input_root)
+    rows = swath.smos_rows(orbit, a.add_overpass_flag) if a.mission == "smos" else swath.smap_rows(orbit)
+    names = [*a.parameter, *(["Overpass"] if a.add_overpass_flag and a.mission == "smos" else [])]
+    points = within_box(grid, *a.bbox) if a.bbox else grid
+    obs = swath.on_grid(rows, points, a.mission, a.only_land).select("gpi", "time", *names)
+    out = write_cells(obs, points if "cell" in points.columns else with_cells(points, a.cellsize), a.output_root, a.start, a.end, a.overwrite, a.append)
+    print(f"{out.count()} rows below {a.output_root}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = build_session("loamline-cli")
+    if a.mission:
+        return _swath(spark, a)
     rename, levels = pairs(a.rename), {k: int(v) for k, v in pairs(a.level).items()}
     if a.time_fmt:
         nc = a.pattern.endswith(".nc")

@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,7 +189,11 @@ def union_schema(headers: DataFrame) -> DataFrame:
     canonical ``field_name`` (smallest of its names), all ``names`` and the promoted ``kind``.  The fold runs over
     distinct (name, type) pairs, of which a stream has few."""
     pairs = headers.where("stream IS NOT NULL").select("stream", "header").mapInArrow(_fields, "stream string, field_key string, name string, kind string").distinct()
-    fold = F.udf(lambda kinds: join_types(kinds), "string")
+
+    @F.pandas_udf("string")
+    def fold(kinds: pd.Series) -> pd.Series:
+        return kinds.map(join_types)
+
     return (
         pairs.groupBy("stream", "field_key")
         .agg(F.min("name").alias("field_name"), F.sort_array(F.collect_set("name")).alias("names"), F.collect_set("kind").alias("kinds"))

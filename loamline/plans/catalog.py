@@ -151,7 +151,7 @@ def grid_from_dims(spark, folder):
 @register("SELECT CAST(i AS INTEGER) AS idx, round(29.875::DOUBLE + i * 0.25::DOUBLE, 5) AS lat FROM range(100) t(i)")
 def coord_arange(spark, folder):
     read_table(spark, folder, "nation")
-    return grid.coord_range(spark, 29.875, 54.75, 0.25, "lat").limit(100)
+    return grid.coord_range(spark, 29.875, 54.75, 0.25, "lat")
 
 
 @register(f"SELECT CAST(gpi // 15 AS INTEGER) AS \"row\", round(avg(CASE WHEN gpi % 7 <> 0 THEN lat END), 6) AS lat FROM {GRID_SQL} g GROUP BY 1")
@@ -469,10 +469,10 @@ def orbit_times(spark, folder):
     return read_table(spark, folder, "smap_obs").select("file_name").distinct().select("file_name", swath.orbit_time(F.col("file_name"), "smap").alias("time"))
 
 
-@register(f"SELECT a.event_id, a.gpi, round(b.value, 6) AS daily FROM {OBS_SQL} a LEFT JOIN (SELECT gpi, date_trunc('day', time)::TIMESTAMP AS day, avg(value) AS value FROM {OBS_SQL} o WHERE gpi % 2 = 0 GROUP BY ALL) b ON b.gpi = a.gpi AND b.day = date_trunc('day', a.time)::TIMESTAMP")
+@register(f"SELECT a.event_id, a.gpi, round(b.value, 6) AS daily FROM {OBS_SQL} a LEFT JOIN (SELECT gpi, date_trunc('day', time)::TIMESTAMP AS day, avg(value) AS value FROM {OBS_SQL} o WHERE value > 250 GROUP BY ALL) b ON b.gpi = a.gpi AND b.day = date_trunc('day', a.time)::TIMESTAMP")
 def join_by_day(spark, folder):
     o = _obs(spark, folder).select("gpi", "time", "value", "event_id")
-    daily = images.daily_mean(o.where("gpi % 2 = 0"), ["value"]).withColumnRenamed("value", "daily")
+    daily = images.daily_mean(o.where("value > 250"), ["value"]).withColumnRenamed("value", "daily")
     return images.joined_by_day(o.select("gpi", "time", "event_id"), daily, ["gpi"]).select("event_id", "gpi", F.round("daily", 6).alias("daily"))
 
 

@@ -461,3 +461,16 @@ def test_purge_removes_intermediate_tables(spark):
     assert df.count() == 5 and path.split("/")[-1].startswith("purged-")
     purge(spark)
     assert not writers.exists(df, path) and spark.sparkContext._loamline_paths == []
+
+
+def test_command_line_for_swaths(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 60, 0.25, "A"), (2, 0, 90, 0.5, "D"), (7, 0, 90, 0.5, "D")], "gpi long, Days int, Seconds int, Soil_Moisture double, Ascending_Flag string").write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(1, 5, 0.0, 0.0, True), (2, 6, 50.0, 0.0, False)], "gpi long, cell int, lat double, lon double, is_land boolean").write.parquet(str(tmp_path / "g"))
+    argv = ["repurpose", str(tmp_path / "s"), str(tmp_path / "o"), "2000-01-01", "2000-01-02", "--parameter", "Soil_Moisture", "--mission", "smos", "--grid", str(tmp_path / "g"), "--add_overpass_flag"]
+    cli.main(argv)
+    got = {(r.gpi, r.cell, r.Soil_Moisture, r.Overpass, r.time) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {(1, 5, 0.25, 1, T0 + timedelta(seconds=60)), (2, 6, 0.5, 2, T0 + timedelta(seconds=90))}
+    cli.main([*argv, "--overwrite", "--only_land"])
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 1
+    with pytest.raises(EngineError):
+        cli.main(argv[:9])
