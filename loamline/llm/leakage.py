@@ -25,8 +25,8 @@ BREAK = "\n_\n"  # no word: positions go on, but one is left out between two tex
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters and digits in lower case."""
-    return WORD.findall(text.lower())
+    """Runs of letters and digits, case folded."""
+    return WORD.findall(text.casefold())
 
 
 def passages(items: DataFrame) -> list[tuple[int, list[str]]]:
@@ -52,7 +52,7 @@ def _indexer(vocabulary: dict[str, int], least: int, slack: int):
                 for text in texts:
                     before = len(ids)
                     for piece in readable(text):
-                        ids += [get(w, -1) for w in WORD.findall(piece.lower())]
+                        ids += [get(w, -1) for w in WORD.findall(piece.casefold())]
                         ids += [-1] * span  # no window spans two texts
                     sizes.append(len(ids) - before)
                 term = np.array(ids, dtype=np.int64)
