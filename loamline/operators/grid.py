@@ -21,16 +21,12 @@ def coord_range(spark: SparkSession, start: float, stop: float, step: float, nam
 
 
 def grid_from_dims(lats: DataFrame, lons: DataFrame) -> DataFrame:
-    """The regular grid of two coordinate tables (idx, lat) and (idx, lon), row by row: gpi = row * columns + col.
-
-    The product is the result itself, so its size is what the caller asks for; both inputs are one-dimensional axes."""
-    columns = lons.agg(F.count(F.lit(1))).first()[0]
-    axis = lons.select(F.col("idx").alias("col"), "lon", F.lit(1).alias("one"))
-    return (
-        lats.select(F.col("idx").alias("row"), "lat", F.lit(1).alias("one"))
-        .join(F.broadcast(axis) if columns <= 1_000_000 else axis, "one")
-        .select((F.col("row").cast("long") * columns + F.col("col")).alias("gpi"), "row", "col", "lat", "lon")
-    )
+    """The regular grid of two coordinate tables (idx, lat) and (idx, lon), idx from 0, row by row: gpi = row * columns +
+    col.  Points are counted out and look their coordinates up, so nothing is multiplied by a join."""
+    rows, columns = (t.agg(F.count(F.lit(1))).first()[0] for t in (lats, lons))
+    gpi = F.col("gpi")
+    points = lats.sparkSession.range(rows * columns).select(F.col("id").alias("gpi")).withColumns({"row": F.floor(gpi / columns).cast("int"), "col": (gpi % columns).cast("int")})
+    return points.join(lats.select(F.col("idx").alias("row"), "lat"), "row").join(lons.select(F.col("idx").alias("col"), "lon"), "col").select("gpi", "row", "col", "lat", "lon")
 
 
 def grid_from_points(points: DataFrame, order_by: list[str]) -> DataFrame:

@@ -58,6 +58,7 @@ def swath_to_grid(orbit: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("g
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the last one in the given order."""
+    """One row per key: the last one in the given order; of rows with equal order the one with the greater values, column
+    by column.  NULL orders come first."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*keys).agg(F.max(F.struct(F.struct(*order).alias("_order"), *rest)).alias("_r")).select(*keys, *(F.col("_r")[c].alias(c) for c in rest))

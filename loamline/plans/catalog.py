@@ -217,7 +217,7 @@ def swath_by_row_col(spark, folder):
     return series.swath_to_grid(orbit, g, ("row_idx", "col_idx")).select("obs_id", "gpi", "cell")
 
 
-@register("SELECT l_partkey, l_suppkey, arg_max(l_quantity, l_orderkey * 100 + l_linenumber) AS quantity, max(l_orderkey * 100 + l_linenumber) AS place FROM lineitem GROUP BY l_partkey, l_suppkey")
+@register("SELECT l_partkey, l_suppkey, arg_max(l_quantity, (l_orderkey * 100 + l_linenumber) * 1000 + l_quantity) AS quantity, max(l_orderkey * 100 + l_linenumber) AS place FROM lineitem GROUP BY l_partkey, l_suppkey")
 def swath_scatter_last_wins(spark, folder):
     li = read_table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", F.col("l_quantity").alias("quantity"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("place"))
     return series.last_wins(li, ["l_partkey", "l_suppkey"], ["place"])

@@ -37,7 +37,7 @@ def file_catalog(spark: SparkSession, folder: str, pattern: str = "*.nc", fmt: s
 def read_images(spark: SparkSession, folder: str, variables: list[str], fmt: str, pattern: str = "*.csv", regex: str | None = None, opener: Callable[[SparkSession, list[str]], DataFrame] | None = None, rename: dict[str, str] | None = None, levels: dict | None = None, fill: float | None = None, skip_missing: bool = False, start=None, end=None) -> DataFrame:
     """Images of a directory, one file per time: only files whose name lies in the time range are opened.
 
-    ``opener`` turns paths into a table with ``path`` and ``gpi`` columns (default: CSV with a header line); afterwards
+    ``opener`` turns paths into a table with ``path`` and ``gpi`` columns (default: CSV with a header line and numbers); afterwards
     fill values become NULL, levels are selected and variables renamed, in this order."""
     ship(spark)
     catalog = file_catalog(spark, folder, pattern, fmt, regex).where("time IS NOT NULL")
@@ -52,7 +52,8 @@ def read_images(spark: SparkSession, folder: str, variables: list[str], fmt: str
     if opener:
         data = opener(spark, plain)
     else:
-        data = spark.read.option("header", "true").option("inferSchema", "true").csv(paths).withColumn("path", F.col("_metadata.file_path"))
+        data = spark.read.option("header", "true").csv(paths).select("*", F.col("_metadata.file_path").alias("path"))
+        data = data.select(*(F.col(c) if c == "path" else F.col(c).try_cast("bigint" if c == "gpi" else "double").alias(c) for c in data.columns))
     data = nan_to_null(data.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)))
     if fill is not None:
         data = data.select(*(F.nullif(F.col(c), F.lit(fill)).alias(c) if t in ("double", "float", "int", "bigint") and c not in ("gpi", "slot") else F.col(c) for c, t in data.dtypes))

@@ -47,10 +47,13 @@ def write_transposed(obs: DataFrame, variables: list[str], path: str) -> None:
 
 def write_images(obs: DataFrame, path: str, fmt: str = "yyyyMMdd'T'HHmm", stepsize: int = 1, include_time: bool = True, north_first: bool = False) -> None:
     """Images by file: ``path/image=<time>/``; ``stepsize`` consecutive times share a folder named by the first."""
-    times = obs.select("time").distinct().withColumn("one", F.lit(1))
-    step = F.floor((F.row_number().over(Window.partitionBy("one").orderBy("time")) - 1) / stepsize)  # one row per distinct time
-    named = times.withColumn("step", step).withColumn("first", F.min("time").over(Window.partitionBy("step"))).select("time", F.date_format("first", fmt).alias("image"))
-    rows = obs.join(named, "time")
+    if stepsize == 1:
+        rows = obs.withColumn("image", F.date_format("time", fmt))
+    else:
+        times = obs.select("time").distinct().withColumn("one", F.lit(1))
+        step = F.floor((F.row_number().over(Window.partitionBy("one").orderBy("time")) - 1) / stepsize)  # one row per image time
+        named = times.withColumn("step", step).withColumn("first", F.min("time").over(Window.partitionBy("step"))).select("time", F.date_format("first", fmt).alias("image"))
+        rows = obs.join(named, "time")
     order = [F.col("lat").desc(), F.col("lon")] if north_first else [F.col("gpi")]
     rows = rows.repartition("image").sortWithinPartitions("image", "time", *order)
     (rows if include_time else rows.drop("time")).write.mode("overwrite").partitionBy("image").parquet(path)

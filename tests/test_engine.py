@@ -474,3 +474,11 @@ def test_command_line_for_swaths(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
     with pytest.raises(EngineError):
         cli.main(argv[:9])
+
+
+def test_csv_images(spark, tmp_path):
+    for d in (1, 2):
+        (tmp_path / f"img_2000010{d}.csv").write_text(f"gpi,ssm,note\n1,{d}.5,x\n2,-9999,y\n")
+    got = readers.read_images(spark, str(tmp_path), ["ssm"], "%Y%m%d", fill=-9999)
+    assert {(r.time.day, r.gpi, r.ssm) for r in got.collect()} == {(1, 1, 1.5), (1, 2, None), (2, 1, 2.5), (2, 2, None)}
+    assert readers.read_images(spark, str(tmp_path), ["ssm"], "%Y%m%d", start="2000-01-02").count() == 2
