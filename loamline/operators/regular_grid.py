@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 YEAR = 365.2425
+ROWS_AT_ONCE = 200_000
 SCHEMA = "sensor string, gpi long, day int, value double, fitted double, missing boolean"
 
 
@@ -55,6 +56,16 @@ def normal_equations(daily: DataFrame, origin: int, harmonics: int = 2) -> list:
     return [F.array(*pairs).alias("xtx"), F.array(*(F.coalesce(F.sum(c * F.col("value")), F.lit(0.0)) for c in x)).alias("xty")]
 
 
+def _rows(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+    """Grid rows of some of the batch's sources."""
+    source, day, value, fitted, missing = (np.concatenate(p) for p in zip(*parts, strict=True))
+    pick = pa.array(source)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("sensor").take(pick), batch.column("gpi").take(pick), pa.array(day, pa.int32()), pa.array(value, from_pandas=True), pa.array(fitted, from_pandas=True), pa.array(missing)],
+        names=["sensor", "gpi", "day", "value", "fitted", "missing"],
+    )
+
+
 def regularize(readings: DataFrame, harmonics: int = 2, ridge: float = 1e-4, origin: int = 16_000, valid: tuple[float, float] | None = (0.0, 1.0), only_missing: bool = False) -> DataFrame:
     """A daily series per (sensor, gpi) from its first to its last observed UTC day.
 
@@ -80,7 +91,7 @@ def regularize(readings: DataFrame, harmonics: int = 2, ridge: float = 1e-4, ori
             values_all = flat.field(1).to_numpy(zero_copy_only=False).astype(float)
             xtx_all = np.asarray(batch.column("xtx").flatten()).reshape(-1, len(upper[0]))
             xty_all = np.asarray(batch.column("xty").flatten()).reshape(-1, k)
-            rows, outs = [], ([], [], [], [])
+            parts, size = [], 0
             for i in range(batch.num_rows):
                 day, value = days_all[ends[i] : ends[i + 1]], values_all[ends[i] : ends[i + 1]]
                 order = np.argsort(day)
@@ -102,16 +113,13 @@ def regularize(readings: DataFrame, harmonics: int = 2, ridge: float = 1e-4, ori
                 final = fitted + bridge
                 if not only_missing:
                     final[seen] = value
-                rows.append(np.full(len(grid), i))
-                for out, part in zip(outs, (grid, final, fitted, ~seen), strict=True):
-                    out.append(part)
-            if rows:
-                pick = pa.array(np.concatenate(rows))
-                day, value, fitted, missing = (np.concatenate(o) for o in outs)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("sensor").take(pick), batch.column("gpi").take(pick), pa.array(day, pa.int32()), pa.array(value, from_pandas=True), pa.array(fitted, from_pandas=True), pa.array(missing)],
-                    names=["sensor", "gpi", "day", "value", "fitted", "missing"],
-                )
+                parts.append((np.full(len(grid), i), grid, final, fitted, ~seen))
+                size += len(grid)
+                if size >= ROWS_AT_ONCE:
+                    yield _rows(batch, parts)
+                    parts, size = [], 0
+            if parts:
+                yield _rows(batch, parts)
 
     return series.mapInArrow(fill, SCHEMA)
 
