@@ -22,6 +22,8 @@ from loamline.session import cut
 
 #: Readings needed on each side of a reading before it can be decided.
 CONTEXT = 7
+#: Readings a task holds at once; a longer partition is decided piece by piece, as if it were cut there.
+ROWS_AT_ONCE = 250_000
 PHASES, PHASE_STRIDE, BIN_MID = 4, 2048, 1024
 LOG_STEP, LEAST = math.log(1.04), 1e-5
 PASS_SCHEMA = "kind string, sensor string, gpi long, unix double, value double, obs_id long, brk boolean, open boolean, newpiece boolean, reason string, detrended double, phase int, excursion double, steps array<int>, step_n array<int>, rests array<int>, rest_n array<int>"
@@ -132,12 +134,32 @@ def _decided(sensor: pa.Array, gpi: np.ndarray, unix: np.ndarray, x: np.ndarray,
         )
 
 
+def _last_key(table: pa.Table) -> int:
+    """Where the last (sensor, gpi, time) of a sorted table begins."""
+    last = np.ones(table.num_rows, bool)
+    for c in ("code", "gpi", "unix"):
+        values = table[c].to_numpy()
+        last &= values == values[-1]
+    return int(np.argmin(last[::-1])) and table.num_rows - int(np.argmin(last[::-1]))
+
+
 def _sorted_pass(valid: tuple[float, float], longest: int, least_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS_AT_ONCE:
+                table = pa.Table.from_batches(held).combine_chunks()
+                end = _last_key(table)  # readings of one time stay together
+                if end:
+                    yield from part(table.slice(0, end))
+                    held = table.slice(end).to_batches()
+                    size = table.num_rows - end
+        if size:
+            yield from part(pa.Table.from_batches(held).combine_chunks())
+
+    def part(table: pa.Table) -> Iterator[pa.RecordBatch]:
         code = np.asarray(table["code"])
         gpi, unix, x = (np.asarray(table[c]) for c in ("gpi", "unix", "value"))
         obs = table["obs_id"].to_numpy()
@@ -159,7 +181,7 @@ def _sorted_pass(valid: tuple[float, float], longest: int, least_run: int):
         brk[1:] = np.diff(good) > 1
         if len(good):
             brk[0] = good[0] > 0
-        # an out-of-range reading that closes the partition must still break a run that goes on in the next one
+        # an out-of-range reading that closes the piece must still break a run that goes on in the next one
         trailing = len(x) - 1 if len(x) and not inside[-1] else None
         tail_mark = {} if trailing is None else dict(sensor=sensor.take(pa.array([trailing])), gpi=pa.array(gpi[[trailing]]), unix=pa.array(unix[[trailing]]))
         sensor, gpi, unix, x, obs, series = sensor.take(pa.array(good)), gpi[good], unix[good], x[good], obs[good], series[good]
@@ -168,7 +190,7 @@ def _sorted_pass(valid: tuple[float, float], longest: int, least_run: int):
         edge = np.zeros(n, bool)
         newpiece = np.zeros(n, bool)
         if n:
-            for which in {int(series[0]), int(series[-1])}:  # only these can go on in a neighbouring partition
+            for which in {int(series[0]), int(series[-1])}:  # only these can go on in a neighbouring piece
                 a, b = np.searchsorted(series, [which, which + 1])
                 if b - a <= 4 * CONTEXT:
                     decide[a:b], edge[a:b] = False, True

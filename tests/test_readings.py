@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamline.operators.readings import EPOCH, all_readings, readings_of
@@ -105,6 +107,28 @@ def test_spikes_found_however_the_series_is_cut(spark, partitions):
     assert {o for o, _ in results[0]} == a | b
 
 
+def test_long_partitions_are_decided_in_pieces(spark, partitions, monkeypatch):
+    from loamline.operators import spikes
+
+    hot, truth = made_series(3, 900, 1, 0, True)
+    rows = hot + hot[::40]
+    partitions(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    source = all_readings(raw(spark, rows), raw(spark, []))
+    ordered = source.selectExpr("0 code", "gpi", "unix", "value", "obs_id").orderBy("gpi", "unix", "obs_id").toArrow()
+    pieces = {}
+    for limit in (10**9, 60, 7):
+        monkeypatch.setattr(spikes, "ROWS_AT_ONCE", limit)
+        out = pd.concat([b.to_pandas() for b in spikes._sorted_pass((0.0, 1.0), 3, 8)(iter(ordered.to_batches(50)))])
+        edges = pa.Table.from_pandas(out[out.kind == "edge"], spikes.FIELDS, preserve_index=False)
+        done = pd.concat([out[out.kind == "reading"], spikes._stitch(3, 8)(edges).to_pandas().query("kind == 'reading'")])
+        assert not done.duplicated(["obs_id", "reason"]).any()
+        sure = done[(done.reason != "spike") | (done.excursion > 0.05)]
+        pieces[limit] = set(zip(sure.obs_id, sure.reason, strict=True))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pieces[10**9] == pieces[60] == pieces[7] and {o for o, _ in pieces[7]} == truth
+
+
 def test_rain_is_no_spike(spark):
     values = [0.2 + 0.004 * ((i * 7919) % 5 - 2) for i in range(120)]
     for i in range(12):
