@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions.missing import present
+from loamline.operators.skew import salted_join
 from loamline.session import cut
 
 EARTH_KM = 6371.0
@@ -114,7 +115,7 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
         frontier = tested.where("NOT ends").select(F.col("a_node").alias("a_parent"), F.col("b_node").alias("b_parent"))
         found = _refined(a, b, tested.where("ends"), level, right_id, salts, hot_node)
         done = found if done is None else done.unionByName(found)
-    return left.join(done, place).select(left_id, right_id, "km").distinct()
+    return salted_join(left, done, place).select(left_id, right_id, "km").distinct()
 
 
 def _refined(a: DataFrame, b: DataFrame, ends: DataFrame, level: int, right_id: str, salts: int, hot_node: int) -> DataFrame:

@@ -168,7 +168,9 @@ def drift_report(headers: DataFrame) -> DataFrame:
     ordered = headers.where(F.col("stream").isNotNull()).select(
         "stream", F.regexp_extract("file_name", START, 1).alias("start"), "file_name", "delivered_at", "header_id", "header"
     ).where("start <> ''")
-    ordered = ordered.repartitionByRange("stream", "start", "file_name").sortWithinPartitions("stream", "start", "file_name", "delivered_at", "header_id")
+    # repeated files fall together before the shuffle, however many there are
+    ordered = ordered.groupBy("stream", "start", "file_name").agg(F.min_by("header", F.struct("delivered_at", "header_id")).alias("header"))
+    ordered = ordered.repartitionByRange("stream", "start", "file_name").sortWithinPartitions("stream", "start", "file_name")
     passed = cut(ordered.select("stream", "file_name", "header").mapInArrow(_compare, CHANGE), "drift-pass")
     at_cuts = passed.where("field_name IS NULL").groupBy("stream").applyInArrow(_stitch, CHANGE)
     return passed.where("field_name IS NOT NULL").unionByName(at_cuts)

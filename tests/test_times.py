@@ -5,7 +5,7 @@ from datetime import datetime, timezone
 import pytest
 
 from loamline.functions.instants import instant_ms, unit_epoch
-from loamline.operators.skew import hot_aware_join
+from loamline.operators.skew import hot_aware_join, salted_join
 from loamline.operators.time_dictionary import TimeDictionary, normalise_times
 from loamline.session import work_path
 
@@ -89,3 +89,11 @@ def test_hot_keys_join_like_others(spark):
     lookup = lookup.withColumn("v", lookup.k)
     got = hot_aware_join(rows, lookup, ["k"], "n", hot_at_least=100).collect()
     assert len(got) == 3000 and all(r.k == r.v for r in got)
+
+
+def test_salted_join_gives_every_pair_once(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(3000)] + [(-1, None)], "id int, k string")
+    lookup = spark.createDataFrame([(k, v) for k in ("hot", *(f"k{i}" for i in range(50))) for v in (1, 2)], "k string, v int")
+    plain, salted = rows.join(lookup, ["k"]), salted_join(rows, lookup, ["k"], salts=4, hot_at_least=100)
+    assert salted.columns == plain.columns and sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+    assert salted_join(rows, lookup, ["k"]).count() == plain.count()
