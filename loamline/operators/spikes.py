@@ -289,6 +289,7 @@ def flag_readings(readings: DataFrame, valid: tuple[float, float] = (0.0, 1.0),
     gives an empty result.  Series of less than three readings have no spikes.
     """
     ordered = readings.select(F.when(F.col("sensor") == "smap", 0).otherwise(1).cast("int").alias("code"), "gpi", "unix", "value", F.coalesce(F.col("obs_id"), F.lit(-1)).alias("obs_id"))
+    ordered = ordered.distinct()  # copies fall together before the shuffle: no range holds more than distinct readings
     ordered = ordered.repartitionByRange("code", "gpi", "unix").sortWithinPartitions("code", "gpi", "unix", "obs_id")
     first = cut(ordered.mapInArrow(_sorted_pass(valid, longest, least_run), PASS_SCHEMA), "spikes-pass")
     stitched = first.where("kind = 'edge'").groupBy("sensor", "gpi").applyInArrow(_stitch(longest, least_run), PASS_SCHEMA)
