@@ -2,14 +2,14 @@
 
 Postings (term, document, position) are stored for the terms of the test vocabulary.  From each window of the passage
 the rarest terms of the corpus give the first lists; offset-adjusted intersection with the lists of the other terms
-leaves the exact phrase matches, and the same lists with room for strange words the proximity matches.
+leaves the exact phrase matches.  With room for strange words the lists are intersected with as much play, and the longest
+chain of words in order around each place they meet decides the proximity matches.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from loamline.session import EngineError, cut
 
 WORD = re.compile(r"[^\W_]+")
 PASSAGES_AT_MOST = 200_000
+POSTINGS_AT_ONCE, PAIRS_AT_ONCE, CHAINS_AT_ONCE = 50_000, 2_000_000, 100_000
 BREAK = "\n_\n"  # no word: positions go on, but one is left out between two texts
 
 
@@ -69,23 +70,116 @@ def _indexer(vocabulary: dict[str, int], least: int, slack: int):
                 if len(keep):
                     offsets = np.concatenate([[0], np.cumsum(sizes)])
                     owner = np.searchsorted(offsets, keep, side="right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(term[keep], pa.int32()), pa.array(docs[owner]), pa.array(keep - offsets[owner], pa.int32())], names=["term", "doc_id", "pos"])
+                    out = {"term": pa.array(term[keep], pa.int32()), "doc_id": pa.array(docs[owner]), "pos": pa.array(keep - offsets[owner], pa.int32())}
+                    if "copy" in batch.schema.names:
+                        out["copy"] = part.column("copy").take(pa.array(owner))
+                    yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def positional_index(documents: DataFrame, vocabulary: dict[str, int], least: int, slack: int = 0) -> DataFrame:
-    """(term, doc_id, pos) over the whole decoded text of every document; rows with NULL doc_id or text have none."""
-    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(docs.mapInArrow(_indexer(vocabulary, least, slack), "term int, doc_id long, pos int"), "postings")
+def positional_index(documents: DataFrame, vocabulary: dict[str, int], least: int, slack: int = 0, copies: bool = False) -> DataFrame:
+    """(term, doc_id, pos) over the whole decoded text of every document; rows with NULL doc_id or text have none.
+    With ``copies`` also copy, a number of the row that the text comes from."""
+    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.monotonically_increasing_id().alias("copy")] if copies else []))
+    return cut(docs.mapInArrow(_indexer(vocabulary, least, slack), "term int, doc_id long, pos int" + ", copy long" * copies), "postings")
+
+
+def _several(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each pair of first and size, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+
+
+def _chains(known: list[tuple[int, list[int]]], frequency: dict[int, int], least: int, slack: int):
+    """Proximity matches from postings in the order of (doc_id, copy, pos), by slices that overlap by one window.
+
+    The shifts (document minus passage position) of a match differ by at most ``slack``, and of the ``slack + 3`` rarest
+    words of its passage window at least three are met.  So the lists of those rare words are intersected on each shift and
+    the ``slack`` next ones; from each place where three meet the longest chain in a square of ``least + slack``
+    words is counted.  No match is lost.
+    """
+    span = least + slack
+    line, owner, rare = [-2] * span, [0] * span, set()
+    for item, ids in known:
+        for start in range(max(1, len(ids) - span + 1)):
+            window = range(start, min(start + span, len(ids)))
+            rare |= {len(line) + at for at in sorted(window, key=lambda at: (frequency.get(ids[at], 0), at))[: slack + 3]}
+        line += [*ids, *[-2] * span]  # no window spans two passages
+        owner += [item] * (len(ids) + span)
+    line, owner, places = np.array(line, dtype=np.int64), np.array(owner, dtype=np.int64), np.array(sorted(rare), dtype=np.int64)
+    places = places[np.argsort(line[places], kind="stable")]
+    starts = np.searchsorted(line[places], np.arange(line.max() + 2))  # the rare places of each term
+    edge = 2 * span
+
+    def near(doc: np.ndarray, copy: np.ndarray, pos: np.ndarray, term: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = starts[term + 1] - starts[term]
+        if sizes.sum() > PAIRS_AT_ONCE and len(doc) > 4 * span:
+            half = len(doc) // 2
+            back = half - int(((doc[:half] == doc[half]) & (copy[:half] == copy[half]) & (pos[:half] > pos[half] - span)).sum())
+            yield from near(doc[:half], copy[:half], pos[:half], term[:half])
+            yield from near(doc[back:], copy[back:], pos[back:], term[back:])
+            return
+        same = (np.diff(doc) == 0) & (np.diff(copy) == 0)
+        x = edge + np.concatenate([[0], np.cumsum(np.where(same, np.minimum(np.diff(pos), span), span))])
+        text, whose = np.full(x[-1] + edge, -1), np.zeros(x[-1] + edge, dtype=np.int64)
+        text[x], whose[x] = term, doc
+        g = places[_several(starts[term], sizes)]
+        shift = np.repeat(x, sizes) - g + len(line)
+        votes = np.unique(np.concatenate([(shift - e) * len(line) + g for e in range(slack + 1)]))
+        votes = votes[np.flatnonzero((votes[2:] // len(line) == votes[:-2] // len(line)) & (votes[2:] - votes[:-2] < span))[:, None] + [0, 2]]
+        first = votes[:, 1] - span + 1
+        at = np.unique(_several(first, votes[:, 0] - first + 1))  # a passage begins after span places: the shift stays
+        for e in range(slack + 1):
+            g0 = at % len(line)
+            x0 = at // len(line) - len(line) + g0 + e
+            met = np.flatnonzero((x0 >= 0) & (x0 < len(text) - span))
+            met = met[text[x0[met]] == line[g0[met]]]
+            for lo in range(0, len(met), CHAINS_AT_ONCE):
+                gs, xs = g0[met[lo : lo + CHAINS_AT_ONCE]], x0[met[lo : lo + CHAINS_AT_ONCE]]
+                a, b = [line[gs + i] for i in range(span)], [text[xs + j] for j in range(span)]
+                before: dict[int, np.ndarray] = {}
+                for i in range(span):
+                    row: dict[int, np.ndarray] = {}
+                    for j in range(max(0, i - slack), min(span, i + slack + 1)):
+                        best = (a[i] == b[j]).astype(np.int16)
+                        if j - 1 in before:
+                            best += before[j - 1]
+                        for other in (before.get(j), row.get(j - 1)):
+                            if other is not None:
+                                np.maximum(best, other, out=best)
+                        row[j] = best
+                    before = row
+                words_met = before[span - 1]
+                hit = np.flatnonzero(words_met >= least)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(whose[xs[hit]]), pa.array(owner[gs[hit]]), pa.array(words_met[hit], pa.int32())], names=["doc_id", "item_id", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kept, rows = ("doc_id", "copy", "pos", "term"), [], 0
+
+        def taken() -> list[np.ndarray]:
+            return [np.concatenate([k[n] for k in kept]) for n in range(len(names))]
+
+        for batch in batches:
+            kept.append([np.asarray(batch.column(n)).astype(np.int64) for n in names])
+            rows += batch.num_rows
+            if rows >= POSTINGS_AT_ONCE:
+                doc, copy, pos, term = taken()
+                yield from near(doc, copy, pos, term)
+                tail = (doc == doc[-1]) & (copy == copy[-1]) & (pos > pos[-1] - span)
+                kept, rows = [[doc[tail], copy[tail], pos[tail], term[tail]]], 0
+        if rows:
+            yield from near(*taken())
+
+    return run
 
 
 def leaked(documents: DataFrame, items: DataFrame, least: int = 12, slack: int = 0) -> DataFrame:
     """(doc_id, item_id, words): documents with at least ``least`` words of a passage, and the longest such match.
 
     With ``slack`` 0 the words are consecutive in passage and document (exact phrase).  With ``slack`` s a proximity
-    match is reported: at least ``least`` words of a passage in a passage window of ``least + s`` words, in order and at
-    the same distances.  Case, punctuation, line breaks, quote marks, markup and transfer encoding don't matter.
+    match is reported: at least ``least`` words in the same order in a window of ``least + s`` words of the passage and one
+    of ``least + s`` words of the document, so up to s words may be replaced, put in or left out.  Case, punctuation, line breaks, quote marks, markup and transfer encoding don't matter.
     Passages shorter than ``least`` words can't match.  Repeated documents and items count once; an empty table on
     either side gives an empty result.
     """
@@ -94,22 +188,26 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 12, slack: int =
     spark = documents.sparkSession
     known = [(i, w) for i, w in passages(items) if len(w) >= least]
     vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in known for w in ws}))}
-    postings = positional_index(documents, vocabulary, least, slack)
-    span = least + slack
+    postings = positional_index(documents, vocabulary, least, slack, copies=slack > 0)
     frequency = dict(postings.groupBy("term").agg(F.countDistinct("doc_id").alias("df")).collect())  # at most one row per test term
+    if slack:
+        if not known:
+            return spark.createDataFrame([], "doc_id long, item_id long, words int")
+        chains = _chains([(item, [vocabulary[w] for w in ws]) for item, ws in known], frequency, least, slack)
+        lines = postings.repartition("doc_id").sortWithinPartitions("doc_id", "copy", "pos")  # a hot key is one document's text at most
+        return lines.mapInArrow(chains, "doc_id long, item_id long, words int").groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
     terms, firsts = [], set()
     for item, ws in known:
         ids = [vocabulary[w] for w in ws]
         terms += [(item, t, at) for at, t in enumerate(ids)]
-        # a window with room for s strange words keeps at least three of its s + 3 rarest terms in every match
-        for start in range(max(1, len(ids) - span + 1)):
-            window = range(start, min(start + span, len(ids)))
-            rare = sorted(window, key=lambda at: (frequency.get(ids[at], 0), at))[: slack + 3]
-            firsts |= {(item, *(x for at in three for x in (ids[at], at))) for three in combinations(rare, 3) if all(frequency.get(ids[at]) for at in three)}
+        for start in range(len(ids) - least + 1):
+            three = sorted(range(start, start + least), key=lambda at: (frequency.get(ids[at], 0), at))[:3]
+            if all(frequency.get(ids[at]) for at in three):
+                firsts.add((item, *(x for at in three for x in (ids[at], at))))
     at_items = spark.createDataFrame(terms, "item_id long, term int, at int")
     anchors = spark.createDataFrame(sorted(firsts), "item_id long, term int, at1 int, term2 int, at2 int, term3 int, at3 int")
     # the lists of the three rarest terms, one after the other, each moved by its offset in the passage;
-    # broadcast: at most (span * (slack + 3) ** 3) rows for each word of the bounded passages
+    # broadcast: at most one row for each word of the bounded passages
     candidates = postings.join(F.broadcast(anchors), "term").withColumn("shift", F.col("pos") - F.col("at1"))
     for n in (2, 3):
         other = postings.select("doc_id", F.col("term").alias(f"term{n}"), F.col("pos").alias(f"pos{n}"))
@@ -119,9 +217,6 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 12, slack: int =
     expected = candidates.join(F.broadcast(at_items), "item_id").select("doc_id", "item_id", "shift", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
     met = expected.join(postings.distinct(), ["doc_id", "term", "pos"])
     line = Window.partitionBy("doc_id", "item_id", "shift")  # at most as many rows as a passage has words
-    if slack == 0:
-        islands = met.withColumn("island", F.col("at") - F.row_number().over(line.orderBy("at")))
-        runs = islands.groupBy("doc_id", "item_id", "shift", "island").agg(F.count(F.lit(1)).alias("words"))
-    else:
-        runs = met.withColumn("words", F.count(F.lit(1)).over(line.orderBy("at").rangeBetween(0, span - 1)))
+    islands = met.withColumn("island", F.col("at") - F.row_number().over(line.orderBy("at")))
+    runs = islands.groupBy("doc_id", "item_id", "shift", "island").agg(F.count(F.lit(1)).alias("words"))
     return runs.where(F.col("words") >= least).groupBy("doc_id", "item_id").agg(F.max("words").cast("int").alias("words"))

@@ -73,6 +73,58 @@ def test_proximity(spark):
     assert {r.doc_id: r.words for r in leaked(docs, items, 12, slack=2).collect()} == {1: 13, 3: 14}
 
 
+def test_proximity_with_words_put_in_or_left_out(spark):
+    p = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12"
+    long = " ".join(f"w{k}" for k in range(40))
+    items = spark.createDataFrame([(1, p), (2, long)], "item_id long, passage string")
+    docs = [
+        (1, p.replace("f6", "f6 strange")), (2, p.replace("f6", "f6 strange more")), (3, p.replace("f6", "f6 one two three")),
+        (4, " ".join(w for k, w in enumerate(long.split()) if k % 7)), (5, " ".join(w for k, w in enumerate(long.split()) if k % 4)),
+        (6, " ".join(w + " xx" * (k % 8 == 0) for k, w in enumerate(long.split()))), (7, p.replace("c3", "d4").replace("d4 d4", "d4 c3")),
+        (8, "g7 h8 i9 j10 k11 l12 a1 b2 c3 d4 e5 f6"), (9, p.replace("b2 c3 d4", "b2 zz c3 d4")), (9, p.replace("c3", "yy").replace("a1", "b2")),
+    ]
+    got = {(r.doc_id, r.item_id): r.words for r in leaked(spark.createDataFrame(docs, "doc_id long, text string"), items, 12, slack=2).collect()}
+    assert got == {(1, 1): 12, (2, 1): 12, (4, 2): 12, (6, 2): 13, (9, 1): 12}
+
+
+@pytest.mark.parametrize("at_once", [(50_000, 2_000_000), (40, 60)])
+def test_proximity_against_brute_force(spark, monkeypatch, at_once):
+    from loamline.llm import leakage
+
+    monkeypatch.setattr(leakage, "POSTINGS_AT_ONCE", at_once[0])
+    monkeypatch.setattr(leakage, "PAIRS_AT_ONCE", at_once[1])
+
+    def common(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            last = best[:]
+            for j, y in enumerate(b):
+                best[j + 1] = max(last[j] + (x == y), last[j + 1], best[j])
+        return best[-1]
+
+    rnd = random.Random(8)
+    items = [(i, passage(rnd, rnd.choice((6, 7, 9, 20)))) for i in range(8)]
+    docs = []
+    for d in range(60):
+        w = words(rnd.choice(items)[1])
+        for _ in range(rnd.randrange(6)):
+            k = rnd.randrange(len(w))
+            w[k : k + rnd.randrange(2)] = rnd.choice(([], ["strange"], [rnd.choice(VOCABULARY)]))
+            w = w or ["x"]
+        docs.append((d, " ".join([*passage(rnd, 6).split(), *["y"] * rnd.randrange(3), *w])))
+    least, slack, n = 6, 2, 8
+    expected = {}
+    for d, text in docs:
+        a = words(text)
+        for i, p in items:
+            b = words(p)
+            best = max(common(a[j : j + n], b[k : k + n]) for j in range(len(a)) for k in range(len(b)))
+            if best >= least:
+                expected[d, i] = best
+    got = {(r.doc_id, r.item_id): r.words for r in leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), least, slack).collect()}
+    assert got == expected and len(expected) > 20
+
+
 def test_edges(spark):
     D, I = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, "b " * 20)], "item_id long, passage string")
     assert leaked(D.limit(0), I).count() == 0 and leaked(D, I.limit(0)).count() == 0
