@@ -136,9 +136,19 @@ def with_name_parts(files: DataFrame, name: str = "name") -> DataFrame:
     return files.withColumn("_p", p).where("_p IS NOT NULL").select("*", "_p.*").drop("_p").where(F.col("sensor") == sensor_of_product(F.col("prod")))
 
 
+def bare_version(text: Column) -> Column:
+    """A version without blanks and a leading v or V."""
+    return F.regexp_replace(F.trim(text), "^[vV]", "")
+
+
 def latest_versions(files: DataFrame, keys: list[str], version: str = "vers", numeric: bool = False) -> DataFrame:
-    """The newest version of each key: by text, or with ``numeric`` component by component."""
-    order = F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(-1).cast("long"))) if numeric else F.col(version)
+    """The newest version of each key: by text, or with ``numeric`` component by component (a leading v or V doesn't
+    matter, left-out components are 0, other text comes before any number); equal ones by text."""
+    order = F.col(version)
+    if numeric:
+        parts = F.transform(F.split(bare_version(F.col(version)), r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")))
+        last = F.array_max(F.transform(parts, lambda p, i: F.when(p != 0, i + 1).otherwise(0)))
+        order = F.array_append(F.slice(parts, F.lit(1), F.coalesce(last, F.lit(0))), F.lit(0).cast("decimal(38,0)"))
     return files.groupBy(*keys).agg(F.max_by(version, F.struct(order, F.col(version))).alias(version))
 
 

@@ -236,9 +236,23 @@ def latest_version_string(spark, folder):
 
 @register("SELECT area, max(vers) AS vers FROM image_versions WHERE regexp_matches(vers, '^[0-9]') GROUP BY area")
 def latest_version_images(spark, folder):
+    """By text and area, of versions without v only, as its SQL has it; ``latest_version_by_image`` is the whole job."""
     return images.latest_versions(read_table(spark, folder, "image_versions").where("vers rlike '^[0-9]'"), ["area"], "vers")
 
 
+@register(r"""
+WITH files AS (SELECT lower(trim(prod)) AS prod, trim(area) AS area, try_strptime(trim(img_datetime), ['%Y%m%d%H%M', '%Y%m%dT%H%M%S', '%Y-%m-%d %H:%M', '%Y-%m-%dT%H:%M:%SZ']) AS time, regexp_replace(trim(vers), '^[vV]', '') AS vers FROM image_versions),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY prod, area, time ORDER BY list_resize(list_transform(string_split(vers, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT), -1)), 8, 0) DESC NULLS LAST, vers DESC) AS r FROM files)
+SELECT prod, area, time, vers FROM ranked WHERE r = 1
+""")
+def latest_version_by_image(spark, folder):
+    """The newest version of each image (prod regardless of case, area, instant), by numbers, in any spelling."""
+    at = F.trim("img_datetime")
+    time = F.coalesce(*(F.try_to_timestamp(at, F.lit(f)) for f in ("yyyyMMddHHmm", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ssX"))).cast("timestamp_ntz")
+    files = read_table(spark, folder, "image_versions").select(F.lower(F.trim("prod")).alias("prod"), F.trim("area").alias("area"), time.alias("time"), images.bare_version(F.col("vers")).alias("vers"))
+    return images.latest_versions(files, ["prod", "area", "time"], "vers", numeric=True)
+
+
 @register("SELECT p.p_partkey, p.p_brand, p.p_name FROM part p WHERE EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_name > p.p_name)")
 def version_cleanup_candidates(spark, folder):
     return images.outdated_files(read_table(spark, folder, "part"), ["p_brand"], "p_name").select("p_partkey", "p_brand", "p_name")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loamline import cli
 from loamline.functions import missing, times
 from loamline.operators import agreement, grid, images, sensors, series, uploads
+from loamline.plans import catalog
 from loamline.session import EngineError
 from loamline.sources import netcdf3, readers, writers
 from loamline.streaming import streams
@@ -288,6 +289,22 @@ def test_sensor_export(spark, tmp_path):
     assert "undeducible" in text and "criterion" not in text and ";S" in text
 
 
+def test_versions_in_any_spelling(spark):
+    rows = [("a", "2.9.3"), ("a", "v2.11.12"), ("a", "V2.11.2"), ("b", "V1.0"), ("b", "0.9"), ("c", "v1"), ("c", None), ("d", "1.0.0"), ("d", "V1.0"), ("e", None), ("f", "beta"), ("f", "0")]
+    f = spark.createDataFrame(rows, "k string, vers string")
+    assert dict(images.latest_versions(f, ["k"], numeric=True).collect()) == {"a": "v2.11.12", "b": "V1.0", "c": "v1", "d": "V1.0", "e": None, "f": "0"}
+
+
+def test_latest_version_by_image(spark, tmp_path):
+    rows = [
+        ("SSM1km", "A", "201503260600", "2.9.3"), ("ssm1KM", "A ", "2015-03-26T06:00:00Z", "v2.11.12"), ("SSM1km", "A", "20150326T060000", "V2.11.2"),
+        ("SSM1km", "A", "2015-03-27 06:00", "V1.0"), ("SWIstat", "A", "201503260600", "0.9"), ("SWIstat", "B", None, "v3"),
+    ]
+    spark.createDataFrame(rows, "prod string, area string, img_datetime string, vers string").write.parquet(str(tmp_path / "image_versions.parquet"))
+    got = {(r.prod, r.area, str(r.time), r.vers) for r in catalog.latest_version_by_image(spark, str(tmp_path)).collect()}
+    assert got == {("ssm1km", "A", "2015-03-26 06:00:00", "2.11.12"), ("ssm1km", "A", "2015-03-27 06:00:00", "1.0"), ("swistat", "A", "2015-03-26 06:00:00", "0.9"), ("swistat", "B", "None", "3")}
+
+
 # --- uploads ------------------------------------------------------------------------------------------------------
 
 
