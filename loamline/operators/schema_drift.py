@@ -14,7 +14,7 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,17 +203,33 @@ def union_schema(headers: DataFrame) -> DataFrame:
     )
 
 
+def _typed(kind: Column, text: Column) -> dict[str, Column]:
+    """The text of a field as its promoted kind: ``flag``, ``whole`` (exact) and ``number``, each where the kind has it."""
+    digits = F.when(F.lower(F.trim(text)) == "true", "1").when(F.lower(F.trim(text)) == "false", "0").otherwise(text)
+    exact = digits.try_cast("decimal(38,10)")
+    wholes = [F.when((kind == k) & (exact == F.floor(exact)), F.floor(exact).try_cast(t).cast("decimal(20,0)")) for k, t in SQL_TYPE.items() if k[0] in "iu"]
+    return {"number": F.when(~kind.isin("str", "b1"), digits.try_cast("double")), "flag": F.when(kind == "b1", text.try_cast("boolean")), "whole": F.coalesce(*wholes)}
+
+
 def unified_records(headers: DataFrame) -> DataFrame:
-    """All records in one consistent long table: ``header_id, stream, file_name, field_name, kind, text, number``.
-
-    Every record field appears under its canonical name and promoted type: ``number`` holds it where that type is a
-    number (text that is no number becomes NULL and stays in ``text``), ``text`` always holds its plain form.  A stream
-    has one schema, whatever its files say; a repeated file is kept once (first delivery)."""
-    schema = union_schema(headers).select("stream", F.explode("names").alias("name"), "field_name", "kind")
-    one = headers.where("stream IS NOT NULL AND record_json IS NOT NULL").groupBy("stream", "file_name").agg(F.min_by(F.struct("header_id", "record_json"), F.struct("delivered_at", "header_id")).alias("r"))
-    record = F.from_json("r.record_json", T.MapType(T.StringType(), T.StringType()))
-    cells = one.select("r.header_id", "stream", "file_name", F.explode(record).alias("name", "text"))
-    return cells.join(schema, ["stream", "name"], "left").select(
-        "header_id", "stream", "file_name", F.coalesce("field_name", "name").alias("field_name"), F.coalesce("kind", F.lit("str")).alias("kind"), "text",
-        F.when(F.col("kind") != "str", F.col("text").try_cast("double")).alias("number"),
-    )
+    """All records in one consistent long table: ``header_id, stream, file_name, field_name, kind, text, number, flag,
+    whole, readable``.
+
+    Every field of the stream appears under its canonical name and promoted type, NULL where the file's record has no
+    such field; fields that no header names come as text.  ``text`` always holds the plain form, ``flag`` the value of a
+    b1, ``whole`` that of an integer kind without loss (NULL if it doesn't fit), ``number`` that of every number as
+    double; text that is none of its kind becomes NULL there.  A stream has one schema, whatever its files say; a
+    repeated file is kept once (first delivery with a record).  ``readable`` is false where the record is missing or no
+    JSON object; all fields are NULL then, and a stream without any field has one row without field_name."""
+    union = union_schema(headers)
+    schema = union.select("stream", F.explode("names").alias("name"), "field_name", "kind")
+    fields = union.groupBy("stream").agg(F.collect_list(F.struct("field_name", "names")).alias("fields"))
+    order = F.struct(F.col("record_json").isNull(), "delivered_at", "header_id")
+    one = headers.where("stream IS NOT NULL").groupBy("stream", "file_name").agg(F.min_by(F.struct("header_id", "record_json"), order).alias("r")).join(fields, "stream", "left")
+    one = one.withColumn("record", F.from_json("r.record_json", T.MapType(T.StringType(), T.StringType())))
+    names, cell = F.coalesce(F.map_keys("record"), F.array().cast("array<string>")), "array<struct<name:string,text:string>>"
+    lacking = F.transform(F.filter("fields", lambda f: ~F.arrays_overlap(f["names"], names)), lambda f: F.struct(f["field_name"].alias("name"), F.lit(None).cast("string").alias("text")))
+    every = F.concat(*(F.coalesce(c, F.array()).cast(cell) for c in (F.map_entries("record"), lacking)))
+    cells = one.select("r.header_id", "stream", "file_name", F.col("record").isNotNull().alias("readable"), F.inline_outer(every))
+    known = cells.join(schema, ["stream", "name"], "left").withColumn("kind", F.coalesce("kind", F.lit("str")))
+    return known.select("header_id", "stream", "file_name", F.coalesce("field_name", "name").alias("field_name"), "kind", "text", *(c.alias(n) for n, c in _typed(F.col("kind"), F.col("text")).items()), "readable")

@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime
 
 import pytest
 from hypothesis import given
@@ -160,3 +161,21 @@ def test_unified_records(spark):
     assert {(r.field_name, r.kind) for r in union_schema(df).collect()} == {("A", "f4"), ("T", "str")}
     got = {(r.header_id, r.field_name): (r.text, r.number) for r in unified_records(df).collect()}
     assert got == {(1, "A"): ("3", 3.0), (1, "T"): ("x", None), (2, "A"): ("0.5", 0.5), (2, "T"): (None, None)}
+
+
+def test_unified_records_are_whole_and_typed(spark):
+    def head(**kinds):
+        return json.dumps({"file_format": "x", "attrs": {}, "variables": {n: {"dtype": k, "long_name": n} for n, k in kinds.items()}})
+
+    big, day = 2**53 + 1, datetime(2020, 1, 1)
+    rows = [
+        (1, "s", "a", day, head(ok="bool", n="int64", m="uint64", x="float64"), f'{{"ok": true, "n": {big}, "m": {2**64 - 1}, "x": 1.5}}'),
+        (2, "s", "b", day, head(ok="bool", n="int64"), '{"n": 7.5}'), (3, "s", "c", day, head(), "{broken"), (4, "s", "d", day, head(), "{}"), (5, "s", "e", day, head(), None), (6, "t", "f", day, head(), "no"),
+    ]
+    df = spark.createDataFrame(rows, "header_id long, stream string, file_name string, delivered_at timestamp_ntz, header string, record_json string")
+    got = unified_records(df).collect()
+    by = {(r.header_id, r.field_name): r for r in got}
+    assert len(by) == len(got) and set(by) == {(h, f) for h in range(1, 6) for f in ("ok", "n", "m", "x")} | {(6, None)}
+    assert by[1, "ok"].flag is True and by[1, "n"].whole == big and by[1, "m"].whole == 2**64 - 1 and by[1, "x"].number == 1.5 and by[1, "x"].whole is None
+    assert by[2, "n"].whole is None and by[2, "n"].number == 7.5 and by[2, "m"].text is None
+    assert {h: by[h, "n" if h < 6 else None].readable for h in range(1, 7)} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False}
