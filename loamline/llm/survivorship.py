@@ -1,12 +1,14 @@
 """The best representative of each duplicate group (problem 3), by iterative truth discovery.
 
 Records of a group make claims (field, value); sources that often agree with the accepted values become more reliable,
-and reliable sources' votes weigh more.  Recency is the leading part of every vote: values of the newest version win,
-reliability decides among values that are equally recent and gives each choice its support.
+and reliable sources' votes weigh more.  Recency is the leading part of every vote.  The registered queries rank files
+without ties (version, produced_at, image_id), so there the ranking fixes the donor and truth discovery only gives each
+choice its support; reliability decides where ranks tie, and everywhere without recency.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,8 +64,8 @@ def discover(claims: DataFrame, recency: bool = True, rounds: int = 8, tolerance
 
     Votes are pre-aggregated to (entity, field, value, source).  Each round weighs a value by the reliabilities of its
     sources, accepts the highest vote, and re-estimates each source's reliability as its smoothed share of accepted
-    claims (``prior`` pseudo-claims at one half); it stops when no reliability moves by more than ``tolerance`` or after
-    ``rounds``.  With ``recency`` a vote is led by the newest record behind it, otherwise by weight alone.  ``support`` is
+    claims (``prior`` pseudo-claims at one half); it stops when no reliability moves by more than ``tolerance``.  If that
+    isn't reached in ``rounds``, it warns with the last movement.  With ``recency`` a vote is led by the newest record behind it, otherwise by weight alone.  ``support`` is
     the accepted value's share of all weight.  NULL values are no claims; ties fall to the smallest record.
     """
     votes = cut(
@@ -86,6 +88,8 @@ def discover(claims: DataFrame, recency: bool = True, rounds: int = 8, tolerance
         trust = renewed.select("source", F.col("renewed").alias("trust"), "rows")
         if moved <= tolerance:
             break
+    else:
+        warnings.warn(f"reliabilities still moved by {moved:.3g} in round {rounds}; the accepted values may not be final", stacklevel=2)
     return accepted.select("entity", "field", F.col("chosen").alias("value"), "record", "support")
 
 

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 import loamline.operators.skew as skew
 from loamline.llm.survivorship import discover, image_claims, surviving_rows, survivors
 
@@ -61,5 +63,14 @@ def test_reliable_sources_outvote(spark):
     assert {r.entity: r.value for r in discover(df, recency=True).collect()}["tie"] == "bad"
 
 
+def test_reports_when_it_does_not_settle(spark, recwarn):
+    claims = [(f"e{e}", "f", v, s, 0, n) for e in range(9) for n, (v, s) in enumerate((("right", "a"), ("right", "b"), ("wrong", "c")))]
+    df = spark.createDataFrame(claims, "entity string, field string, value string, source string, rank int, record int")
+    settled = {r.value for r in discover(df, recency=False).collect()}
+    assert settled == {"right"} and not [w for w in recwarn if "still moved" in str(w.message)]
+    with pytest.warns(UserWarning, match="still moved"):
+        discover(df, recency=False, rounds=1)
+
+
 def test_empty(spark):
     assert survivors(table(spark, [])).count() == 0 and image_claims(table(spark, [])).count() == 0
