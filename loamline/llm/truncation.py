@@ -8,6 +8,7 @@ from cut ones by how often they close different mails of the corpus.
 from __future__ import annotations
 
 import binascii
+import codecs
 import re
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ PASS = "doc_id long, source string, lengths array<int>, verdict string, reason s
 FIELDS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lengths", pa.list_(pa.int32())), ("verdict", pa.string()), ("reason", pa.string()), ("ending", pa.string()), ("context", pa.int64())])
 #: An unpunctuated ending is a usual one if it closes at least two different texts and more than one in so many.
 USUAL_ONE_IN = 2500
+CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
 QUOTE = re.compile(r"^[>|\s]+")
 MARK = re.compile(r"(?:\.\.\.|…|\[\.{2,3}\]|\[…\]|\(\.\.\.\))$")
 SENTENCE_END = re.compile(r"[.!?。！？]['\"”’»)\]*_]*$")
@@ -121,6 +123,17 @@ def _plain_ending(text: str, whole: str) -> tuple[str, str, str]:
     return "ask", "mid-sentence", key
 
 
+def _encoded_text(raw: bytes, head: str) -> str | None:
+    """Text of a decoded body in its charset (UTF-8 if none is named), a cut last character as �; None if it is no text."""
+    charset = (m := CHARSET.search(head)) and m[1]
+    try:
+        text = codecs.getincrementaldecoder(charset or "utf-8")().decode(raw)
+        left = len(text.encode(charset or "utf-8")) < len(raw) and not raw.startswith((b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff"))
+    except (LookupError, UnicodeError):
+        text, left = raw.decode("latin-1"), False
+    return None if "\0" in text else text + "�" * left
+
+
 def ending_of(text: str) -> tuple[str, str, str]:
     """(verdict, reason, ending) of a mail; structure first (parts, encodings, markup), then its last line."""
     if "\r" in text:
@@ -134,26 +147,31 @@ def ending_of(text: str) -> tuple[str, str, str]:
     if re.search(r"^content-type:\s*multipart/", head, re.I | re.M):
         return "cut", "inside a part", ""
     encoding = (m := ENCODING.search(head)) and m[1].lower()
+    kind, whole = (m := KIND.search(head)) and m[1].lower(), text
     if encoding == "base64":
         clean = re.sub(r"\s", "", body)
         try:
-            binascii.a2b_base64(clean, strict_mode=True)
-            return "whole", "base64", ""
+            raw = binascii.a2b_base64(clean, strict_mode=True)
         except binascii.Error:
             return "cut", "inside base64", ""
+        # padding closes a body without a type, text is looked at like any other
+        inside = _encoded_text(raw, head) if (kind or "text/").startswith("text/") and (kind or not clean.endswith("=")) else None
+        if inside is None:
+            return "whole", "base64", ""
+        body = inside.replace("\r\n", "\n").replace("\r", "\n")
+        whole = f"{head}\n\n{body}"
     if encoding == "quoted-printable":
         end = body.rstrip("\n")
         if re.search(r"=[0-9A-Fa-f]?$", end):
             return "cut", "inside an encoded character", ""
         body = from_quoted(body)
-    kind = (m := KIND.search(head)) and m[1].lower()
     if kind == "text/html" or re.search(r"<(?:html|body)\b", body[:300], re.I):
         if re.search(r"</html>\s*$", body, re.I) or (not re.search(r"<html\b", body, re.I) and re.search(r"</\w+>\s*$", body)):
             return "whole", "closed markup", ""
         if re.search(r"<(?:html|body)\b", body, re.I) or re.search(r"<[^>]*$", body):
             return "cut", "inside markup", ""
         body = from_markup(body)
-    return _plain_ending(body, text)
+    return _plain_ending(body, whole)
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Problem 10: text cut off by field limits."""
 
+import base64
 import html
 import json
 import random
@@ -43,6 +44,16 @@ def test_endings(text, verdict):
     assert ending_of(text)[0] == verdict
 
 
+@pytest.mark.parametrize("kind,body,keep,verdict", [
+    ("text/plain", "All is well now, we are all done.", None, "whole"), ("text/plain", "The probe drifted again and aga", None, "ask"), ("text/plain", "The probe drifted again and again.", 24, "ask"),
+    ("text/plain; charset=utf-8", "ab Größe", 8, "cut"), ("text/plain; charset=iso-8859-1", "All is well, Größe.", None, "whole"), ("text/html", "<html><body>All is well", None, "cut"), ("text/html", "<html><body>Hi.</body></html>", None, "whole"),
+    ("image/png", "The probe drifted again and aga", None, "whole"), (None, "The probe drifted again and again", None, "ask"), (None, "The probe drifted again!!", 24, "ask"),
+])
+def test_base64_text_is_looked_at(kind, body, keep, verdict):
+    raw = base64.b64encode(body.encode("iso-8859-1" if kind and "8859" in kind else "utf-8")).decode()[:keep]
+    assert ending_of(HEAD + (f"Content-Type: {kind}\n" if kind else "") + "Content-Transfer-Encoding: base64\n\n" + raw)[0] == verdict
+
+
 def corpus(spark):
     rnd = random.Random(1)
     rows = []
