@@ -35,8 +35,6 @@ ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 END_OF_ADDRESS = re.compile(r"@(?:[\w-]+\.)+(?:example|test|invalid|localhost|com|org|net|edu|gov|int|info|[a-z]{2})>?$", re.I)
 INITIALS = re.compile(r"^[/~-]{1,2} ?[A-Za-z]{1,3}$")
 PERSON = re.compile(r"^[^\W\d_a-zß-ÿ][\w'’.-]+(?: [^\W\d_a-zß-ÿ][\w'’.-]+){0,2}$")
-#: A sentence has at most so many words; a longer unpunctuated last paragraph is a remark without punctuation.
-LONGEST_SENTENCE = 30
 GREETING = re.compile(r"^[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*){0,3}[,:]$")
 
 
@@ -113,13 +111,6 @@ def _plain_ending(text: str, whole: str) -> tuple[str, str, str]:
     if above and PERSON.match(last) and len(above[-1]) <= 25 and (above[-1] in ("--", "-- ") or (not SENTENCE_END.search(above[-1]) and above[-1] and not above[0])):
         # a name below a closing phrase; cut only if it begins a longer name of this mail
         return ("cut", "inside a name", "") if any(n.startswith(last) for n in names) else ("whole", "name", "")
-    paragraph = last
-    for x in reversed(lines[:-1]):
-        if not QUOTE.sub("", x).strip():
-            break
-        paragraph = x + " " + paragraph
-    if len(paragraph.split()) > LONGEST_SENTENCE and not re.search(r"[.!?](?:\s|$)", paragraph):
-        return "whole", "remark", ""
     return "ask", "mid-sentence", key
 
 

@@ -54,6 +54,14 @@ def test_base64_text_is_looked_at(kind, body, keep, verdict):
     assert ending_of(HEAD + (f"Content-Type: {kind}\n" if kind else "") + "Content-Transfer-Encoding: base64\n\n" + raw)[0] == verdict
 
 
+def test_a_long_unpunctuated_end_is_asked_about(spark):
+    long = " ".join(f"word{'abcdefgh'[k % 8]}" for k in range(45))
+    assert ending_of(PLAIN + long + " and the pro")[0] == ending_of(PLAIN + "> " + long.replace(" ", "\n> ") + "\n> and the pro")[0] == "ask"
+    assert ending_of(PLAIN + long + " and the probe.")[0] == "whole"
+    docs = [(1, PLAIN + long + " and the pro", "a")] + [(i, PLAIN + f"Done {i}.", "a") for i in range(2, 40)]
+    assert [r.doc_id for r in truncated(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()] == [1]
+
+
 def corpus(spark):
     rnd = random.Random(1)
     rows = []
