@@ -455,10 +455,25 @@ def error_summary(spark, folder):
 
 @register("SELECT dataset_name, count(*) AS files, count(DISTINCT file_name) AS names, min(lat) AS lat_min, max(lat) AS lat_max FROM csv_series WHERE lat BETWEEN -90 AND 90 GROUP BY dataset_name")
 def coordinate_ranges(spark, folder):
+    """Of rows with a latitude in range only, as its SQL has it; ``coordinate_bounds`` is the whole report."""
     c = read_table(spark, folder, "csv_series").where("lat BETWEEN -90 AND 90")
     return c.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_name").alias("names"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"))
 
 
+@register("""
+WITH c AS (SELECT dataset_name, file_name, CASE WHEN CAST(lat AS VARCHAR) NOT IN ('nan', '-9999.0') THEN lat END AS lat, CASE WHEN CAST(lon AS VARCHAR) NOT IN ('nan', '-9999.0') THEN lon END AS lon FROM csv_series)
+SELECT dataset_name, count(*) AS files, count(DISTINCT file_name) AS names, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max,
+  count(*) FILTER (WHERE lat IS NULL OR lon IS NULL) AS missing, count(*) FILTER (WHERE lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180) AS outside FROM c GROUP BY dataset_name
+""")
+def coordinate_bounds(spark, folder):
+    """Bounds of both coordinates over all rows, and how many lack a coordinate or have one out of -90..90 or -180..180."""
+    lat, lon = (present(F.col(c), -9999) for c in ("lat", "lon"))
+    c = read_table(spark, folder, "csv_series").select("dataset_name", "file_name", lat.alias("lat"), lon.alias("lon"))
+    outside = F.coalesce(~F.col("lat").between(-90, 90), F.lit(False)) | F.coalesce(~F.col("lon").between(-180, 180), F.lit(False))
+    bounds = [f(v).alias(f"{v}_{n}") for v in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
+    return c.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_name").alias("names"), *bounds, F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("missing"), F.count_if(outside).alias("outside"))
+
+
 # --- swaths of the missions, and what remains ---------------------------------------------------------------------
 
 

@@ -305,6 +305,14 @@ def test_latest_version_by_image(spark, tmp_path):
     assert got == {("ssm1km", "A", "2015-03-26 06:00:00", "2.11.12"), ("ssm1km", "A", "2015-03-27 06:00:00", "1.0"), ("swistat", "A", "2015-03-26 06:00:00", "0.9"), ("swistat", "B", "None", "3")}
 
 
+def test_coordinate_bounds_keep_every_row(spark, tmp_path):
+    nan = float("nan")
+    rows = [("d", "a", 1.0, 2.0), ("d", "b", 95.0, 3.0), ("d", "c", -9999.0, 200.0), ("d", "c", nan, None), ("d", "e", -91.0, -9999.0), ("e", "f", None, nan)]
+    spark.createDataFrame(rows, "dataset_name string, file_name string, lat double, lon double").write.parquet(str(tmp_path / "csv_series.parquet"))
+    got = {r.dataset_name: tuple(r)[1:] for r in catalog.coordinate_bounds(spark, str(tmp_path)).collect()}
+    assert got == {"d": (5, 4, -91.0, 95.0, 2.0, 200.0, 3, 3), "e": (1, 1, None, None, None, None, 1, 0)}
+
+
 # --- uploads ------------------------------------------------------------------------------------------------------
 
 
