@@ -80,18 +80,27 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 def fill(lengths: list[int], counts: list[int], budget: int, width: int = WIDTH) -> list[int]:
     """Numbers to take of each length for a budget of any size: in proportion first, so the sample keeps the lengths'
-    distribution, then one more of each until little is left, then the knapsack over what remains."""
+    distribution, then more of each until little is left or nothing fits, then the knapsack over what remains."""
     total = sum(x * n for x, n in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
     take = [n * budget // total for n in counts]
     left = budget - sum(x * n for x, n in zip(lengths, take, strict=True))
-    for i in sorted(range(len(lengths)), key=lambda i: (-(counts[i] * budget % total), -lengths[i])):
+    order = sorted(range(len(lengths)), key=lambda i: (-(counts[i] * budget % total), -lengths[i]))
+    for i in order:
         if left <= width:
             break
         if take[i] < counts[i] and lengths[i] <= left:
             take[i], left = take[i] + 1, left - lengths[i]
-    more = knapsack(lengths, [n - t for n, t in zip(counts, take, strict=True)], min(left, width * 4))
+    while left > width * 4:  # longer documents don't fit any more: shorter ones, evenly
+        fits = [i for i in order if take[i] < counts[i] and 0 < lengths[i] <= left]
+        if not fits:
+            return take
+        each = max(1, (left - width) // sum(lengths[i] for i in fits))  # the knapsack keeps its room
+        for i in fits:
+            k = min(each, counts[i] - take[i], max(1, (left - width) // lengths[i]), left // lengths[i])
+            take[i], left = take[i] + k, left - k * lengths[i]
+    more = knapsack(lengths, [n - t for n, t in zip(counts, take, strict=True)], left)
     return [t + m for t, m in zip(take, more, strict=True)]
 
 
@@ -118,7 +127,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """
     listed = targets.where("source IS NOT NULL").groupBy("source").agg(F.max(F.greatest(F.coalesce(F.nanvl("target_share", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     counted = token_counts(documents, tokenizer)
-    histogram = cut(counted.where("tokens > 0").select("doc_id", "source", "tokens").distinct().groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(listed.limit(100_000)), "source"), "lengths")
+    histogram = cut(counted.where("tokens > 0").select("doc_id", "source", "tokens").distinct().groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")).join(listed, "source"), "lengths")
     if total_tokens is None:
         total_tokens = histogram.agg(F.sum(F.col("n") * F.col("tokens"))).first()[0] or 0
     quota = F.floor(F.col("target_share") * F.lit(total_tokens) + F.lit(1e-6)).cast("long")

@@ -30,6 +30,12 @@ def test_fill_stays_within_stock_and_budget(stock, share):
     assert used >= min(int(total * share), total) - max(lengths)
 
 
+def test_fill_goes_on_with_shorter_documents():
+    assert fill([1, 3_000_000], [400_000, 5], 1_000_000) == [400_000, 0]
+    lengths, counts = [2, 5, 4_000_000], [300_000, 300_000, 9]
+    assert sum(x * t for x, t in zip(lengths, fill(lengths, counts, 1_999_999), strict=True)) == 1_999_999
+
+
 DOCS = "doc_id long, text string, source string, tokens string, n int"
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -69,6 +75,13 @@ def test_selection_is_seeded_and_salted(spark, monkeypatch):
     assert sum(r.tokens * r.copies for r in cut[0].collect()) == cut[1].collect()[0].tokens_mixed
 
 
+def test_no_target_is_left_out(spark):
+    targets = spark.range(200_000).selectExpr("concat('s', id) AS source", "1 / 200000 AS target_share", "1 AS max_repeats")
+    docs = spark.range(60).selectExpr("id AS doc_id", "'soil moisture' AS text", "concat('s', id * 3333) AS source")
+    report = mix(docs, targets, total_tokens=10**9)[1]
+    assert report.count() == 200_000 and report.where("tokens_mixed > 0").count() == 60
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("big", 1.0, 1)], TARGETS)
     mixed, report = mix(corpus(spark).limit(0), targets)
