@@ -1,20 +1,23 @@
 """Implausible readings per source (problem 7).
 
 One range-partitioned, sorted pass splits a source of any size over many tasks.  Each task decomposes its pieces of
-the series (running-median trend, seasonal medians by phase of day, remainder) and emits a mergeable sketch per source
-plus the readings that stand out; the few readings near the cut between two tasks are decided in a second, tiny pass
-that joins both sides.  The merged sketches give each source its scatter, its seasonal medians and its generalised
-extreme studentised deviate limit; readings beyond the limit are then checked against the course on both sides.
+the series and emits a mergeable sketch per source plus the readings that stand out; the few readings near the cut
+between two tasks are decided in a second, tiny pass that joins both sides.  The running-median trend takes the course
+of the year with it; the merged sketches give each source its season by hour of day, its scatter and, from the remainder,
+its generalised extreme studentised deviate limit.  Only readings beyond the limit can be spikes; they are then checked
+against the course on both sides.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,9 @@ from loamline.session import cut
 CONTEXT = 7
 #: Readings a task holds at once; a longer partition is decided piece by piece, as if it were cut there.
 ROWS_AT_ONCE = 250_000
-PHASES, PHASE_STRIDE, BIN_MID = 4, 2048, 1024
+PHASES, PHASE_STRIDE, BIN_MID = 24, 2048, 1024
+#: Readings that a phase of the day needs for a season of its own.
+PHASE_LEAST = 8
 LOG_STEP, LEAST = math.log(1.04), 1e-5
 PASS_SCHEMA = "kind string, sensor string, gpi long, unix double, value double, obs_id long, brk boolean, open boolean, newpiece boolean, reason string, detrended double, phase int, excursion double, steps array<int>, step_n array<int>, rests array<int>, rest_n array<int>"
 FIELDS = pa.schema(
@@ -137,9 +142,8 @@ def _decided(sensor: pa.Array, gpi: np.ndarray, unix: np.ndarray, x: np.ndarray,
 def _last_key(table: pa.Table) -> int:
     """Where the last (sensor, gpi, time) of a sorted table begins."""
     last = np.ones(table.num_rows, bool)
-    for c in ("code", "gpi", "unix"):
-        values = table[c].to_numpy()
-        last &= values == values[-1]
+    for c in ("unix", "gpi", "sensor"):
+        last &= pc.equal(table[c], table[c][-1]).to_numpy(zero_copy_only=False) if c == "sensor" else table[c].to_numpy() == table[c][-1].as_py()
     return int(np.argmin(last[::-1])) and table.num_rows - int(np.argmin(last[::-1]))
 
 
@@ -160,7 +164,8 @@ def _sorted_pass(valid: tuple[float, float], longest: int, least_run: int):
             yield from part(pa.Table.from_batches(held).combine_chunks())
 
     def part(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        code = np.asarray(table["code"])
+        sensors = table["sensor"].combine_chunks().dictionary_encode()
+        code = np.asarray(sensors.indices)
         gpi, unix, x = (np.asarray(table[c]) for c in ("gpi", "unix", "value"))
         obs = table["obs_id"].to_numpy()
         new = np.ones(len(x), bool)
@@ -170,8 +175,7 @@ def _sorted_pass(valid: tuple[float, float], longest: int, least_run: int):
         series = np.cumsum(new) - 1
         kept = np.flatnonzero(~repeat)
         code, gpi, unix, x, obs, series = code[kept], gpi[kept], unix[kept], x[kept], obs[kept], series[kept]
-        names = pa.array(["smap" if c == 0 else "smos" for c in range(2)])
-        sensor = names.take(pa.array(code))
+        sensor = sensors.dictionary.take(pa.array(code))
         inside = (x >= valid[0]) & (x <= valid[1])
         out = np.flatnonzero(~inside)
         if len(out):
@@ -227,11 +231,11 @@ def _stitch(longest: int, least_run: int):
     return run
 
 
-def esd_limit(n: int, i: int, alpha: float) -> float:
-    """Critical value of the i-th step (from 1) of the generalised ESD test on n values.
+@lru_cache(maxsize=1 << 17)
+def esd_limit(m: int, alpha: float) -> float:
+    """Critical value of a step of the generalised ESD test at which m values are left, the tested one included.
 
     Student's t comes from its normal quantile by the Cornish-Fisher series."""
-    m = n - i + 1
     if m < 4:
         return math.inf
     z, df = NormalDist().inv_cdf(1 - alpha / (2 * m)), m - 2
@@ -245,33 +249,67 @@ def _weighted_median(values: np.ndarray, n: np.ndarray) -> float:
     return float(values[order][np.searchsorted(c, c[-1] / 2)])
 
 
+def season_of(phase: np.ndarray, value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The median of each phase of the day; phases with too few values take the median of all."""
+    out = np.full(PHASES, _weighted_median(value, n))
+    order = np.lexsort((value, phase))
+    p, c = phase[order], np.cumsum(n[order])
+    first = np.flatnonzero(np.diff(p, prepend=-1))
+    before = np.where(first > 0, c[first - 1], 0)
+    size = np.append(before[1:], c[-1]) - before
+    enough = size >= PHASE_LEAST
+    out[p[first[enough]]] = value[order][np.searchsorted(c, (before + size / 2)[enough])]
+    return out
+
+
+def outlier_limit(rest: np.ndarray, n: np.ndarray, alpha: float, most: float) -> float:
+    """The smallest deviation that the generalised ESD test calls an outlier; infinite if there is none.
+
+    ``rest`` holds remainders and ``n`` how often each occurs.  The extremes are taken away one by one, up to the share
+    ``most``, centre and scale are estimated anew from what is left, and all up to the last step that passes are outliers."""
+    order = np.argsort(-np.abs(rest))
+    r, c = rest[order], n[order]
+    total, gone = int(c.sum()), np.cumsum(c)
+    # before the last value of a bin goes, it and all smaller bins are left
+    left = total - gone + 1
+    s1, s2 = r * c, r * r * c
+    s1, s2 = s1.sum() - np.cumsum(s1) + r, s2.sum() - np.cumsum(s2) + r * r
+    tail = np.flatnonzero((gone <= max(1, most * total)) & (left > 3))
+    if not len(tail):
+        return math.inf
+    m = left[tail]
+    mean = s1[tail] / m
+    deviation = np.sqrt(np.maximum(s2[tail] - m * mean * mean, 0.0) / (m - 1))
+    limits = np.array([esd_limit(int(k), alpha) for k in m])
+    passed = np.flatnonzero(np.abs(r[tail] - mean) > limits * np.maximum(deviation, LEAST))
+    return float(np.abs(r[tail[passed[-1]]])) if len(passed) else math.inf
+
+
 def _summaries(alpha: float, most: float):
-    """From merged sketches: scatter, seasonal medians, remainder scale and ESD limit of each source."""
+    """From merged sketches: scatter, season by phase of day, and ESD limit of each source."""
+
+    def columns(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lists = batch.column(name)
+        flat, sizes = lists.flatten(), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        bins, n = np.asarray(flat.field("bin")), np.asarray(flat.field("n"))
+        return ((bins[a:b], n[a:b]) for a, b in zip(ends, ends[1:], strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scatter, limit, season = [], [], []
-            for steps, rests in zip(batch.column("steps").to_pylist(), batch.column("rests").to_pylist(), strict=True):
+            for (b, c), (k, kn) in zip(columns(batch, "steps"), columns(batch, "rests"), strict=True):
                 s = 0.0
-                if steps:
-                    b, c = (np.array([r[k] for r in steps]) for k in ("bin", "n"))
+                if len(b):
                     v = np.abs(bin_value(b))
                     s = 1.4826 / math.sqrt(2) * _weighted_median(v, c)
                     if _weighted_median(b.astype(float), c) == 0 and (b > 0).any():  # mostly repeated values: the rest tells
                         s = 1.4826 / math.sqrt(2) * _weighted_median(v[b > 0], c[b > 0])
-                k, c = (np.array([r[x] for r in rests]) for x in ("bin", "n"))
                 phase, value = k // PHASE_STRIDE, bin_value(k % PHASE_STRIDE - BIN_MID)
-                medians = [_weighted_median(value[phase == p], c[phase == p]) if (phase == p).any() else 0.0 for p in range(PHASES)]
-                rest = np.abs(value - np.array(medians)[phase])
-                scale = max(1.4826 * _weighted_median(rest, c), LEAST)
-                order = np.argsort(-rest)
-                r, above = rest[order] / scale, np.cumsum(c[order])
-                n = int(c.sum())
-                # outliers are all values from the smallest extreme on whose deviation still passes its own step
-                passed = [float(x) for x, i in zip(r, above, strict=True) if i <= max(1, most * n) and x > esd_limit(n, int(i), alpha)]
+                of_day = season_of(phase, value, kn)
                 scatter.append(max(s, LEAST))
-                limit.append(min(passed, default=esd_limit(n, 1, alpha) if n >= 4 else 0.0) * scale * math.exp(-LOG_STEP))
-                season.append(medians)
+                limit.append(outlier_limit(value - of_day[phase], kn, alpha, most) * math.exp(-LOG_STEP))  # a bin's lower end
+                season.append(of_day)
             yield pa.RecordBatch.from_arrays([batch.column("sensor"), batch.column("gpi"), pa.array(scatter, pa.float64()), pa.array(limit, pa.float64()), pa.array(season, pa.list_(pa.float64()))], names=["sensor", "gpi", "scatter", "limit", "season"])
 
     return run
@@ -282,15 +320,15 @@ def flag_readings(readings: DataFrame, valid: tuple[float, float] = (0.0, 1.0),
 
     ``reason`` is ``range`` (outside ``valid``), ``constant`` (at least ``least_run`` present readings in a row with one
     value) or ``spike``: the remainder of the decomposition passes the source's generalised ESD limit (level ``alpha``,
-    up to the share ``most`` of readings), and one to ``longest`` readings in a row leave the course before and after
+    up to the share ``most`` of readings), so a peak that comes every day at its hour is none, and one to ``longest`` readings in a row leave the course before and after
     them to the same side by more than ``times`` the source's scatter, and by more than the course itself has moved.  Each obs_id comes once per sensor; repeated
-    deliveries count once; equal times are ordered by obs_id.  Input needs ``sensor`` (smap or smos), gpi, unix, value
+    deliveries count once; equal times are ordered by obs_id.  Input needs ``sensor`` (any text), gpi, unix, value
     and obs_id; rows with NULL in one of them must be gone (``readings_of`` drops them, but for obs_id).  An empty input
     gives an empty result.  Series of less than three readings have no spikes.
     """
-    ordered = readings.select(F.when(F.col("sensor") == "smap", 0).otherwise(1).cast("int").alias("code"), "gpi", "unix", "value", F.coalesce(F.col("obs_id"), F.lit(-1)).alias("obs_id"))
+    ordered = readings.where("sensor IS NOT NULL").select("sensor", "gpi", "unix", "value", F.coalesce(F.col("obs_id"), F.lit(-1)).alias("obs_id"))
     ordered = ordered.distinct()  # copies fall together before the shuffle: no range holds more than distinct readings
-    ordered = ordered.repartitionByRange("code", "gpi", "unix").sortWithinPartitions("code", "gpi", "unix", "obs_id")
+    ordered = ordered.repartitionByRange("sensor", "gpi", "unix").sortWithinPartitions("sensor", "gpi", "unix", "obs_id")
     first = cut(ordered.mapInArrow(_sorted_pass(valid, longest, least_run), PASS_SCHEMA), "spikes-pass")
     stitched = first.where("kind = 'edge'").groupBy("sensor", "gpi").applyInArrow(_stitch(longest, least_run), PASS_SCHEMA)
     both = cut(first.where("kind <> 'edge'").unionByName(stitched), "spikes-decided")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamline.operators.readings import EPOCH, all_readings, readings_of
 from loamline.operators.regular_grid import missing_days, regularize
-from loamline.operators.spikes import esd_limit, flag_readings
+from loamline.operators.spikes import esd_limit, features, flag_readings, outlier_limit
 
 SCHEMA = "obs_id long, gpi long, acquisition_time double, soil_moisture double, extra string"
 NAN = float("nan")
@@ -115,7 +115,7 @@ def test_long_partitions_are_decided_in_pieces(spark, partitions, monkeypatch):
     partitions(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
     source = all_readings(raw(spark, rows), raw(spark, []))
-    ordered = source.selectExpr("0 code", "gpi", "unix", "value", "obs_id").orderBy("gpi", "unix", "obs_id").toArrow()
+    ordered = source.selectExpr("sensor", "gpi", "unix", "value", "obs_id").orderBy("gpi", "unix", "obs_id").toArrow()
     pieces = {}
     for limit in (10**9, 60, 7):
         monkeypatch.setattr(spikes, "ROWS_AT_ONCE", limit)
@@ -151,7 +151,45 @@ def test_runs_broken_by_an_impossible_reading(spark, partitions):
 
 def test_esd_limit_matches_known_values():
     # critical values of the generalised ESD example with 54 values and level 0.05
-    assert abs(esd_limit(54, 1, 0.05) - 3.159) < 0.01 and abs(esd_limit(54, 3, 0.05) - 3.144) < 0.01
+    assert abs(esd_limit(54, 0.05) - 3.159) < 0.01 and abs(esd_limit(52, 0.05) - 3.144) < 0.01
+
+
+def test_outlier_limit_equals_the_test_step_by_step():
+    """Against the generalised ESD test on single values, with masked outliers."""
+    rnd = np.random.default_rng(5)
+    for n, shift in ((60, (4, 5, 5.5, 6)), (300, (3.9, 9, 9.1)), (40, ()), (500, (60, 61, -62, 7))):
+        x = np.concatenate([rnd.normal(0, 1, n - len(shift)), shift])
+        left, passed = list(x), 0
+        removed = []
+        for i in range(1, n // 5 + 1):
+            rest = np.array(left)
+            worst = int(np.argmax(np.abs(rest)))  # remainders are centred by their season
+            if abs(rest[worst] - rest.mean()) > esd_limit(len(rest), 0.05) * rest.std(ddof=1):
+                passed = i
+            removed.append(abs(left.pop(worst)))
+        expected = removed[passed - 1] if passed else math.inf
+        assert outlier_limit(x, np.ones(n, int), 0.05, 0.2) == expected
+
+
+def test_a_daily_peak_is_the_season(spark):
+    """A peak at the same hour of every day leaves its course by far more than eight times the scatter; the season takes
+    it, so the generalised ESD limit keeps it from being flagged."""
+    rnd = random.Random(4)
+    values = [0.2 + rnd.gauss(0, 0.004) + 0.15 * (i % 24 == 12) for i in range(24 * 40)]
+    values[101] += 0.15
+    values[500] -= 0.15
+    rows = [(i, 1, at(16000 + i / 24), v, None) for i, v in enumerate(values)]
+    zero = np.zeros(len(values), int)
+    _, excursion, step, _ = features(np.array(values), zero, zero.astype(bool), 3, 8)
+    plain = set(np.flatnonzero(excursion > 8 * 1.4826 / math.sqrt(2) * np.nanmedian(np.abs(step))).tolist())
+    got = {g.obs_id for g in flag_readings(all_readings(raw(spark, rows), raw(spark, []))).where("reason = 'spike'").collect()}
+    assert got == {101, 500} and len(plain) > 35
+
+
+def test_any_sensor_is_judged_by_itself(spark):
+    rows = [(s, 1, float(i * 43200), 0.2 + 0.003 * ((i * 7919) % 7 - 3) + (0.2 if (s, i) == ("ascat", 40) else 0.0), i) for s in ("smap", "smos", "ascat") for i in range(80)]
+    df = spark.createDataFrame(rows, "sensor string, gpi long, unix double, value double, obs_id long")
+    assert [(g.sensor, g.obs_id, g.reason) for g in flag_readings(df).collect()] == [("ascat", 40, "spike")]
 
 
 def test_clashing_columns_are_ignored(spark):
