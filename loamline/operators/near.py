@@ -1,17 +1,25 @@
-"""Points near other points (problem 6): a dual-tree join in distributed rounds.
+"""Points near other points, and regions that contain points (problem 6).
 
-Both point sets lie in an octree over the unit sphere; a node is a cell with the bounding box of its points.  Each round
-compares surviving node pairs one level deeper: pairs that can't be near are discarded, pairs that are certainly near
-are accepted whole, and what is left undecided at the leaves is refined point by point.  Boxes are three-dimensional,
-so the date line and the poles need no special case.
+Both point sets lie in an octree over the unit sphere; a node is a cell with the bounding box of its points.  A dual-tree
+join compares node pairs from the roots down: pairs that can't be near are discarded, pairs that are certainly near are
+accepted whole, with all below them, and what is undecided at the leaves is refined point by point.  Boxes are
+three-dimensional, so the date line and the poles need no special case.
+
+A right side of up to RIGHT_AT_MOST points (counted) goes to all tasks as a tree; each task builds the tree of its own left
+points and runs the join, so no point is shuffled.  Beyond that both trees are tables, rolled up once from the leaves, and
+the pairs of one level are joined to those of the next.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loamline.functions.missing import present
 from loamline.operators.skew import salted_join
@@ -19,9 +27,9 @@ from loamline.session import cut
 
 EARTH_KM = 6371.0
 LEVELS = 12  # 2 / 4096 of the radius: cells of about 3 km
-STOPS = (6, 9, 12)  # levels at which pairs may leave the recursion
-LEAF_PAIRS = 4096  # undecided pairs of nodes with at most so many point pairs are refined at once
 SLACK = 1e-12  # of the squared chord, for rounding
+RIGHT_AT_MOST = 200_000
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 20_000, 500_000
 
 
 def valid_points(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -42,6 +50,115 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_KM)
 
 
+# --- the join inside a task -----------------------------------------------------------------------------------------
+
+
+class Tree:
+    """The octree of some points: for each level the nodes' boxes, where their children begin, and (for points with a
+    reach) the greatest and least reach below; the last level's children are the points in ``order``."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, reach: np.ndarray | None = None):
+        a, o = np.radians(lat), np.radians(lon)
+        xyz = np.stack([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)], -1)
+        cell = np.minimum(np.floor((xyz + 1) * 2 ** (LEVELS - 1)), 2**LEVELS - 1).astype(np.int64)
+        code = np.zeros(len(lat), np.int64)
+        for bit in range(LEVELS):
+            for k in range(3):
+                code |= ((cell[:, k] >> bit) & 1) << (3 * bit + k)
+        self.order = np.argsort(code, kind="stable")
+        node, low, high = code[self.order], xyz[self.order], xyz[self.order]
+        most = least = None if reach is None else reach[self.order]
+        self.low, self.high, self.start, self.most, self.least = [], [], [], [], []
+        for level in range(LEVELS, -1, -1):
+            first = np.flatnonzero(np.diff(node, prepend=-1)) if len(node) else np.zeros(0, int)
+            self.start.append(np.append(first, len(node)))
+            if len(first):
+                low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+                if reach is not None:
+                    most, least = np.maximum.reduceat(most, first), np.minimum.reduceat(least, first)
+            node = node[first] >> 3 if level else node[first]
+            self.low.append(low), self.high.append(high), self.most.append(most), self.least.append(least)
+        for kept in (self.low, self.high, self.start, self.most, self.least):
+            kept.reverse()  # by level, the root first
+
+
+def _combined(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each child of a with each child of b, pair by pair, and the pair they come from."""
+    k = n_a * n_b
+    i = np.repeat(np.arange(len(k)), k)
+    w = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+    return i, first_a[i] + w // n_b[i], first_b[i] + w % n_b[i]
+
+
+def dual_tree(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in a.order, place in b.order, sure) of point pairs that may be near, in slices; ``sure`` pairs come from nodes that
+    were accepted whole."""
+    if not len(a.order) or not len(b.order):
+        return
+    todo = [(0, np.zeros(1, int), np.zeros(1, int), np.zeros(1, bool))]
+    while todo:
+        level, pa_, pb, sure = todo.pop()
+        if len(pa_) > PAIRS_AT_ONCE:
+            half = len(pa_) // 2
+            todo += [(level, pa_[:half], pb[:half], sure[:half]), (level, pa_[half:], pb[half:], sure[half:])]
+            continue
+        sa, sb = a.start[level], b.start[level]
+        n_a, n_b = sa[pa_ + 1] - sa[pa_], sb[pb + 1] - sb[pb]
+        if level == LEVELS and len(pa_) > 1 and (n_a * n_b).sum() > ROWS_AT_ONCE:
+            half = len(pa_) // 2
+            todo += [(level, pa_[:half], pb[:half], sure[:half]), (level, pa_[half:], pb[half:], sure[half:])]
+            continue
+        i, ca, cb = _combined(sa[pa_], n_a, sb[pb], n_b)
+        s = sure[i]
+        if level == LEVELS:
+            yield ca, cb, s
+            continue
+        level += 1
+        lo_a, hi_a, lo_b, hi_b = a.low[level][ca], a.high[level][ca], b.low[level][cb], b.high[level][cb]
+        apart = np.maximum(np.maximum(lo_a - hi_b, lo_b - hi_a), 0.0)
+        across = np.maximum(hi_a - lo_b, hi_b - lo_a)
+        s |= (across * across).sum(1) <= a.least[level][ca] * (1 - 1e-9) - SLACK
+        keep = np.flatnonzero(s | ((apart * apart).sum(1) <= a.most[level][ca] * (1 + 1e-9) + SLACK))
+        if len(keep):
+            todo.append((level, ca[keep], cb[keep], s[keep]))
+
+
+def _km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    a, b = np.radians(lat1), np.radians(lat2)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return np.arcsin(np.sqrt(np.minimum(h, 1.0))) * (2 * EARTH_KM)
+
+
+def _searcher(ids: pa.Array, lat: np.ndarray, lon: np.ndarray, names: tuple[str, str]):
+    """Left points of a task against the whole right side."""
+    tree = Tree(lat, lon)
+    lat, lon, ids = lat[tree.order], lon[tree.order], ids.take(pa.array(tree.order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, whose = np.unique(np.stack([np.asarray(batch.column(c)) for c in ("lat", "lon", "radius")], -1), axis=0, return_inverse=True)
+            whose = whose.reshape(-1)
+            by_place, first = np.argsort(whose, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(places)))])
+            chord = 2 * np.sin(np.minimum(places[:, 2] / (2 * EARTH_KM), math.pi / 2))
+            mine = Tree(places[:, 0], places[:, 1], chord * chord)
+            for x, y, sure in dual_tree(mine, tree):
+                p = mine.order[x]
+                km = _km(places[p, 0], places[p, 1], lat[y], lon[y])
+                near = np.flatnonzero(sure | (km <= places[p, 2]))
+                p, y, km = p[near], y[near], km[near]
+                n = first[p + 1] - first[p]  # rows of a place
+                cuts = np.flatnonzero(np.diff(np.cumsum(n) // ROWS_AT_ONCE, prepend=0)) if len(n) else []
+                for part in np.split(np.arange(len(p)), cuts):
+                    if len(part):
+                        i, row, _ = _combined(first[p[part]], n[part], np.zeros(len(part), int), np.ones(len(part), int))
+                        yield pa.RecordBatch.from_arrays([batch.column(names[0]).take(pa.array(by_place[row])), ids.take(pa.array(y[part][i])), pa.array(km[part][i])], names=[*names, "km"])
+
+    return run
+
+
+# --- the join of two large sides --------------------------------------------------------------------------------------
+
+
 def _placed(df: DataFrame) -> DataFrame:
     """Adds x, y, z and the code of the leaf cell: three bits a level, the coarsest first."""
     lat, lon = F.radians("lat"), F.radians("lon")
@@ -55,22 +172,26 @@ def _placed(df: DataFrame) -> DataFrame:
 
 
 BOX = [f"{f}_{c}" for c in "xyz" for f in ("lo", "hi")]
+STRIDE = 2  # levels that a step goes down
 
 
-def _leaves(points: DataFrame, reach: bool) -> DataFrame:
-    aggs = [agg.alias(n) for c in "xyz" for agg, n in ((F.min(c), f"lo_{c}"), (F.max(c), f"hi_{c}"))] + [F.count(F.lit(1)).alias("n")]
-    if reach:
+def _leaves(points: DataFrame, side: str) -> DataFrame:
+    aggs = [agg.alias(f"{side}_{n}") for c in "xyz" for agg, n in ((F.min(c), f"lo_{c}"), (F.max(c), f"hi_{c}"))] + [F.count(F.lit(1)).alias(f"{side}_n")]
+    if side == "a":
         aggs += [F.max("reach").alias("reach_max"), F.min("reach").alias("reach_min")]
-    return points.groupBy(F.col("leaf").alias("node")).agg(*aggs)
+    return points.groupBy(F.col("leaf").alias(f"{side}_node")).agg(*aggs)
 
 
-def _level(leaves: DataFrame, level: int, side: str) -> DataFrame:
-    """Nodes of a level with their parent, from the leaves; columns carry the side's prefix."""
-    aggs = [(F.min if c.startswith("lo") else F.max)(c).alias(f"{side}_{c}") for c in BOX] + [F.sum("n").alias(f"{side}_n")]
-    if "reach_max" in leaves.columns:
-        aggs += [F.max("reach_max").alias("reach_max"), F.min("reach_min").alias("reach_min")]
-    node = F.shiftright("node", 3 * (LEVELS - level))
-    return leaves.groupBy(node.alias(f"{side}_node")).agg(*aggs).withColumn(f"{side}_parent", F.shiftright(f"{side}_node", 3))
+def _levels(leaves: DataFrame, side: str) -> dict[int, DataFrame]:
+    """The nodes of every step's level, each rolled up from the one below."""
+    out = {LEVELS: cut(leaves, f"near-{side}-{LEVELS}")}
+    for level in range(LEVELS - STRIDE, 0, -STRIDE):
+        below = out[level + STRIDE]
+        aggs = [(F.min if c.startswith("lo") else F.max)(f"{side}_{c}").alias(f"{side}_{c}") for c in BOX] + [F.sum(f"{side}_n").alias(f"{side}_n")]
+        if side == "a":
+            aggs += [F.max("reach_max").alias("reach_max"), F.min("reach_min").alias("reach_min")]
+        out[level] = cut(below.groupBy(F.shiftright(f"{side}_node", 3 * STRIDE).alias(f"{side}_node")).agg(*aggs), f"near-{side}-{level}")
+    return {level: nodes.withColumn(f"{side}_parent", F.shiftright(f"{side}_node", 3 * STRIDE)) for level, nodes in out.items()}
 
 
 def _gap2() -> tuple[Column, Column]:
@@ -83,61 +204,109 @@ def _gap2() -> tuple[Column, Column]:
     return least, most
 
 
-def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: str, salts: int = 16, hot_node: int = 50_000) -> DataFrame:
+def _large_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, hot_leaf: int) -> DataFrame:
+    place = ["lat", "lon", "radius"]
+    a = cut(_placed(left.select(*place).distinct()).withColumn("reach", chord2_of(F.col("radius"))).select(*place, "leaf", "x", "y", "z", "reach"), "near-a")
+    b = cut(_placed(right).select(right_id, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "leaf", "x", "y", "z"), "near-b")
+    nodes_a, nodes_b = _levels(_leaves(a, "a"), "a"), _levels(_leaves(b, "b"), "b")
+    least, most = _gap2()
+    pairs = a.sparkSession.createDataFrame([(0, 0, False)], "a_parent long, b_parent long, sure boolean")  # the pair of roots
+    for level in range(STRIDE, LEVELS + 1, STRIDE):
+        below = pairs.join(nodes_a[level], "a_parent").join(nodes_b[level], "b_parent")
+        below = below.withColumn("sure", F.col("sure") | (most <= F.col("reach_min") * (1 - 1e-9) - SLACK)).where(F.col("sure") | (least <= F.col("reach_max") * (1 + 1e-9) + SLACK))
+        pairs = cut(below.select("a_node", "b_node", "a_n", "b_n", "sure"), f"near-pairs-{level}")
+        if level < LEVELS:
+            pairs = pairs.select(F.col("a_node").alias("a_parent"), F.col("b_node").alias("b_parent"), "sure")
+
+    def parts(side: str) -> Column:
+        return F.ceil(F.col(f"{side}_n") / F.lit(hot_leaf)).cast("int")
+
+    def spread(points: DataFrame, nodes: DataFrame, side: str, by: list[str]) -> DataFrame:
+        """Points with a part of their leaf; only leaves with more than ``hot_leaf`` points have several."""
+        hot = nodes.where(F.col(f"{side}_n") > hot_leaf).select(f"{side}_node", parts(side).alias("parts"))
+        keyed = points.withColumnRenamed("leaf", f"{side}_node").drop("x", "y", "z", "reach").join(hot, f"{side}_node", "left")
+        return keyed.withColumn(f"{side}_part", F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+    every = lambda side: F.explode(F.sequence(F.lit(0), parts(side) - 1)).alias(f"{side}_part")
+    middle = pairs.select("a_node", "b_node", "b_n", "sure", every("a")).select("a_node", "b_node", "sure", "a_part", every("b"))
+    met = middle.join(spread(a, nodes_a[LEVELS], "a", place), ["a_node", "a_part"]).join(spread(b, nodes_b[LEVELS], "b", [right_id, "b_lat", "b_lon"]), ["b_node", "b_part"])
+    met = met.withColumn("km", great_circle_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("sure") | (F.col("km") <= F.col("radius")))
+    return salted_join(left, met.select(*place, right_id, "km"), place).select(left_id, right_id, "km")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: str, right_at_most: int = RIGHT_AT_MOST, hot_leaf: int = 50_000) -> DataFrame:
     """(left_id, right_id, km): every pair at a great-circle distance of at most the left row's radius.
 
     ``left`` needs ``lat, lon`` and the radius column, ``right`` needs ``lat, lon``; other columns are ignored.  Rows
     with missing or out-of-range coordinates, or a missing or negative radius, give no pair; repeated rows give each
-    pair once.  Left rows that share a place and a radius are searched once and expanded at the end.  Nodes holding
-    ``hot_node`` places or more (a list of bounded length: places / hot_node entries a level) are salted.
-    """
+    pair once.  Left rows that share a place and a radius are searched once (in a task, or altogether) and expanded at the
+    end.  Leaves with more than ``hot_leaf`` points of either side are cut into parts of that size."""
     radius = present(F.col(radius_km), -9999.0)
     left = valid_points(left).where(left_id + " IS NOT NULL").select(left_id, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), radius.cast("double").alias("radius")).where("radius >= 0")
     right = valid_points(right).where(right_id + " IS NOT NULL").select(right_id, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    place = ["lat", "lon", "radius"]
-    a = cut(_placed(left.select(*place).distinct()).withColumn("reach", chord2_of(F.col("radius"))).select(*place, "leaf", "x", "y", "z", "reach"), "near-a")
-    b = cut(_placed(right.distinct()).select(right_id, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "leaf", "x", "y", "z"), "near-b")
-    la, lb = cut(_leaves(a, True), "near-a-leaves"), cut(_leaves(b, False), "near-b-leaves")
-    least, most = _gap2()
-    frontier = a.sparkSession.createDataFrame([(0, 0)], "a_parent long, b_parent long")  # the pair of roots
-    done = None
-    for level in range(1, LEVELS + 1):
-        pairs = frontier.join(_level(la, level, "a"), "a_parent").join(_level(lb, level, "b"), "b_parent")
-        pairs = pairs.where(least <= F.col("reach_max") * (1 + 1e-9) + SLACK)
-        if level not in STOPS:
-            frontier = pairs.select(F.col("a_node").alias("a_parent"), F.col("b_node").alias("b_parent"))
-            if level % 3 == 0:
-                frontier = cut(frontier, f"near-{level}")
-            continue
-        sure = most <= F.col("reach_min") * (1 - 1e-9) - SLACK
-        ends = sure | (F.col("a_n") * F.col("b_n") <= LEAF_PAIRS) | F.lit(level == LEVELS)
-        tested = cut(pairs.select("a_node", "b_node", "a_n", sure.alias("sure"), ends.alias("ends")), f"near-{level}")
-        frontier = tested.where("NOT ends").select(F.col("a_node").alias("a_parent"), F.col("b_node").alias("b_parent"))
-        found = _refined(a, b, tested.where("ends"), level, right_id, salts, hot_node)
-        done = found if done is None else done.unionByName(found)
-    return salted_join(left, done, place).select(left_id, right_id, "km").distinct()
-
-
-def _refined(a: DataFrame, b: DataFrame, ends: DataFrame, level: int, right_id: str, salts: int, hot_node: int) -> DataFrame:
-    """Point pairs of the node pairs that left the recursion; those accepted whole are not tested."""
-    node = F.shiftright("leaf", 3 * (LEVELS - level))
-    hot = F.broadcast(ends.where(F.col("a_n") >= hot_node).select("a_node").distinct().withColumn("hot", F.lit(True)))
-    left = a.withColumn("a_node", node).join(hot, "a_node", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("lat", "lon", "radius"), F.lit(salts))).otherwise(0).cast("int")).drop("hot", "leaf", "x", "y", "z", "reach")
-    spread = F.when(F.col("a_n") >= hot_node, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    middle = ends.select("a_node", "b_node", "sure", F.explode(spread).alias("salt"))
-    right = b.withColumn("b_node", node).select(right_id, "b_lat", "b_lon", "b_node")
-    km = great_circle_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))
-    pairs = left.join(middle.join(right, "b_node"), ["a_node", "salt"])
-    return pairs.withColumn("km", km).where(F.col("sure") | (F.col("km") <= F.col("radius"))).select("lat", "lon", "radius", right_id, "km")
+    found = right.limit(right_at_most + 1).collect()  # bounded, and used only if that is all of it
+    if len(found) > right_at_most:
+        return _large_pairs(left, right.distinct(), left_id, right_id, hot_leaf).distinct()
+    found = [*zip(*set(map(tuple, found)), strict=True)] or [(), (), ()]
+    search = _searcher(pa.array(found[0], to_arrow_type(right.schema[right_id].dataType)), np.array(found[1], float), np.array(found[2], float), (left_id, right_id))
+    kinds = {n: t for df in (right, left) for n, t in df.dtypes}
+    return left.mapInArrow(search, f"`{left_id}` {kinds[left_id]}, `{right_id}` {dict(right.dtypes)[right_id]}, km double").distinct()
+
+
+# --- regions ------------------------------------------------------------------------------------------------------------
+
+
+def _turned(lon: Column) -> Column:
+    """A longitude in -180..180; 180 stays as it is."""
+    return F.when(lon.between(-180, 180), lon).otherwise(F.pmod(lon + 180, F.lit(360.0)) - 180)
+
+
+def _in_tiles(points: DataFrame, regions: DataFrame, point_id: str, region_columns: list[str]) -> DataFrame:
+    """Points beside the regions whose box (lat_min, lat_max, lon_min, lon_max; lon_min > lon_max crosses the date line) holds
+    them, by one-degree tiles; a tile with a large share of the points is salted."""
+    tile = lambda c: F.floor(F.col(c)).cast("int")
+    west, east = F.col("lon_min"), F.col("lon_max")
+    whole = east - west >= 360
+    west, east = F.when(whole, -180.0).otherwise(_turned(west)), F.when(whole, 180.0).otherwise(_turned(east))
+    spans = F.when(west <= east, F.array(F.struct(west.alias("w"), east.alias("e")))).otherwise(F.array(F.struct(west.alias("w"), F.lit(180.0).alias("e")), F.struct(F.lit(-180.0).alias("w"), east.alias("e"))))
+    good = regions.where("lat_min <= lat_max AND NOT isnan(lat_max) AND lat_max >= -90 AND lat_min <= 90 AND lon_min BETWEEN -180 AND 360 AND lon_max BETWEEN -180 AND 540")
+    cells = good.withColumn("span", F.explode(spans)).withColumns({"west": F.col("span.w"), "east": F.col("span.e"), "south": F.greatest("lat_min", F.lit(-90.0)), "north": F.least("lat_max", F.lit(90.0))})
+    cells = cells.withColumn("tile_y", F.explode(F.sequence(tile("south"), tile("north")))).withColumn("tile_x", F.explode(F.sequence(tile("west"), tile("east"))))
+    p = valid_points(points).select(point_id, "lat", _turned(F.col("lon")).alias("lon"))
+    both = F.when(F.abs("lon") == 180, F.array(F.lit(-180.0), F.lit(180.0))).otherwise(F.array("lon"))  # the date line is one line
+    p = p.select(point_id, "lat", F.explode(both).alias("lon")).withColumns({"tile_y": tile("lat"), "tile_x": tile("lon")})
+    hit = salted_join(p, cells.select(*region_columns, "south", "north", "west", "east", "tile_y", "tile_x"), ["tile_y", "tile_x"])
+    return hit.where("lat BETWEEN south AND north AND lon BETWEEN west AND east")
 
 
 def in_regions(points: DataFrame, boxes: DataFrame, point_id: str, box_id: str) -> DataFrame:
     """(point_id, box_id): boxes (lat_min, lat_max, lon_min, lon_max, edges included) that contain a point.
 
-    Boxes are cut into one-degree tiles, so the join is an equi-join on tiles; a box over n tiles is repeated n times,
-    a point once.  Boxes don't cross the date line; longitudes count as given.  Missing coordinates match nothing."""
-    tile = lambda c: F.floor(F.col(c)).cast("int")
-    cut_boxes = boxes.where("lat_min <= lat_max AND lon_min <= lon_max").withColumn("tile_y", F.explode(F.sequence(tile("lat_min"), tile("lat_max")))).withColumn("tile_x", F.explode(F.sequence(tile("lon_min"), tile("lon_max"))))
-    p = valid_points(points).select(point_id, "lat", "lon", tile("lat").alias("tile_y"), tile("lon").alias("tile_x"))
-    hit = p.join(cut_boxes.select(box_id, "lat_min", "lat_max", "lon_min", "lon_max", "tile_y", "tile_x"), ["tile_y", "tile_x"])
-    return hit.where("lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max").select(point_id, box_id).distinct()
+    Longitudes may run to 180 or to 360 on both sides; a box whose lon_min lies east of its lon_max crosses the date line.
+    A box over n one-degree tiles (64,800 at most) is repeated n times, a point once.  Missing or impossible coordinates
+    match nothing, as does a box that is upside down."""
+    return _in_tiles(points, boxes, point_id, [box_id]).select(point_id, box_id).distinct()
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
+    """(point_id, polygon_id): polygons that contain a point.
+
+    ``polygons`` has ``ring``, an array of (lat, lon), closed or not; edges are straight in degrees, and successive points
+    less than 180 degrees of longitude apart are joined the short way, so a ring may cross the date line (but not hold a
+    pole).  A point is inside if it lies west of an odd number of edges at its latitude; rings of less than three points, or
+    with a missing coordinate, contain nothing."""
+    step = lambda o, before: before + F.pmod(o - before + 180, F.lit(360.0)) - 180
+    ring = F.col("ring")
+    whole = (F.size(ring) >= 3) & ~F.exists(ring, lambda p: p["lat"].isNull() | p["lon"].isNull() | F.isnan(p["lat"]) | F.isnan(p["lon"]))
+    start = F.slice(F.transform(ring, lambda p: F.struct(p["lat"].cast("double").alias("lat"), _turned(p["lon"].cast("double")).alias("lon"))), 1, 1)
+    rest = F.slice(ring, F.lit(2), F.size(ring))
+    along = F.aggregate(rest, start, lambda done, p: F.concat(done, F.array(F.struct(p["lat"].cast("double").alias("lat"), step(p["lon"].cast("double"), F.element_at(done, -1)["lon"]).alias("lon")))))
+    lats, lons = F.transform("line", lambda p: p["lat"]), F.transform("line", lambda p: p["lon"])
+    shapes = polygons.where(whole).select(polygon_id, along.alias("line")).withColumns({"lat_min": F.array_min(lats), "lat_max": F.array_max(lats), "first": F.array_min(lons), "last": F.array_max(lons)})
+    shapes = shapes.withColumns({"lon_min": _turned(F.col("first")), "lon_max": _turned(F.col("first")) + F.col("last") - F.col("first")})
+    hit = _in_tiles(points, shapes, point_id, [polygon_id, "line", "first"])
+    # the point's longitude in the ring's own turn
+    x, y = F.col("first") + F.pmod(F.col("lon") - F.col("first"), F.lit(360.0)), F.col("lat")
+    closing = F.concat(F.slice("line", F.lit(2), F.size("line")), F.slice("line", 1, 1))
+    crossed = F.zip_with("line", closing, lambda p, q: F.when((p["lat"] > y) != (q["lat"] > y), (x < p["lon"] + (y - p["lat"]) / (q["lat"] - p["lat"]) * (q["lon"] - p["lon"])).cast("int")).otherwise(0))
+    return hit.where(F.aggregate(crossed, F.lit(0), lambda n, c: n + c) % 2 == 1).select(point_id, polygon_id).distinct()

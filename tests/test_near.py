@@ -3,8 +3,10 @@
 import math
 import random
 
+import numpy as np
+
 from loamline.operators.grid import nearest_point
-from loamline.operators.near import in_regions, near_pairs
+from loamline.operators.near import Tree, dual_tree, in_polygons, in_regions, near_pairs
 
 A = "sid long, lat double, lon double, r double, b_lat string, node int"
 B = "tid long, lat double, lon double, x string"
@@ -24,16 +26,29 @@ def test_against_brute_force(spark):
     right = [(i, a, max(-180.0, min(360.0, o)), "x") for i, (a, o) in enumerate(spot() for _ in range(120))]
     bad = [(900, None, 0.0, 1.0, "x", 1), (901, float("nan"), 0.0, 1.0, "x", 1), (902, -9999.0, 0.0, 1.0, "x", 1), (903, 0.0, 361.0, 1.0, "x", 1), (904, 45.0, 0.0, None, "x", 1), (905, 45.0, 0.0, -1.0, "x", 1), (None, 45.0, 0.0, 99.0, "x", 1)]
     l, r = spark.createDataFrame(left + left[:20] + bad, A), spark.createDataFrame(right + right[:5] + [(999, None, 1.0, "x")], B)
-    got = [(x.sid, x.tid) for x in near_pairs(l, r, "sid", "tid", "r", hot_node=5).collect()]
     expected = {(p[0], q[0]) for p in left for q in right if km(p[1:3], q[1:3]) <= p[3]}
-    assert len(got) == len(set(got)) and set(got) == expected
+    for how in ({}, {"right_at_most": 0}, {"right_at_most": 0, "hot_leaf": 3}):
+        got = [(x.sid, x.tid) for x in near_pairs(l, r, "sid", "tid", "r", **how).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
 
 
 def test_many_copies_of_a_place(spark):
     l = spark.createDataFrame([(i, 10.0, 20.0, 3.0, "x", 1) for i in range(500)], A)
     r = spark.createDataFrame([(1, 10.0, 20.01, "x"), (2, 11.0, 20.0, "x")], B)
-    assert near_pairs(l, r, "sid", "tid", "r").count() == 500
-    assert near_pairs(l.limit(0), r, "sid", "tid", "r").count() == 0 and near_pairs(l, r.limit(0), "sid", "tid", "r").count() == 0
+    for bound in (0, 100):
+        assert near_pairs(l, r, "sid", "tid", "r", bound).count() == 500
+        assert near_pairs(l.limit(0), r, "sid", "tid", "r", bound).count() == 0 and near_pairs(l, r.limit(0), "sid", "tid", "r", bound).count() == 0
+
+
+def test_pairs_are_accepted_whole():
+    """Nodes that lie well inside the reach are taken without a look at their points; undecided pairs stay few."""
+    rnd = np.random.default_rng(3)
+    spots = lambda n: (10 + rnd.normal(0, 0.2, n), 20 + rnd.normal(0, 0.2, n))
+    (a, o), (p, q) = spots(400), spots(300)
+    reach = np.full(400, (2 * math.sin(300 / (2 * 6371))) ** 2)
+    seen = [np.concatenate(x) for x in zip(*dual_tree(Tree(a, o, reach), Tree(p, q)), strict=True)]
+    assert len(seen[0]) == 400 * 300 and seen[2].all()
+    assert not list(dual_tree(Tree(a, o, reach), Tree(p - 60, q)))
 
 
 def test_nearest(spark):
@@ -48,3 +63,31 @@ def test_regions(spark):
     p = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, None, 1.0)], "id long, lat double, lon double")
     b = spark.createDataFrame([("a", 0.0, 1.0, 0.0, 1.0), ("b", 0.5, 9.0, 0.5, 9.0), ("c", 2.0, 1.0, 0.0, 1.0)], "box string, lat_min double, lat_max double, lon_min double, lon_max double")
     assert {(r.id, r.box) for r in in_regions(p, b, "id", "box").collect()} == {(1, "a"), (1, "b"), (2, "b")}
+
+
+def test_regions_across_the_date_line(spark):
+    p = spark.createDataFrame([(1, 0.0, 190.5), (2, 0.0, -169.5), (3, 0.0, 179.5), (4, 0.0, 180.0), (5, 0.0, -180.0), (6, 0.0, 10.0), (7, 95.0, 0.0), (8, 90.0, 10.0)], "id long, lat double, lon double")
+    b = spark.createDataFrame([("w", -1.0, 1.0, -170.0, -169.0), ("d", -1.0, 1.0, 179.0, -179.0), ("e", -1.0, 1.0, 170.0, 181.0), ("all", -90.0, 90.0, -180.0, 180.0), ("nan", float("nan"), 1.0, 0.0, 1.0), ("null", None, 1.0, 0.0, 1.0)], "box string, lat_min double, lat_max double, lon_min double, lon_max double")
+    got = {(r.id, r.box) for r in in_regions(p, b, "id", "box").collect()}
+    assert got == {(1, "w"), (2, "w"), (3, "d"), (4, "d"), (5, "d"), (3, "e"), (4, "e"), (5, "e")} | {(i, "all") for i in (1, 2, 3, 4, 5, 6, 8)}
+
+
+def test_polygons(spark):
+    rnd = random.Random(11)
+    rings = {"star": [(0, 0), (3, 10), (10, 12), (4, 14), (2, 25), (-2, 14), (-9, 13), (-3, 9)], "date": [(-5, 175), (5, 178), (6, -172), (-6, -176)], "east": [(20, 350), (20, 370), (30, 370), (30, 350)]}
+    spots = [(i, rnd.uniform(-12, 32), rnd.uniform(-180, 360)) for i in range(1500)] + [(2000 + i, rnd.uniform(-7, 7), rnd.uniform(172, 190)) for i in range(300)] + [(3000, None, 1.0), (3001, 1.0, float("nan"))]
+
+    def inside(ring, y, x):
+        line = [(a, o if o < 180 else o - 360) for a, o in ring]
+        if max(o for _, o in line) - min(o for _, o in line) > 180:
+            line, x = [(a, o % 360) for a, o in line], x % 360
+        else:
+            x = x if x <= 180 else x - 360
+        return sum((a1 > y) != (a2 > y) and x < o1 + (y - a1) / (a2 - a1) * (o2 - o1) for (a1, o1), (a2, o2) in zip(line, line[1:] + line[:1], strict=True)) % 2 == 1
+
+    p = spark.createDataFrame(spots, "id long, lat double, lon double")
+    bad = [("two", [(0.0, 0.0), (1.0, 1.0)]), ("gap", [(0.0, 0.0), (None, 1.0), (5.0, 5.0)]), ("none", None)]
+    s = spark.createDataFrame([(n, [(float(a), float(o)) for a, o in r]) for n, r in rings.items()] + bad, "name string, ring array<struct<lat:double,lon:double>>")
+    got = {(r.id, r.name) for r in in_polygons(p, s, "id", "name").collect()}
+    expected = {(i, n) for i, a, o in spots[:-2] for n, r in rings.items() if inside(r, a, o)}
+    assert got == expected and {n for _, n in got} == set(rings)
