@@ -1,23 +1,29 @@
 """Millions of tiny files into few well-sized ones (problem 2).
 
-Partition-local: only partitions that hold too many small files are rewritten, each by dynamic partition overwrite,
-under numbered snapshots.  A rewrite claims the next snapshot number by creating its file exclusively, and gives up if
-another writer holds it or if its input changed meanwhile.
+Partition-local: only partitions (reader and period) that hold too many small files, and have changed since they were last
+written, are rewritten.  A rewrite overwrites its partitions dynamically, under numbered snapshots: it goes to files of its
+own, and a manifest names the folder that holds each partition.  The writer claims the next snapshot number by creating a
+file exclusively, asks after the write whether its input is still the same, and publishes the manifest by a rename.  Until
+then, and after a crash, readers see the snapshot before.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.strptime import strptime_parts
-from loamline.session import EngineError, work_path
+from loamline.session import EngineError, cut, work_path
 
 MISSING_TEXT = ("", "nan", "n/a", "na", "null", "none", "-", "-9999", "-9999.0")
-READERS_AT_MOST = 10_000
+#: A reader is cut into years once a year holds so many files of the target size.
+FILES_A_YEAR = 4
 
 
 class Conflict(EngineError):
@@ -48,27 +54,30 @@ def template_regex(template: str, fmt: str) -> str:
     return "^" + "".join({"{datetime}": f"({strptime_parts(fmt)[0]})", "*": ".*"}.get(p, re.escape(p)) for p in parts) + "$"
 
 
+def rules_of(readers: DataFrame) -> DataFrame:
+    """(reader_name, path_regex, name_regex, java_format, target_bytes) of complete reader rows; of several rows of a reader
+    the smallest counts."""
+
+    @F.pandas_udf("path_regex string, name_regex string, java_format string")
+    def compiled(pattern: pd.Series, template: pd.Series, fmt: pd.Series) -> pd.DataFrame:
+        rows = [(glob_regex(p), template_regex(t, f), strptime_parts(f)[1]) for p, t, f in zip(pattern, template, fmt, strict=True)]
+        return pd.DataFrame(rows, columns=["path_regex", "name_regex", "java_format"])
+
+    whole = readers.where("reader_name IS NOT NULL AND pattern IS NOT NULL AND fname_templ IS NOT NULL AND datetime_format IS NOT NULL")
+    one = whole.groupBy("reader_name").agg(F.min(F.struct("pattern", "fname_templ", "datetime_format", "target_bytes")).alias("r"))
+    return one.select("reader_name", compiled("r.pattern", "r.fname_templ", "r.datetime_format").alias("c"), F.col("r.target_bytes").cast("long").alias("target_bytes")).select("reader_name", "c.*", "target_bytes")
+
+
 def matched_files(files: DataFrame, readers: DataFrame) -> DataFrame:
     """Files whose path matches their reader's pattern and whose base name matches its template with a real time.
 
-    Adds ``image_time`` and ``target_bytes``.  Files of unknown readers, or with a NULL path, are no matches.  The
-    readers table is configuration; more than 10,000 readers are refused.
-    """
-    rules = readers.limit(READERS_AT_MOST + 1).collect()
-    if len(rules) > READERS_AT_MOST:
-        raise EngineError(f"more than {READERS_AT_MOST} readers")
+    Adds ``image_time`` and ``target_bytes``.  Files of unknown readers, or with a NULL path, are no matches."""
+    own = [c for c in files.columns if c not in ("image_time", "target_bytes")]
+    joined = files.select(*own).join(rules_of(readers), "reader_name")
     base = F.regexp_extract("path", r"([^/]*)$", 1)
-    time: Column = F.lit(None).cast("timestamp_ntz")
-    target: Column = F.lit(None).cast("long")
-    for r in rules:
-        if None in (r.reader_name, r.pattern, r.fname_templ, r.datetime_format):
-            continue
-        name = template_regex(r.fname_templ, r.datetime_format)
-        hit = (F.col("reader_name") == r.reader_name) & F.col("path").rlike(glob_regex(r.pattern)) & base.rlike(name)
-        stamp = F.try_to_timestamp(F.regexp_extract(base, name, 1), F.lit(strptime_parts(r.datetime_format)[1])).cast("timestamp_ntz")
-        time = F.when(hit, stamp).otherwise(time)
-        target = F.when(F.col("reader_name") == r.reader_name, F.lit(r.target_bytes).cast("long")).otherwise(target)
-    return files.withColumns({"image_time": time, "target_bytes": target}).where("image_time IS NOT NULL")
+    stamp = F.try_to_timestamp(F.call_function("regexp_extract", base, F.col("name_regex"), F.lit(1)), F.col("java_format")).cast("timestamp_ntz")
+    hit = F.rlike(F.col("path"), F.col("path_regex")) & F.rlike(base, F.col("name_regex"))
+    return joined.where(hit).withColumn("image_time", stamp).where("image_time IS NOT NULL").select(*own, "image_time", "target_bytes")
 
 
 def number_or_null(text: Column) -> Column:
@@ -89,7 +98,10 @@ def csv_records(matched: DataFrame) -> DataFrame:
 
 
 class SnapshotTable:
-    """A partitioned Parquet table with numbered snapshots beside its data."""
+    """A partitioned Parquet table with numbered snapshots beside its data.
+
+    ``_snapshots/vN.json`` is a manifest: for each partition its folder below ``data`` and what the writer noted of it, so it
+    grows with the partitions, not with files or records.  Folders of a write are never changed."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.data = spark, root, f"{root}/data"
@@ -100,14 +112,25 @@ class SnapshotTable:
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
     def version(self) -> int:
-        """The number of the newest committed snapshot; 0 before the first."""
+        """The number of the newest published snapshot; 0 before the first."""
         folder = self._path(f"{self.root}/_snapshots")
         if not self._fs.exists(folder):
             return 0
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return max((int(n[1:-5]) for n in names if re.fullmatch(r"v\d+\.json", n)), default=0)
 
-    def _create(self, name: str, content: dict) -> None:
+    def manifest(self, version: int | None = None) -> dict:
+        """The manifest of a snapshot (default: the newest); without partitions before the first."""
+        version = self.version() if version is None else version
+        if not version:
+            return {"version": 0, "partitions": {}}
+        stream = self._fs.open(self._path(f"{self.root}/_snapshots/v{version}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _write(self, name: str, content: dict) -> None:
         try:
             stream = self._fs.create(self._path(f"{self.root}/_snapshots/{name}"), False)
         except Exception as e:
@@ -115,82 +138,180 @@ class SnapshotTable:
         stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
 
-    def overwrite_partitions(self, df: DataFrame, partition: str, based_on: int, unchanged, note: dict) -> int:
+    def _delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def _publish(self, version: int, content: dict) -> None:
+        """The manifest appears under its name at once and whole; only the holder of the claim does this."""
+        draft = f"v{version}.{uuid.uuid4().hex}.draft"
+        self._write(draft, content)
+        if not self._fs.rename(self._path(f"{self.root}/_snapshots/{draft}"), self._path(f"{self.root}/_snapshots/v{version}.json")):
+            raise Conflict(f"snapshot {version} could not be published")
+
+    def release(self, version: int) -> None:
+        """Give up the claim that a crashed writer left on a snapshot number."""
+        self._delete(f"{self.root}/_snapshots/v{version}.claim")
+
+    def overwrite_partitions(self, df: DataFrame, partition: list[str], based_on: int, unchanged: Callable[[], bool], notes: dict[str, dict] | None = None) -> int:
         """Replace the partitions that occur in ``df``; the others stay.  ``based_on`` is the version the caller read;
-        ``unchanged()`` is asked again before the commit.  Returns the new version, raises Conflict otherwise."""
+        ``unchanged()`` is asked after the write, before anything is published.  Returns the new version, raises Conflict
+        otherwise and leaves the table as it was."""
         if self.version() != based_on:
             raise Conflict(f"the table is at version {self.version()}, not {based_on}")
-        claim = f"v{based_on + 1}.claim"
-        self._create(claim, note)
+        claim, folder = f"v{based_on + 1}.claim", f"write={uuid.uuid4().hex}"
+        self._write(claim, {})
         try:
+            df.write.partitionBy(*partition).parquet(f"{self.data}/{folder}")
             if not unchanged():
-                raise Conflict("the input changed before the rewrite")
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(self.data)
-            self._create(f"v{based_on + 1}.json", note | {"version": based_on + 1})
+                raise Conflict("the input changed during the rewrite")
+            if self.version() != based_on:
+                raise Conflict(f"the table is at version {self.version()}, not {based_on}")
+            found = self._fs.globStatus(self._path(f"{self.data}/{folder}" + "/*=*" * len(partition)))
+            new = {s.getPath().toString().split(f"/{folder}/", 1)[1]: s.getPath() for s in found}
+            entries = {k: {"write": folder, "bytes": self._fs.getContentSummary(p).getLength(), **(notes or {}).get(k, {})} for k, p in new.items()}
+            self._publish(based_on + 1, {"version": based_on + 1, "schema": df.schema.json(), "partitions": self.manifest(based_on)["partitions"] | entries})
+        except BaseException:
+            self._delete(f"{self.data}/{folder}")
+            raise
         finally:
-            self._fs.delete(self._path(f"{self.root}/_snapshots/{claim}"), False)
+            self._delete(f"{self.root}/_snapshots/{claim}")
         return based_on + 1
 
-    def read(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.data).parquet(self.data)
-
-
-def small_file_plan(matched: DataFrame, small_files: int) -> DataFrame:
-    """Per reader: files, bytes, wanted files, and a fingerprint of the input; ``rewrite`` where a reader has more than
-    ``small_files`` files below its target size and more than it wants."""
+    def read(self, version: int | None = None) -> DataFrame:
+        """The records of a snapshot (default: the newest), of its own folders only."""
+        from pyspark.sql.types import StructType
+
+        m = self.manifest(version)
+        if not m["partitions"]:
+            raise EngineError("the table has no records yet")
+        schema = StructType.fromJson(json.loads(m["schema"]))
+        paths = [f"{self.data}/{e['write']}/{k}" for k, e in sorted(m["partitions"].items())]
+        return self.spark.read.schema(schema).option("basePath", self.data).parquet(*paths).select(*schema.names)
+
+    def expire(self, keep: int = 2) -> int:
+        """Delete the folders that none of the last ``keep`` snapshots needs, and older manifests; returns how many folders."""
+        newest = self.version()
+        kept = {e["write"] for v in range(max(1, newest - keep + 1), newest + 1) for e in self.manifest(v)["partitions"].values()}
+        for v in range(1, newest - keep + 1):
+            self._delete(f"{self.root}/_snapshots/v{v}.json")
+        old = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.data)) if s.getPath().getName() not in kept]
+        for name in old:
+            self._delete(f"{self.data}/{name}")
+        return len(old)
+
+
+def small_file_plan(matched: DataFrame, small_files: int, periods: dict[str, str] | None = None) -> DataFrame:
+    """Per reader and period: files, bytes, and a fingerprint of the input (a count and a sum, so repeats can't cancel out);
+    ``crowded`` where more than ``small_files`` files are below the target size.
+
+    The period is the year of the image time where a year of the reader holds FILES_A_YEAR files of the target size, else
+    ``all``; a reader in ``periods`` keeps the kind of period it has there."""
     size = F.coalesce(F.octet_length("content").cast("long"), F.lit(0))
-    return (
-        matched.groupBy("reader_name")
-        .agg(
-            F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.max("target_bytes").alias("target_bytes"),
-            F.count_if(size < F.col("target_bytes")).alias("small"), F.bit_xor(F.xxhash64("file_id", "path", "content")).alias("fingerprint"),
-        )
-        .withColumn("wanted", F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.greatest(F.col("target_bytes"), F.lit(1)))).cast("int"))
-        .withColumn("rewrite", (F.col("small") > small_files) & (F.col("files") > F.col("wanted")))
-    )
+    hashed = F.xxhash64("file_id", "path", "content").cast("decimal(20,0)")
+    by_year = matched.groupBy("reader_name", F.year("image_time").cast("string").alias("year")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.max("target_bytes").alias("target_bytes"), F.count_if(size < F.col("target_bytes")).alias("small"), F.sum(hashed).alias("hashes")
+    )
+    usual = F.when(F.sum("bytes") >= FILES_A_YEAR * F.count(F.lit(1)) * F.max("target_bytes"), "year").otherwise("all")
+    kind = usual
+    if periods:
+        known = F.create_map(*(F.lit(x) for pair in periods.items() for x in pair))
+        kind = F.coalesce(known[F.col("reader_name")], usual)
+    kinds = by_year.groupBy("reader_name").agg(kind.alias("kind"))
+    plan = by_year.join(kinds, "reader_name").groupBy("reader_name", F.when(F.col("kind") == "year", F.col("year")).otherwise("all").alias("period"))
+    sums = plan.agg(*(F.sum(c).alias(c) for c in ("files", "bytes", "small", "hashes")), F.max("target_bytes").alias("target_bytes"))
+    return sums.select("reader_name", "period", "files", "bytes", "small", "target_bytes", F.concat_ws("-", "files", F.col("hashes").cast("string")).alias("fingerprint"), (F.col("small") > small_files).alias("crowded"))
 
 
-def compact(files: DataFrame, readers: DataFrame, root: str, small_files: int = 1) -> tuple[SnapshotTable, DataFrame]:
-    """Consolidate the matching files of each reader into about ``bytes / target_bytes`` files below ``root``.
+def compact(files: DataFrame | Callable[[], DataFrame], readers: DataFrame, root: str, small_files: int = 1) -> tuple[SnapshotTable, DataFrame]:
+    """Consolidate the matching files of each reader into files of about ``target_bytes`` below ``root``.
 
     Each record (reader, image time, gpi) comes out once, as in the matching file of smallest file_id (in one file: its
-    first line), with that ``file_id`` as origin.  Hot readers are spread over their output files before the write.
-    Returns the table and the plan; readers not marked ``rewrite`` in it were left alone.  Repeated rows of one file
-    count once by nature; an empty input leaves an empty table at version 0.
-    """
-    spark = files.sparkSession
-    matched = matched_files(files, readers)
+    first line), with that ``file_id`` as origin.  Files are counted by what a record takes once it is compressed, as
+    measured on all records of this run, and hot readers are spread over their files.  ``files`` is the whole input; given as
+    a function it is read anew for the check after the write, so deliveries meanwhile are noticed.  Returns the table and
+    the plan, with ``rewrite`` where a partition is crowded and not yet in the table as it is now.  Repeated rows of one file
+    count once by nature; an empty input leaves an empty table at version 0."""
+    source = files if callable(files) else lambda: files
+    matched = cut(matched_files(source(), readers).select("reader_name", "image_time", "file_id", "path", "content", "target_bytes"), "matched")
+    return _compact(matched, source, readers, root, small_files)
+
+
+def _compact(matched: DataFrame, source: Callable[[], DataFrame], readers: DataFrame, root: str, small_files: int) -> tuple[SnapshotTable, DataFrame]:
+    spark = matched.sparkSession
     table = SnapshotTable(spark, root)
-    version = table.version()
-    plan = small_file_plan(matched, small_files)
-    todo = {r.reader_name: r for r in plan.where("rewrite").collect()}  # at most one row per reader
+    before = table.manifest()
+    periods = {e["reader"]: e["kind"] for e in before["partitions"].values()}
+    plan = cut(small_file_plan(matched, small_files, periods), "plan").withColumn("rewrite", F.col("crowded"))
+    known = [(e["reader"], e["period"], e["fingerprint"]) for e in before["partitions"].values()]
+    if known:
+        same = spark.createDataFrame(known, "reader_name string, period string, fingerprint string").withColumn("written", F.lit(True))
+        plan = plan.join(same, ["reader_name", "period", "fingerprint"], "left").withColumn("rewrite", F.col("crowded") & F.col("written").isNull()).drop("written")
+    todo = plan.where("rewrite").collect()  # one row per partition to write
     if not todo:
         return table, plan
+    kinds = {(r.reader_name, "all" if r.period == "all" else "year") for r in todo}
+    wanted = spark.createDataFrame([(r.reader_name, r.period) for r in todo], "reader_name string, period string")
+    by_reader = spark.createDataFrame(sorted(kinds), "reader_name string, kind string")
+    period = F.when(F.col("kind") == "year", F.year("image_time").cast("string")).otherwise("all")
+    chosen = matched.join(by_reader, "reader_name").withColumn("period", period).join(wanted, ["reader_name", "period"], "left_semi")
     first = (
-        csv_records(matched.where(F.col("reader_name").isin(*todo)))
+        csv_records(chosen)
         .groupBy("reader_name", "image_time", "gpi")
         .agg(F.min(F.struct("file_id", "line", "ssm", "ssm_noise")).alias("r"))
         .select("reader_name", "image_time", "gpi", "r.file_id", "r.ssm", "r.ssm_noise")
     )
-    slot, offset = F.lit(0), 0
-    for name, r in todo.items():
-        slot = F.when(F.col("reader_name") == name, F.lit(offset) + F.pmod(F.xxhash64("image_time", "gpi"), F.lit(r.wanted)).cast("int")).otherwise(slot)
-        offset += r.wanted
-    rows = first.withColumn("slot", slot).repartitionByRange(max(offset, 1), "slot").sortWithinPartitions("slot", "image_time", "gpi").drop("slot")
-    before = {n: r.fingerprint for n, r in todo.items()}
-    table.overwrite_partitions(
-        rows, "reader_name", version, lambda: {r.reader_name: r.fingerprint for r in small_file_plan(matched, small_files).where("rewrite").collect()} == before, {"readers": {n: [r.files, r.wanted, r.bytes] for n, r in todo.items()}}
-    )
+    path = work_path(spark, "records")
+    first.sortWithinPartitions("reader_name", "image_time", "gpi").write.option("compression", "zstd").parquet(path)
+    records = spark.read.schema(first.schema).parquet(path).join(by_reader, "reader_name").withColumn("period", period).drop("kind")
+    images = cut(records.groupBy("reader_name", "period", "image_time").agg(F.count(F.lit(1)).alias("size")), "images")
+    sizes = {(r.reader_name, r.period): r.n for r in images.groupBy("reader_name", "period").agg(F.sum("size").alias("n")).collect()}
+    taken = table._fs.getContentSummary(table._path(path)).getLength()
+    a_record = taken / max(sum(sizes.values()), 1)
+    slots, offset = [], 0
+    for r in todo:
+        total = sizes.get((r.reader_name, r.period), 0)
+        n = max(1, round(total * a_record / max(r.target_bytes or 1, 1)))
+        slots.append((r.reader_name, r.period, offset, n, total))
+        offset += n
+    places = spark.createDataFrame(slots, "reader_name string, period string, offset int, n int, total long")
+    # images stay together in the order of time; one that is larger than a file is spread by its records
+    before_it = F.coalesce(F.sum("size").over(Window.partitionBy("reader_name", "period").orderBy("image_time").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = images.withColumn("before", before_it).join(places, ["reader_name", "period"]).drop("period")
+    at = F.col("before") + F.pmod(F.xxhash64("image_time", "gpi"), F.col("size"))
+    slot = F.col("offset") + F.floor(at * F.col("n") / F.col("total")).cast("int")
+    placed = records.join(placed, ["reader_name", "image_time"]).withColumn("slot", slot).repartitionById(offset, "slot")
+    rows = placed.sortWithinPartitions("reader_name", "period", "image_time", "gpi").select("image_time", "gpi", "file_id", "ssm", "ssm_noise", "reader_name", "period")
+    folder = {(r.reader_name, r.period): f"reader_name={_escaped(spark, r.reader_name)}/period={r.period}" for r in todo}
+    notes = {folder[r.reader_name, r.period]: {"reader": r.reader_name, "period": r.period, "kind": "all" if r.period == "all" else "year", "fingerprint": r.fingerprint} for r in todo}
+    seen = {(r.reader_name, r.period): r.fingerprint for r in todo}
+
+    def unchanged() -> bool:
+        now = small_file_plan(matched_files(source(), readers), small_files, dict(kinds))
+        return {(r.reader_name, r.period): r.fingerprint for r in now.join(wanted, ["reader_name", "period"], "left_semi").collect()} == seen
+
+    table.overwrite_partitions(rows, ["reader_name", "period"], before["version"], unchanged, notes)
     return table, plan
 
 
-def superfluous_files(files: DataFrame, readers: DataFrame) -> DataFrame:
+def _escaped(spark: SparkSession, value: str) -> str:
+    """A partition value as it stands in its folder's name."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def superfluous_files(files: DataFrame | Callable[[], DataFrame], readers: DataFrame) -> DataFrame:
     """(file_id): matching files that gave the compacted table no record."""
-    spark = files.sparkSession
-    table, plan = compact(files, readers, work_path(spark, "compacted"))
-    matched = matched_files(files, readers).select("reader_name", "image_time", "file_id", "content")
-    kept = plan.where("NOT rewrite").select("reader_name")
-    giving = csv_records(matched.join(F.broadcast(kept), "reader_name", "left_semi")).select("file_id")
+    source = files if callable(files) else lambda: files
+    matched = cut(matched_files(source(), readers).select("reader_name", "image_time", "file_id", "path", "content", "target_bytes"), "matched")
+    spark = matched.sparkSession
+    table, plan = _compact(matched, source, readers, work_path(spark, "compacted"), 1)
+    left = plan.where("NOT rewrite").select("reader_name", "period")
+    giving = None
+    if not left.isEmpty():  # partitions without small files to join stay as they are
+        kinds = left.select("reader_name", F.when(F.col("period") == "all", "all").otherwise("year").alias("kind")).distinct()
+        period = F.when(F.col("kind") == "year", F.year("image_time").cast("string")).otherwise("all")
+        giving = csv_records(matched.join(kinds, "reader_name").withColumn("period", period).join(left, ["reader_name", "period"], "left_semi")).groupBy("reader_name", "image_time", "gpi").agg(F.min("file_id").alias("file_id")).select("file_id")
     if table.version():
-        giving = giving.unionByName(table.read().select("file_id"))
-    return matched.select("file_id").distinct().join(giving.distinct(), "file_id", "left_anti")
+        written = table.read().select("file_id")
+        giving = written if giving is None else giving.unionByName(written)
+    every = matched.select("file_id").distinct()
+    return every if giving is None else every.join(giving.distinct(), "file_id", "left_anti")

@@ -29,12 +29,12 @@ def p1_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return superfluous_files(read_table(spark, folder, "image_files"), read_table(spark, folder, "image_readers"))
+    return superfluous_files(lambda: read_table(spark, folder, "image_files"), read_table(spark, folder, "image_readers"))
 
 
 def p2_compacted(spark: SparkSession, folder: str) -> DataFrame:
     """The consolidated records."""
-    table, _ = compact(read_table(spark, folder, "image_files"), read_table(spark, folder, "image_readers"), work_path(spark, "images"))
+    table, _ = compact(lambda: read_table(spark, folder, "image_files"), read_table(spark, folder, "image_readers"), work_path(spark, "images"))
     return table.read().select("reader_name", "image_time", "gpi", "ssm", "ssm_noise", "file_id")
 
 
@@ -76,15 +76,8 @@ WHERE acquisition_time IS NOT NULL AND NOT isnan(acquisition_time) AND acquisiti
   AND soil_moisture IS NOT NULL AND NOT isnan(soil_moisture) AND soil_moisture <> -999
 """
 
-ORACLE = {
-    "p1_found": f"""
-WITH seen AS (SELECT DISTINCT sensor, gpi, CAST(floor(unix / 86400) AS BIGINT) AS day FROM ({READINGS_SQL}) r),
-span AS (SELECT sensor, gpi, min(day) AS a, max(day) AS b FROM seen GROUP BY sensor, gpi),
-every AS (SELECT sensor, gpi, unnest(range(a, b)) AS day FROM span)
-SELECT e.sensor, e.gpi, strftime(DATE '1970-01-01' + CAST(e.day AS INTEGER), '%Y-%m-%d') AS missing_day
-FROM every e WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.sensor = e.sensor AND s.gpi = e.gpi AND s.day = e.day)
-""",
-    "p2_found": r"""
+#: Matching image files with their image time; the readers' patterns are written out.
+FILES_SQL = r"""
 WITH named AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS base FROM image_files),
 timed AS (SELECT file_id, reader_name, content,
   CASE reader_name
@@ -93,11 +86,31 @@ timed AS (SELECT file_id, reader_name, content,
     WHEN 'lis_noah' THEN CASE WHEN regexp_matches(path, '^(.*/)?LIS_HIST_[^/]*\.nc$') THEN try_strptime(regexp_extract(base, '^LIS_HIST_(\d{12})\.d01\.nc$', 1), '%Y%m%d%H%M') END
     WHEN 'reanalysis' THEN CASE WHEN regexp_matches(path, '^[^/]*/20[0-9][0-9]/[^/]*\.nc$') THEN try_strptime(regexp_extract(base, '^swvl_(\d{4}_\d{3})\.nc$', 1), '%Y_%j') END
     WHEN 'smos_l3' THEN CASE WHEN regexp_matches(path, '^(.*/)?SM_[^/]*_CLF31[^/]_[^/]*\.nc$') THEN try_strptime(regexp_extract(base, '^SM_RE06_MIR_CLF31A_(\d{8}T\d{6})_.*\.nc$', 1), '%Y%m%dT%H%M%S') END
-  END AS image_time FROM named),
+  END AS image_time FROM named)
+"""
+
+ORACLE = {
+    "p1_found": f"""
+WITH seen AS (SELECT DISTINCT sensor, gpi, CAST(floor(unix / 86400) AS BIGINT) AS day FROM ({READINGS_SQL}) r),
+span AS (SELECT sensor, gpi, min(day) AS a, max(day) AS b FROM seen GROUP BY sensor, gpi),
+every AS (SELECT sensor, gpi, unnest(range(a, b)) AS day FROM span)
+SELECT e.sensor, e.gpi, strftime(DATE '1970-01-01' + CAST(e.day AS INTEGER), '%Y-%m-%d') AS missing_day
+FROM every e WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.sensor = e.sensor AND s.gpi = e.gpi AND s.day = e.day)
+""",
+    "p2_found": FILES_SQL + r""",
 lines AS (SELECT file_id, reader_name, image_time, unnest(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM timed WHERE image_time IS NOT NULL),
 records AS (SELECT file_id, reader_name, image_time, CAST(split_part(line, ',', 1) AS BIGINT) AS gpi FROM lines WHERE regexp_matches(line, '^\d+,')),
 firsts AS (SELECT min(file_id) AS file_id FROM records GROUP BY reader_name, image_time, gpi)
 SELECT DISTINCT file_id FROM timed WHERE image_time IS NOT NULL AND file_id NOT IN (SELECT file_id FROM firsts)
+""",
+    "p2_compacted": FILES_SQL + r""",
+lines AS (SELECT file_id, reader_name, image_time, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT *, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM timed WHERE image_time IS NOT NULL) t),
+cells AS (SELECT *, trim(split_part(text, ',', 2)) AS a, trim(split_part(text, ',', 3)) AS b FROM lines WHERE regexp_matches(text, '^\s*\d+\s*,')),
+records AS (SELECT reader_name, image_time, CAST(trim(split_part(text, ',', 1)) AS BIGINT) AS gpi, file_id, line,
+  CASE WHEN lower(a) NOT IN ('', 'nan', 'n/a', 'na', 'null', 'none', '-', '-9999', '-9999.0') AND TRY_CAST(a AS DOUBLE) <> -9999 THEN TRY_CAST(a AS DOUBLE) END AS ssm,
+  CASE WHEN lower(b) NOT IN ('', 'nan', 'n/a', 'na', 'null', 'none', '-', '-9999', '-9999.0') AND TRY_CAST(b AS DOUBLE) <> -9999 THEN TRY_CAST(b AS DOUBLE) END AS ssm_noise FROM cells),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY reader_name, image_time, gpi ORDER BY file_id, line) AS r FROM records)
+SELECT reader_name, image_time, gpi, ssm, ssm_noise, file_id FROM ranked WHERE r = 1
 """,
     "p6_found": """
 SELECT DISTINCT s.series_id, t.station_id FROM csv_series s JOIN ismn_stations t

@@ -80,14 +80,83 @@ def test_conflicts(spark):
     root = work_path(spark, "t")
     table, _ = compact(sample(spark), readers(spark), root)
     rows = table.read()
+    by = ["reader_name", "period"]
     with pytest.raises(Conflict):
-        table.overwrite_partitions(rows, "reader_name", 0, lambda: True, {})
+        table.overwrite_partitions(rows, by, 0, lambda: True)
     with pytest.raises(Conflict):
-        table.overwrite_partitions(rows, "reader_name", 1, lambda: False, {})
-    table._create("v2.claim", {})
+        table.overwrite_partitions(rows, by, 1, lambda: False)
+    table._write("v2.claim", {})
     with pytest.raises(Conflict):
-        table.overwrite_partitions(rows, "reader_name", 1, lambda: True, {})
+        table.overwrite_partitions(rows, by, 1, lambda: True)
     assert SnapshotTable(spark, root).version() == 1 and rows.count() == 5
+    table.release(2)
+    assert table.overwrite_partitions(rows.where("reader_name = 'b'"), by, 1, lambda: True) == 2 and table.read().count() == 5
+    assert table.read(1).count() == 5 and table.expire(1) == 0  # the first write still holds the other reader
+
+
+def test_a_crash_before_publishing_leaves_the_table(spark, monkeypatch):
+    root = work_path(spark, "t")
+    compact(sample(spark), readers(spark), root)
+    more = spark.createDataFrame([(20, "b", "h/2015/sw_2015_001.nc", "4,1,1", "t"), (21, "b", "h/2015/sw_2015_002.nc", "5,1,1", "t")], FILES)
+
+    def crash(*_):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotTable, "_publish", crash)
+        m.setattr(SnapshotTable, "_delete", lambda *_: None)  # nor does it clean up
+        with pytest.raises(RuntimeError):
+            compact(more, readers(spark), root)
+    table = SnapshotTable(spark, root)
+    assert table.version() == 1 and {r.file_id for r in table.read().where("reader_name = 'b'").collect()} == {11}
+    table.release(2)
+    compact(more, readers(spark), root)
+    assert {r.file_id for r in table.read().where("reader_name = 'b'").collect()} == {20, 21}
+    assert table.expire(1) == 1 and table.read().count() == 6
+
+
+def test_deliveries_during_the_rewrite_are_a_conflict(spark):
+    """Also two equal rows, which an exclusive or would not notice."""
+    root = work_path(spark, "t")
+    late = spark.createDataFrame([(30, "a", "h/img_201401010000_V9.nc", "50,1,1", "t")] * 2, FILES)
+    calls = []
+
+    def source():
+        calls.append(1)
+        return sample(spark) if len(calls) == 1 else sample(spark).unionByName(late)
+
+    with pytest.raises(Conflict):
+        compact(source, readers(spark), root)
+    assert len(calls) == 2 and SnapshotTable(spark, root).version() == 0
+
+
+def test_only_changed_partitions_are_written_again(spark):
+    root = work_path(spark, "t")
+    compact(sample(spark), readers(spark), root)
+    table, plan = compact(sample(spark), readers(spark), root)
+    assert table.version() == 1 and plan.where("rewrite").count() == 0
+    more = sample(spark).unionByName(spark.createDataFrame([(31, "b", "h/2014/sw_2014_009.nc", "8,1,1", "t")], FILES))
+    table, plan = compact(more, readers(spark), root)
+    assert table.version() == 2 and [r.reader_name for r in plan.where("rewrite").collect()] == ["b"] and table.read().count() == 6
+
+
+def test_large_readers_are_cut_into_years_and_keep_them(spark):
+    """Years are partitions of their own; a new file rewrites its year only, and files come near their target size."""
+    rnd = random.Random(2)
+
+    def file(i, year, day):
+        return (i, "y", f"y_{year}{day:02d}.nc", "\n".join(f"{g},{rnd.random():.3f},{rnd.random():.3f}" for g in range(day * 1000, day * 1000 + 600)), "t")
+
+    rule = spark.createDataFrame([("y", "*", "y_{datetime}.nc", "%Y%d", 20_000)], READERS)
+    rows = [file(100 * y + d, y, d) for y in (2014, 2015, 2016) for d in range(1, 29)]
+    root = work_path(spark, "t")
+    table, plan = compact(spark.createDataFrame(rows, FILES), rule, root)
+    assert {r.period for r in plan.collect()} == {"2014", "2015", "2016"} and table.read().count() == len(rows) * 600
+    sizes = [f.getLen() for f in table._fs.globStatus(table._path(f"{root}/data/*/*/*/*.parquet"))]
+    assert len(sizes) < len(rows) / 2 and all(10_000 <= n <= 30_000 for n in sizes)
+    table, plan = compact(spark.createDataFrame([*rows, file(7, 2015, 30)], FILES), rule, root)
+    assert [r.period for r in plan.where("rewrite").collect()] == ["2015"] and table.read().count() == (len(rows) + 1) * 600
+    assert len({e["write"] for e in table.manifest()["partitions"].values()}) == 2
 
 
 def test_compaction_empty(spark):
