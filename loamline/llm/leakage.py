@@ -1,9 +1,12 @@
 """Evaluation passages in training text (problem 8): a distributed positional inverted index.
 
-Postings (term, document, position) are stored for the terms of the test vocabulary.  From each window of the passage
+Postings (term, document, position) are stored for the terms of the test vocabulary.  From each window of a passage
 the rarest terms of the corpus give the first lists; offset-adjusted intersection with the lists of the other terms
 leaves the exact phrase matches.  With room for strange words the lists are intersected with as much play, and the longest
 chain of words in order around each place they meet decides the proximity matches.
+
+Passages are cut into words, windows and rarest terms by tasks.  Only the vocabulary of a round, of proven size, goes to the
+workers; more passages take several rounds.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.mail import readable
+from loamline.operators.skew import salted_join
 from loamline.session import EngineError, cut
 
 WORD = re.compile(r"[^\W_]+")
-PASSAGES_AT_MOST = 200_000
+#: What one round holds: different words of its passages (they go to every worker), and words of its passages with room for
+#: strange words (there they go to every worker, too).
+VOCABULARY_AT_MOST, LINE_AT_MOST = 2_000_000, 4_000_000
+BROADCAST_ROWS = 1_000_000  # of at most 48 bytes
 POSTINGS_AT_ONCE, PAIRS_AT_ONCE, CHAINS_AT_ONCE = 50_000, 2_000_000, 100_000
-BREAK = "\n_\n"  # no word: positions go on, but one is left out between two texts
 
 
 def words(text: str) -> list[str]:
@@ -30,12 +36,33 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
-def passages(items: DataFrame) -> list[tuple[int, list[str]]]:
-    """The held-out passages as words.  They are configuration of bounded number (checked) and live on the driver."""
-    rows = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL").distinct().limit(PASSAGES_AT_MOST + 1).collect()
-    if len(rows) > PASSAGES_AT_MOST:
-        raise EngineError(f"more than {PASSAGES_AT_MOST} passages; search them in parts")
-    return [(r.item_id, words(r.passage)) for r in sorted(rows)]
+def _split(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words(p) for p in batch.column("passage").to_pylist()]
+            long = pa.array([len(w) >= least for w in found])
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").filter(long), pa.array([w for w in found if len(w) >= least], pa.list_(pa.string()))], names=["item_id", "words"])
+
+    return run
+
+
+def passages(items: DataFrame, least: int) -> DataFrame:
+    """(item_id, words, passage): the held-out passages as words, those of at least ``least`` words, with a number of their
+    own; repeated ones count once, several passages of an item are kept apart."""
+    rows = items.where("item_id IS NOT NULL AND passage IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "passage").distinct()
+    return cut(rows.mapInArrow(_split(least), "item_id long, words array<string>").withColumn("passage", F.monotonically_increasing_id()), "passages")
+
+
+def rounds_of(known: DataFrame, slack: int) -> list[DataFrame]:
+    """The passages in as many parts as it takes to keep each within its bounds."""
+    size = known.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    if not size:
+        return []
+    different = known.select(F.explode("words").alias("w")).agg(F.countDistinct("w")).first()[0] if size > VOCABULARY_AT_MOST else size
+    parts = max(-(-different // VOCABULARY_AT_MOST), -(-size // LINE_AT_MOST) if slack else 1)
+    if parts == 1:
+        return [known]
+    return [known.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def _indexer(vocabulary: dict[str, int], least: int, slack: int):
@@ -174,49 +201,89 @@ def _chains(known: list[tuple[int, list[int]]], frequency: dict[int, int], least
     return run
 
 
+def _windows(vocabulary: dict[str, int], frequency: np.ndarray, least: int):
+    """The rarest three terms of each window of a passage, each set once; none where a term does not occur at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["passage", "term", "at1", "term2", "at2", "term3", "at3"]
+        for batch in batches:
+            for passage, text in zip(batch.column("passage").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                ids = np.array([vocabulary[w] for w in text], np.int64)
+                spans = np.lib.stride_tricks.sliding_window_view(frequency[ids], least)
+                rarest = np.argsort(spans, axis=1, kind="stable")[:, :3] + np.arange(len(spans))[:, None]
+                rarest = np.unique(rarest[spans.min(1) > 0], axis=0)
+                for lo in range(0, len(rarest), 10_000):
+                    part = rarest[lo : lo + 10_000]
+                    columns = [np.full(len(part), passage)] + [c for k in range(3) for c in (ids[part[:, k]], part[:, k])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.int32()) for i, c in enumerate(columns)], names=names)
+
+    return run
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows with a written table by a key: by broadcast if the table is small, else salted."""
+    return rows.join(F.broadcast(table), key) if table.count() <= BROADCAST_ROWS else salted_join(rows, table, [key])
+
+
+def _round(documents: DataFrame, known: DataFrame, least: int, slack: int) -> DataFrame:
+    """The matches with the passages of one round."""
+    different = known.select(F.explode("words").alias("w")).distinct().limit(VOCABULARY_AT_MOST + 1).collect()
+    if len(different) > VOCABULARY_AT_MOST:
+        raise EngineError("a round has too many different words")
+    vocabulary = {w: n for n, w in enumerate(sorted(r.w for r in different))}
+    postings = positional_index(documents, vocabulary, least, slack, copies=slack > 0)
+    counts = postings.groupBy("term").agg(F.countDistinct("doc_id").alias("df")).collect()  # at most one row per word of the round
+    if slack:
+        lists = [(r.item_id, [vocabulary[w] for w in r.words]) for r in known.orderBy("item_id", "words").collect()]  # at most LINE_AT_MOST words
+        chains = _chains(lists, {r.term: r.df for r in counts}, least, slack)
+        lines = postings.repartition("doc_id").sortWithinPartitions("doc_id", "copy", "pos")  # a hot key is one document's text at most
+        return lines.mapInArrow(chains, "doc_id long, item_id long, words int")
+    frequency = np.zeros(len(vocabulary) + 1, np.int64)
+    for r in counts:
+        frequency[r.term] = r.df
+    schema = "passage long, term int, at1 int, term2 int, at2 int, term3 int, at3 int"
+    anchors = cut(known.select("passage", "words").mapInArrow(_windows(vocabulary, frequency, least), schema).distinct(), "anchors")
+    # the lists of the three rarest terms, one after the other, each moved by its offset in the passage
+    candidates = _joined(postings, anchors, "term").withColumn("shift", F.col("pos") - F.col("at1"))
+    for n in (2, 3):
+        other = postings.select("doc_id", F.col("term").alias(f"term{n}"), F.col("pos").alias(f"pos{n}"))
+        candidates = candidates.withColumn(f"pos{n}", F.col("shift") + F.col(f"at{n}")).select("doc_id", "passage", "shift", f"term{n}", f"pos{n}", *(["term3", "at3"] if n == 2 else []))
+        candidates = candidates.join(other, ["doc_id", f"term{n}", f"pos{n}"], "left_semi")
+    candidates = candidates.select("doc_id", "passage", "shift").distinct()
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            term = pa.array([vocabulary[w] for w in lists.flatten().to_pylist()], pa.int32())
+            at = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("passage").take(pa.array(np.repeat(np.arange(batch.num_rows), sizes))), term, pa.array(at, pa.int32())], names=["passage", "term", "at"])
+
+    at_items = cut(known.select("passage", "words").mapInArrow(numbered, "passage long, term int, at int"), "terms")
+    expected = _joined(candidates, at_items, "passage").select("doc_id", "passage", "shift", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
+    same = expected.join(postings.distinct(), ["doc_id", "term", "pos"]).distinct()
+    line = Window.partitionBy("doc_id", "passage", "shift")  # at most as many rows as a passage has words
+    islands = same.withColumn("island", F.col("at") - F.row_number().over(line.orderBy("at")))
+    runs = islands.groupBy("doc_id", "passage", "shift", "island").agg(F.count(F.lit(1)).alias("words"))
+    return runs.where(F.col("words") >= least).join(known.select("passage", "item_id"), "passage").select("doc_id", "item_id", F.col("words").cast("int").alias("words"))
+
+
 def leaked(documents: DataFrame, items: DataFrame, least: int = 12, slack: int = 0) -> DataFrame:
     """(doc_id, item_id, words): documents with at least ``least`` words of a passage, and the longest such match.
 
     With ``slack`` 0 the words are consecutive in passage and document (exact phrase).  With ``slack`` s a proximity
     match is reported: at least ``least`` words in the same order in a window of ``least + s`` words of the passage and one
-    of ``least + s`` words of the document, so up to s words may be replaced, put in or left out.  Case, punctuation, line breaks, quote marks, markup and transfer encoding don't matter.
-    Passages shorter than ``least`` words can't match.  Repeated documents and items count once; an empty table on
-    either side gives an empty result.
+    of ``least + s`` words of the document, so up to s words may be replaced, put in or left out.  Case, punctuation, line
+    breaks, quote marks, markup and transfer encoding don't matter.  Passages shorter than ``least`` words can't match.
+    Repeated documents and items count once; an empty table on either side gives an empty result.  Passages beyond the
+    bounds of a round are searched in further rounds over the documents.
     """
     if least < 3:
         raise EngineError("a match needs at least three words")
-    spark = documents.sparkSession
-    known = [(i, w) for i, w in passages(items) if len(w) >= least]
-    vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in known for w in ws}))}
-    postings = positional_index(documents, vocabulary, least, slack, copies=slack > 0)
-    frequency = dict(postings.groupBy("term").agg(F.countDistinct("doc_id").alias("df")).collect())  # at most one row per test term
-    if slack:
-        if not known:
-            return spark.createDataFrame([], "doc_id long, item_id long, words int")
-        chains = _chains([(item, [vocabulary[w] for w in ws]) for item, ws in known], frequency, least, slack)
-        lines = postings.repartition("doc_id").sortWithinPartitions("doc_id", "copy", "pos")  # a hot key is one document's text at most
-        return lines.mapInArrow(chains, "doc_id long, item_id long, words int").groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
-    terms, firsts = [], set()
-    for item, ws in known:
-        ids = [vocabulary[w] for w in ws]
-        terms += [(item, t, at) for at, t in enumerate(ids)]
-        for start in range(len(ids) - least + 1):
-            three = sorted(range(start, start + least), key=lambda at: (frequency.get(ids[at], 0), at))[:3]
-            if all(frequency.get(ids[at]) for at in three):
-                firsts.add((item, *(x for at in three for x in (ids[at], at))))
-    at_items = spark.createDataFrame(terms, "item_id long, term int, at int")
-    anchors = spark.createDataFrame(sorted(firsts), "item_id long, term int, at1 int, term2 int, at2 int, term3 int, at3 int")
-    # the lists of the three rarest terms, one after the other, each moved by its offset in the passage;
-    # broadcast: at most one row for each word of the bounded passages
-    candidates = postings.join(F.broadcast(anchors), "term").withColumn("shift", F.col("pos") - F.col("at1"))
-    for n in (2, 3):
-        other = postings.select("doc_id", F.col("term").alias(f"term{n}"), F.col("pos").alias(f"pos{n}"))
-        candidates = candidates.withColumn(f"pos{n}", F.col("shift") + F.col(f"at{n}")).select("doc_id", "item_id", "shift", f"term{n}", f"pos{n}", *(["term3", "at3"] if n == 2 else []))
-        candidates = candidates.join(other, ["doc_id", f"term{n}", f"pos{n}"], "left_semi")
-    candidates = candidates.select("doc_id", "item_id", "shift").distinct()
-    expected = candidates.join(F.broadcast(at_items), "item_id").select("doc_id", "item_id", "shift", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
-    met = expected.join(postings.distinct(), ["doc_id", "term", "pos"])
-    line = Window.partitionBy("doc_id", "item_id", "shift")  # at most as many rows as a passage has words
-    islands = met.withColumn("island", F.col("at") - F.row_number().over(line.orderBy("at")))
-    runs = islands.groupBy("doc_id", "item_id", "shift", "island").agg(F.count(F.lit(1)).alias("words"))
-    return runs.where(F.col("words") >= least).groupBy("doc_id", "item_id").agg(F.max("words").cast("int").alias("words"))
+    found = [_round(documents, part, least, slack) for part in rounds_of(passages(items, least), slack)]
+    if not found:
+        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, words int")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

@@ -136,3 +136,47 @@ def test_text_cut_inside_base64_still_counts():
     raw = base64.encodebytes("größe und sand".encode()).decode().strip()
     assert "größe und s" in readable(f"Content-Transfer-Encoding: base64\n\n{raw[:-4]}")[1]
     assert readable("Content-Transfer-Encoding: base64\n\n" + base64.b64encode(bytes(range(256))).decode())[1] == ""
+
+
+def test_rounds_and_shuffled_sides_give_the_same(spark, monkeypatch):
+    """More passages than a round holds, and sides too large to broadcast."""
+    from loamline.llm import leakage
+
+    rnd = random.Random(5)
+    items = [(i % 9, " ".join(f"w{rnd.randrange(60)}" for _ in range(20))) for i in range(12)]
+    docs = [(d, " ".join(words(rnd.choice(items)[1])[rnd.randrange(7) :]) + " tail") for d in range(40)]
+    D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    for slack in (0, 2):
+        plain = {tuple(r) for r in leaked(D, I, 12, slack).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(leakage, "VOCABULARY_AT_MOST", 60)
+            m.setattr(leakage, "LINE_AT_MOST", 90)
+            m.setattr(leakage, "BROADCAST_ROWS", 0)
+            assert len(leakage.rounds_of(leakage.passages(I, 12), slack)) == (3 if slack else 1)
+            assert {tuple(r) for r in leaked(D, I, 12, slack).collect()} == plain
+    assert {(d, i) for d, i, _ in plain} >= brute(docs, items, 12) and plain
+
+
+def test_passages_of_one_item_are_kept_apart(spark):
+    a, b = " ".join(f"a{k}" for k in range(14)), " ".join(f"b{k}" for k in range(14))
+    mixed = " ".join((a.split()[:7]) + (b.split()[7:]))
+    items = spark.createDataFrame([(1, a), (1, b)], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, mixed), (2, b)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.words) for r in leaked(docs, items).collect()] == [(2, 1, 14)]
+
+
+def test_other_charsets_and_deep_nesting(spark):
+    p = "größe été loam clay silt sand probe gauge drifts lags ninety seven near"
+    part = lambda charset, how: f"Content-Type: text/plain; charset={charset}\nContent-Transfer-Encoding: {how}\n\n"
+    docs = [(i, part(c, "base64") + base64.encodebytes(p.encode(c)).decode()) for i, c in enumerate(("iso-8859-1", "utf-16", "utf-16-le", "windows-1252", "utf-8"))]
+    docs += [(10 + i, part(c, "quoted-printable") + quopri.encodestring(p.encode(c)).decode()) for i, c in enumerate(("iso-8859-1", "cp1252", "utf-8"))]
+    docs.append((20, part("no-such-charset", "base64") + base64.encodebytes(p.encode("latin-1")).decode()))
+    docs.append((21, part("hex", "quoted-printable") + quopri.encodestring(p.encode()).decode()))
+    inner = part("utf-8", "base64") + base64.encodebytes(p.encode()).decode()
+    for level in range(30):
+        inner = f'Content-Type: multipart/mixed; boundary="b{level}"\n\n--b{level}\n{inner}\n--b{level}--\n'
+    docs.append((30, inner))
+    docs.append((31, "Content-Type: message/rfc822\n\n" + docs[0][1]))
+    items = spark.createDataFrame([(1, p)], "item_id long, passage string")
+    got = {r.doc_id for r in leaked(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {d for d, _ in docs}
