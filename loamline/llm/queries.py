@@ -44,6 +44,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[1]
 
 
+def p9_balanced(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of the largest mix in which every source that has documents meets its own."""
+    return mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"), balanced=True)[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncated(read_table(spark, folder, "documents")).select("doc_id")
 
@@ -53,7 +58,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_rates(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_voted, p8_found, p8_proximity, p9_mix, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_voted, p8_found, p8_proximity, p9_mix, p9_shares, p9_balanced, p10_found, p10_rates)}
 
 #: Files of image_versions in rank order, and their fields in one row each.
 FILES_SQL = r"""

@@ -1,6 +1,7 @@
 """Problem 9: mixing sources to target weights."""
 
 import itertools
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,6 +37,31 @@ def test_fill_goes_on_with_shorter_documents():
     assert sum(x * t for x, t in zip(lengths, fill(lengths, counts, 1_999_999), strict=True)) == 1_999_999
 
 
+def test_fill_equals_an_exact_search():
+    """Random stocks of long documents, where proportion and greed go wrong."""
+    rnd = random.Random(1)
+    for _ in range(1000):
+        stock = {rnd.randrange(1, 300_001) if rnd.random() < 0.8 else rnd.randrange(1, 300) * 1000: rnd.randrange(1, 5) for _ in range(rnd.randrange(1, 6))}
+        lengths, counts = sorted(stock), [stock[x] for x in sorted(stock)]
+        budget = int(sum(x * n for x, n in stock.items()) * rnd.random())
+        sums = {0}
+        for x, n in stock.items():
+            sums = {s + k * x for s in sums for k in range(n + 1) if s + k * x <= budget}
+        take = fill(lengths, counts, budget)
+        assert all(0 <= t <= n for t, n in zip(take, counts, strict=True))
+        assert sum(x * t for x, t in zip(lengths, take, strict=True)) == max(sums), (lengths, counts, budget)
+
+
+def test_knapsack_in_blocks(monkeypatch):
+    monkeypatch.setattr(mixing, "HELD_BITS", 1)
+    for budget in (0, 5, 99, 1234):
+        take = knapsack([7, 30, 12, 95], [3, 4, 2, 9], budget)
+        monkeypatch.undo()
+        best = knapsack([7, 30, 12, 95], [3, 4, 2, 9], budget)
+        monkeypatch.setattr(mixing, "HELD_BITS", 1)
+        assert sum(a * b for a, b in zip(take, [7, 30, 12, 95], strict=True)) == sum(a * b for a, b in zip(best, [7, 30, 12, 95], strict=True))
+
+
 DOCS = "doc_id long, text string, source string, tokens string, n int"
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -58,6 +84,13 @@ def test_mix_and_report(spark):
     assert not by["absent"].met and by["absent"].tokens_mixed == 0 and set(by) == {"big", "small", "absent"}
 
 
+def test_balanced(spark):
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 2), ("absent", 0.1, 5)], TARGETS)
+    rows = {r.source: r for r in mix(corpus(spark), targets, balanced=True)[1].collect()}
+    assert abs(rows["big"].actual_share - 5 / 9) < 0.01 and abs(rows["small"].actual_share - 4 / 9) < 0.01 and rows["absent"].tokens_mixed == 0
+    assert rows["small"].tokens_mixed >= 2 * rows["small"].tokens_available - 40  # the scarcer source is used up
+
+
 def test_targets_out_of_reach(spark):
     mixed, report = mix(corpus(spark), spark.createDataFrame([("small", 1.0, 2)], TARGETS), total_tokens=10**9)
     (r,) = report.collect()
