@@ -51,33 +51,31 @@ def glob_regex(pattern: str) -> str:
 def template_regex(template: str, fmt: str) -> str:
     """A base-name regular expression for a file-name template; group 1 is the time."""
     parts = re.split(r"(\{datetime\}|\*)", template)
-    return "^" + "".join({"{datetime}": f"({strptime_parts(fmt)[0]})", "*": ".*"}.get(p, re.escape(p)) for p in parts) + "$"
+    return "^" + "".join({"{datetime}": f"({strptime_parts(fmt)[0]})", "*": "[^/]*"}.get(p, re.escape(p)) for p in parts) + "$"
 
 
 def rules_of(readers: DataFrame) -> DataFrame:
-    """(reader_name, path_regex, name_regex, java_format, target_bytes) of complete reader rows; of several rows of a reader
-    the smallest counts."""
+    """(reader_name, regex, java_format, target_bytes) of complete reader rows: one expression for the whole path, its group 1
+    the time.  Of several rows of a reader the smallest counts."""
 
-    @F.pandas_udf("path_regex string, name_regex string, java_format string")
+    @F.pandas_udf("regex string, java_format string")
     def compiled(pattern: pd.Series, template: pd.Series, fmt: pd.Series) -> pd.DataFrame:
-        rows = [(glob_regex(p), template_regex(t, f), strptime_parts(f)[1]) for p, t, f in zip(pattern, template, fmt, strict=True)]
-        return pd.DataFrame(rows, columns=["path_regex", "name_regex", "java_format"])
+        rows = [(f"^(?={glob_regex(p)[1:]})(?:.*/)?{template_regex(t, f)[1:]}", strptime_parts(f)[1]) for p, t, f in zip(pattern, template, fmt, strict=True)]
+        return pd.DataFrame(rows, columns=["regex", "java_format"])
 
     whole = readers.where("reader_name IS NOT NULL AND pattern IS NOT NULL AND fname_templ IS NOT NULL AND datetime_format IS NOT NULL")
     one = whole.groupBy("reader_name").agg(F.min(F.struct("pattern", "fname_templ", "datetime_format", "target_bytes")).alias("r"))
-    return one.select("reader_name", compiled("r.pattern", "r.fname_templ", "r.datetime_format").alias("c"), F.col("r.target_bytes").cast("long").alias("target_bytes")).select("reader_name", "c.*", "target_bytes")
+    return cut(one.select("reader_name", compiled("r.pattern", "r.fname_templ", "r.datetime_format").alias("c"), F.col("r.target_bytes").cast("long").alias("target_bytes")).select("reader_name", "c.*", "target_bytes"), "rules")
 
 
-def matched_files(files: DataFrame, readers: DataFrame) -> DataFrame:
+def matched_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files whose path matches their reader's pattern and whose base name matches its template with a real time.
 
     Adds ``image_time`` and ``target_bytes``.  Files of unknown readers, or with a NULL path, are no matches."""
     own = [c for c in files.columns if c not in ("image_time", "target_bytes")]
-    joined = files.select(*own).join(rules_of(readers), "reader_name")
-    base = F.regexp_extract("path", r"([^/]*)$", 1)
-    stamp = F.try_to_timestamp(F.call_function("regexp_extract", base, F.col("name_regex"), F.lit(1)), F.col("java_format")).cast("timestamp_ntz")
-    hit = F.rlike(F.col("path"), F.col("path_regex")) & F.rlike(base, F.col("name_regex"))
-    return joined.where(hit).withColumn("image_time", stamp).where("image_time IS NOT NULL").select(*own, "image_time", "target_bytes")
+    text = F.call_function("regexp_extract", F.col("path"), F.col("regex"), F.lit(1))
+    joined = files.select(*own).join(rules, "reader_name").withColumn("image_time", F.try_to_timestamp(text, F.col("java_format")).cast("timestamp_ntz"))
+    return joined.where("image_time IS NOT NULL").select(*own, "image_time", "target_bytes")
 
 
 def number_or_null(text: Column) -> Column:
@@ -216,6 +214,7 @@ def small_file_plan(matched: DataFrame, small_files: int, periods: dict[str, str
     if periods:
         known = F.create_map(*(F.lit(x) for pair in periods.items() for x in pair))
         kind = F.coalesce(known[F.col("reader_name")], usual)
+    by_year = cut(by_year, "by-year")
     kinds = by_year.groupBy("reader_name").agg(kind.alias("kind"))
     plan = by_year.join(kinds, "reader_name").groupBy("reader_name", F.when(F.col("kind") == "year", F.col("year")).otherwise("all").alias("period"))
     sums = plan.agg(*(F.sum(c).alias(c) for c in ("files", "bytes", "small", "hashes")), F.max("target_bytes").alias("target_bytes"))
@@ -231,12 +230,12 @@ def compact(files: DataFrame | Callable[[], DataFrame], readers: DataFrame, root
     a function it is read anew for the check after the write, so deliveries meanwhile are noticed.  Returns the table and
     the plan, with ``rewrite`` where a partition is crowded and not yet in the table as it is now.  Repeated rows of one file
     count once by nature; an empty input leaves an empty table at version 0."""
-    source = files if callable(files) else lambda: files
-    matched = cut(matched_files(source(), readers).select("reader_name", "image_time", "file_id", "path", "content", "target_bytes"), "matched")
-    return _compact(matched, source, readers, root, small_files)
+    source, rules = files if callable(files) else lambda: files, rules_of(readers)
+    matched = cut(matched_files(source(), rules).select("reader_name", "image_time", "file_id", "path", "content", "target_bytes"), "matched")
+    return _compact(matched, source, rules, root, small_files)
 
 
-def _compact(matched: DataFrame, source: Callable[[], DataFrame], readers: DataFrame, root: str, small_files: int) -> tuple[SnapshotTable, DataFrame]:
+def _compact(matched: DataFrame, source: Callable[[], DataFrame], rules: DataFrame, root: str, small_files: int) -> tuple[SnapshotTable, DataFrame]:
     spark = matched.sparkSession
     table = SnapshotTable(spark, root)
     before = table.manifest()
@@ -286,7 +285,7 @@ def _compact(matched: DataFrame, source: Callable[[], DataFrame], readers: DataF
     seen = {(r.reader_name, r.period): r.fingerprint for r in todo}
 
     def unchanged() -> bool:
-        now = small_file_plan(matched_files(source(), readers), small_files, dict(kinds))
+        now = small_file_plan(matched_files(source(), rules), small_files, dict(kinds))
         return {(r.reader_name, r.period): r.fingerprint for r in now.join(wanted, ["reader_name", "period"], "left_semi").collect()} == seen
 
     table.overwrite_partitions(rows, ["reader_name", "period"], before["version"], unchanged, notes)
@@ -300,10 +299,10 @@ def _escaped(spark: SparkSession, value: str) -> str:
 
 def superfluous_files(files: DataFrame | Callable[[], DataFrame], readers: DataFrame) -> DataFrame:
     """(file_id): matching files that gave the compacted table no record."""
-    source = files if callable(files) else lambda: files
-    matched = cut(matched_files(source(), readers).select("reader_name", "image_time", "file_id", "path", "content", "target_bytes"), "matched")
+    source, rules = files if callable(files) else lambda: files, rules_of(readers)
+    matched = cut(matched_files(source(), rules).select("reader_name", "image_time", "file_id", "path", "content", "target_bytes"), "matched")
     spark = matched.sparkSession
-    table, plan = _compact(matched, source, readers, work_path(spark, "compacted"), 1)
+    table, plan = _compact(matched, source, rules, work_path(spark, "compacted"), 1)
     left = plan.where("NOT rewrite").select("reader_name", "period")
     giving = None
     if not left.isEmpty():  # partitions without small files to join stay as they are
