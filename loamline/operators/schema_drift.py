@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamline.session import cut
+from loamline.session import EngineError, cut
 
 #: Spellings of types in numpy, the array protocol and CDL, by logical type.
 SPELLINGS = {
@@ -28,8 +28,9 @@ SPELLINGS = {
 LOGICAL = {name: logical for logical, names in SPELLINGS.items() for name in names.split()}
 SQL_TYPE = {"b1": T.BooleanType(), "i1": T.ByteType(), "u1": T.ShortType(), "i2": T.ShortType(), "u2": T.IntegerType(), "i4": T.IntegerType(), "u4": T.LongType(), "i8": T.LongType(), "u8": T.DecimalType(20, 0), "f4": T.FloatType(), "f8": T.DoubleType(), "str": T.StringType()}
 FLAG = "ascending_flag"
-CHANGE = "stream string, file_name string, field_name string, change_kind string, old string, new string"
-CHANGE_ARROW = pa.schema([(c, pa.string()) for c in ("stream", "file_name", "field_name", "change_kind", "old", "new")])
+CHANGE = "stream string, file_name string, field_name string, change_kind string, old string, new string, place int"
+CHANGE_ARROW = pa.schema([*((c, pa.string()) for c in ("stream", "file_name", "field_name", "change_kind", "old", "new")), ("place", pa.int32())])
+COLUMNS_AT_MOST = 10_000
 START = r"(\d{8}T\d{6})"
 
 
@@ -119,7 +120,7 @@ def differences(old: dict, new: dict) -> list[tuple[str, str, str | None, str |
 
 
 def _changes(stream: str, name: str, old: dict, new: dict) -> list[tuple]:
-    return [(stream, name, *d) for d in differences(old, new)]
+    return [(stream, name, *d, place) for place, d in enumerate(differences(old, new), 1)]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
     if before:
         ends = [(before, "tail")] if first[:2] != before[:2] else []
-        out = [(*x[:2], None, "only" if not ends else role, json.dumps(x[2]), None) for x, role in [(first, "head"), *ends]]
+        out = [(*x[:2], None, "only" if not ends else role, json.dumps(x[2]), None, None) for x, role in [(first, "head"), *ends]]
         yield pa.RecordBatch.from_pylist([dict(zip(CHANGE_ARROW.names, r, strict=True)) for r in out], CHANGE_ARROW)
 
 
@@ -158,7 +159,8 @@ def _stitch(table: pa.Table) -> pa.Table:
 
 def drift_report(headers: DataFrame) -> DataFrame:
     """Every change between a file and the stream's previous file by sensing start (the first ``yyyymmddThhmmss`` of its
-    name): ``stream, file_name, field_name, change_kind, old, new``.
+    name): ``stream, start, file_name, place, field_name, change_kind, old, new``; in the order of (stream, start, file_name,
+    place) they are the stream's log.
 
     ``change_kind`` is added, removed, renamed (same long_name but for case and blanks; ``field_name`` is the new name)
     or retyped (another logical type, or ``file_format``).  A repeated file counts once, as delivered first; equal
@@ -173,7 +175,8 @@ def drift_report(headers: DataFrame) -> DataFrame:
     ordered = ordered.repartitionByRange("stream", "start", "file_name").sortWithinPartitions("stream", "start", "file_name")
     passed = cut(ordered.select("stream", "file_name", "header").mapInArrow(_compare, CHANGE), "drift-pass")
     at_cuts = passed.where("field_name IS NULL").groupBy("stream").applyInArrow(_stitch, CHANGE)
-    return passed.where("field_name IS NOT NULL").unionByName(at_cuts)
+    log = passed.where("field_name IS NOT NULL").unionByName(at_cuts).withColumn("start", F.try_to_timestamp(F.regexp_extract("file_name", START, 1), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz"))
+    return log.select("stream", "start", "file_name", "place", "field_name", "change_kind", "old", "new")
 
 
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,3 +236,22 @@ def unified_records(headers: DataFrame) -> DataFrame:
     cells = one.select("r.header_id", "stream", "file_name", F.col("record").isNotNull().alias("readable"), F.inline_outer(every))
     known = cells.join(schema, ["stream", "name"], "left").withColumn("kind", F.coalesce("kind", F.lit("str")))
     return known.select("header_id", "stream", "file_name", F.coalesce("field_name", "name").alias("field_name"), "kind", "text", *(c.alias(n) for n, c in _typed(F.col("kind"), F.col("text")).items()), "readable")
+
+
+def unified_table(headers: DataFrame) -> DataFrame:
+    """All records in one wide table: ``header_id, stream, file_name, readable`` and a column for every field of any stream,
+    in the promoted type over all streams; a field that is called like one of the four gets ``_field`` behind its name.
+
+    Whole numbers keep all their digits (LONG, or DECIMAL(20,0) for u8), flags are BOOLEAN; what does not fit its column's type
+    is NULL there (``unified_records`` has its text).  The columns are metadata of the driver; more than 10,000 are refused."""
+    fields = union_schema(headers).groupBy("field_name").agg(F.collect_set("kind").alias("kinds")).limit(COLUMNS_AT_MOST + 1).collect()
+    if len(fields) > COLUMNS_AT_MOST:
+        raise EngineError(f"more than {COLUMNS_AT_MOST} fields")
+    keys = ["header_id", "stream", "file_name", "readable"]
+    cells = unified_records(headers)
+    columns = []
+    for name, kinds in sorted((f.field_name, f.kinds) for f in fields):
+        kind = join_types(kinds)
+        source = "flag" if kind == "b1" else "number" if kind[0] == "f" else "whole" if kind in SQL_TYPE and kind != "str" else "text"
+        columns.append(F.max(F.when(F.col("field_name") == name, F.col(source).cast(SQL_TYPE.get(kind, T.StringType())))).alias(name + "_field" * (name in keys)))
+    return cells.groupBy(*keys).agg(*columns) if columns else cells.select(*keys).distinct()

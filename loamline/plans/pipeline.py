@@ -9,9 +9,10 @@ from loamline.operators.compaction import compact, superfluous_files
 from loamline.operators.near import near_pairs
 from loamline.operators.readings import all_readings
 from loamline.operators.regular_grid import missing_days, regularize
-from loamline.operators.schema_drift import drift_report, unified_records
+from loamline.operators.schema_drift import drift_report, unified_records, unified_table
 from loamline.operators.spikes import flag_readings
 from loamline.operators.time_dictionary import normalise_times
+from loamline.plans import drift_sql
 from loamline.session import read_table, work_path
 
 
@@ -43,8 +44,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
-    """All records under one schema per stream."""
-    return unified_records(read_table(spark, folder, "smos_headers"))
+    """All records under one schema per stream; ``text`` only where no typed column holds the value."""
+    return unified_records(read_table(spark, folder, "smos_headers")).withColumn("text", F.when(F.col("number").isNull() & F.col("flag").isNull(), F.col("text")))
+
+
+def p4_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of all streams in one typed table."""
+    return unified_table(read_table(spark, folder, "smos_headers"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +70,7 @@ def p7_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return flag_readings(_readings(spark, folder)).groupBy("sensor", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_compacted, p4_found, p4_unified, p5_found, p6_found, p7_found, p7_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_compacted, p4_found, p4_unified, p4_table, p5_found, p6_found, p7_found, p7_reasons)}
 
 READINGS_SQL = """
 SELECT 'smap' AS sensor, gpi, acquisition_time + 946728000 AS unix, soil_moisture AS value, obs_id FROM smap_obs
@@ -112,6 +118,8 @@ records AS (SELECT reader_name, image_time, CAST(trim(split_part(text, ',', 1))
 ranked AS (SELECT *, row_number() OVER (PARTITION BY reader_name, image_time, gpi ORDER BY file_id, line) AS r FROM records)
 SELECT reader_name, image_time, gpi, ssm, ssm_noise, file_id FROM ranked WHERE r = 1
 """,
+    "p4_found": drift_sql.FOUND,
+    "p4_unified": drift_sql.UNION,
     "p6_found": """
 SELECT DISTINCT s.series_id, t.station_id FROM csv_series s JOIN ismn_stations t
 ON 2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(t.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - s.lon) / 2), 2)))) <= s.radius_km

@@ -9,7 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from loamline.operators.compaction import Conflict, SnapshotTable, compact, glob_regex, superfluous_files, template_regex
-from loamline.operators.schema_drift import SQL_TYPE, differences, drift_report, join_types, logical_type, parse_header, promote, unified_records, union_schema
+from loamline.operators.schema_drift import SQL_TYPE, differences, drift_report, join_types, logical_type, parse_header, promote, unified_records, unified_table, union_schema
 from loamline.session import EngineError, work_path
 
 FILES = "file_id long, reader_name string, path string, content string, table string"
@@ -248,3 +248,26 @@ def test_unified_records_are_whole_and_typed(spark):
     assert by[1, "ok"].flag is True and by[1, "n"].whole == big and by[1, "m"].whole == 2**64 - 1 and by[1, "x"].number == 1.5 and by[1, "x"].whole is None
     assert by[2, "n"].whole is None and by[2, "n"].number == 7.5 and by[2, "m"].text is None
     assert {h: by[h, "n" if h < 6 else None].readable for h in range(1, 7)} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False}
+
+
+def test_one_typed_table(spark):
+    """A column per field over all streams, whole numbers beyond 2^53 with all digits, and the log in order."""
+    def head(h, stream, day, variables, record):
+        return (h, stream, f"SM_X_201501{day:02d}T000000_1.nc", datetime(2015, 1, day), json.dumps({"file_format": "A", "variables": variables}), json.dumps(record))
+
+    rows = [
+        head(1, "s", 1, {"n": {"dtype": "int64", "long_name": "count"}, "b": {"dtype": "bool"}, "u": {"dtype": "uint64"}}, {"n": 2**60 + 1, "b": True, "u": 2**64 - 1}),
+        head(2, "s", 2, {"m": {"dtype": "int16", "long_name": "Count"}, "b": {"dtype": "bool"}, "v": {"dtype": "f4"}}, {"m": 7, "b": False, "v": 1.5}),
+        head(3, "t", 3, {"v": {"dtype": "int32"}, "stream": {"dtype": "str"}}, {"v": 9, "stream": "x"}),
+        head(4, "t", 4, {"v": {"dtype": "S4"}}, {}),
+    ]
+    df = spark.createDataFrame(rows, "header_id long, stream string, file_name string, delivered_at timestamp_ntz, header string, record_json string")
+    table = unified_table(df)
+    types = dict(table.dtypes)
+    assert types["m"] == "bigint" and types["b"] == "boolean" and types["u"] == "decimal(20,0)" and types["v"] == "string" and types["stream_field"] == "string"
+    by = {r.header_id: r for r in table.collect()}
+    assert len(by) == 4 and by[1].m == 2**60 + 1 and int(by[1].u) == 2**64 - 1 and by[1].b is True and by[2].m == 7 and by[2].b is False and by[2].u is None
+    assert by[3].v == "9" and by[3].stream_field == "x" and by[4].v is None
+    log = [(r.stream, r.start.day, r.place, r.field_name, r.change_kind) for r in drift_report(df).orderBy("stream", "start", "file_name", "place").collect()]
+    assert log == [("s", 2, 1, "m", "renamed"), ("s", 2, 2, "v", "added"), ("s", 2, 3, "u", "removed"), ("s", 2, 4, "m", "retyped"), ("t", 4, 1, "stream", "removed"), ("t", 4, 2, "v", "retyped")]
+    assert unified_table(df.limit(0)).count() == 0
