@@ -9,7 +9,6 @@ from loamline.operators import swath
 from loamline.operators.grid import grid_from_points, within_box, with_cells
 from loamline.operators.images import daily_mean
 from loamline.session import EngineError, build_session, purge
-from loamline.sources.netcdf3 import read_netcdf3
 from loamline.sources.readers import read_images, read_stack
 from loamline.sources.writers import write_cells, write_transposed
 
@@ -72,10 +71,7 @@ def main(argv: list[str] | None = None) -> int:
         return _swath(spark, a)
     rename, levels = pairs(a.rename), {k: int(v) for k, v in pairs(a.level).items()}
     if a.time_fmt:
-        nc = a.pattern.endswith(".nc")
-        source = [old for new in a.parameter for old in [next((o for o, n in rename.items() if n == new), new)]]
-        opener = (lambda s, paths: read_netcdf3(s, paths, source)) if nc else None
-        obs = read_images(spark, a.input_root, a.parameter, a.time_fmt, a.pattern, a.time_regex_pattern, opener, rename, levels or None, a.fill_value, False, a.start, a.end)
+        obs = read_images(spark, a.input_root, a.parameter, a.time_fmt, a.pattern, a.time_regex_pattern, None, rename, levels or None, a.fill_value, False, a.start, a.end)
     else:
         obs = read_stack(spark, a.input_root, a.parameter, rename)
     if a.grid:

@@ -1,9 +1,11 @@
-"""Coordinates and attributes of gridded files by their metadata (plain Python on small dictionaries)."""
+"""Coordinates and attributes of gridded files by their metadata, and attributes on the columns of a table."""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+
 from loamline.session import EngineError
 
 #: Names and units by which coordinates are known.
@@ -55,6 +57,15 @@ def with_time_axis(dims: list[str], known: tuple[str, ...]) -> list[str]:
     return dims if extra else ["time", *dims]
 
 
+#: CF attributes of coordinates.
+COORDINATES = {
+    "lat": {"standard_name": "latitude", "long_name": "latitude", "units": "degrees_north", "axis": "Y", "valid_min": -90.0, "valid_max": 90.0},
+    "lon": {"standard_name": "longitude", "long_name": "longitude", "units": "degrees_east", "axis": "X", "valid_min": -180.0, "valid_max": 180.0},
+    "time": {"standard_name": "time", "long_name": "time", "axis": "T"},
+}
+BOOKKEEPING = ("row_size", "location_id", "location_description")
+
+
 def merged_attributes(found: dict[str, dict], added: dict[str, dict] | None = None, discard: bool = False) -> dict[str, dict]:
     """Attributes by variable: those of the file (unless discarded), overridden by the given ones."""
     out = {} if discard else {n: dict(a) for n, a in found.items()}
@@ -63,6 +74,36 @@ def merged_attributes(found: dict[str, dict], added: dict[str, dict] | None = No
     return out
 
 
+def with_attributes(df: DataFrame, added: dict[str, dict] | None = None, discard: bool = False, coordinates: bool = True) -> DataFrame:
+    """A table whose columns carry attributes as metadata: those they have (unless discarded), overridden by ``added``; lat,
+    lon and time get their CF attributes.  Parquet keeps them."""
+    given = merged_attributes(attributes_of(df), added, discard)
+    for name, known in COORDINATES.items():
+        if coordinates and name in df.columns:
+            given[name] = known | given.get(name, {})
+    for name in df.columns:
+        if given.get(name) or df.schema[name].metadata:
+            df = df.withMetadata(name, given.get(name, {}))
+    return df
+
+
+def attributes_of(df: DataFrame) -> dict[str, dict]:
+    """The attributes of each column that has some."""
+    return {f.name: dict(f.metadata) for f in df.schema.fields if f.metadata}
+
+
+def types_of(df: DataFrame) -> dict[str, str]:
+    """The type of each column."""
+    return dict(df.dtypes)
+
+
 def description(variables: dict[str, dict]) -> list[tuple[str, dict]]:
     """(name, attributes) of the data variables, without the bookkeeping of series files."""
-    return [(n, a) for n, a in sorted(variables.items()) if n not in ("row_size", "location_id", "location_description")]
+    return [(n, a) for n, a in sorted(variables.items()) if n not in BOOKKEEPING]
+
+
+def variable_description(df: DataFrame) -> DataFrame:
+    """(variable, type, attributes) of a table's data variables, attributes as a map of text."""
+    found = attributes_of(df)
+    rows = [(n, t, {k: str(v) for k, v in found.get(n, {}).items()}) for n, t in df.dtypes if n not in (*BOOKKEEPING, *COORDINATES, "gpi", "cell", "row", "col")]
+    return df.sparkSession.createDataFrame(rows, "variable string, type string, attributes map<string,string>")

@@ -5,13 +5,16 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from loamline.session import EngineError
+from loamline.sources.files import fetched
 
 #: Fixed values of the format: type code -> (array protocol, size).
 NC_TYPES = {1: (">i1", 1), 2: ("S1", 1), 3: (">i2", 2), 4: (">i4", 4), 5: (">f4", 4), 6: (">f8", 8)}
@@ -104,8 +107,8 @@ def parse(raw: bytes) -> NcFile:
     return nc
 
 
-def write(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]], attrs: dict | None = None) -> None:
-    """A CDF-1 file of fixed dimensions (for tests and exports)."""
+def encoded(dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]], attrs: dict | None = None) -> bytes:
+    """A CDF-2 file of fixed dimensions; variables are (dimensions, values, attributes)."""
     codes = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6}
     pad = lambda b: b + b"\0" * (-len(b) % 4)
     label = lambda s: struct.pack(">i", len(s.encode())) + pad(s.encode())
@@ -128,21 +131,25 @@ def write(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str],
         a = np.asarray(a)
         kind = a.dtype.str[1:] if a.dtype.str[1:] in codes else ("i4" if a.dtype.kind in "iu" else "f8")
         data[n] = (kind, np.ascontiguousarray(a, dtype=">" + kind).tobytes())
-    head = b"CDF\x01" + struct.pack(">i", 0) + struct.pack(">ii", DIMENSION if dims else 0, len(dims)) + b"".join(label(d) + struct.pack(">i", s) for d, s in dims.items()) + attributes(attrs)
+    head = b"CDF\x02" + struct.pack(">i", 0) + struct.pack(">ii", DIMENSION if dims else 0, len(dims)) + b"".join(label(d) + struct.pack(">i", s) for d, s in dims.items()) + attributes(attrs)
 
     def header(begins: dict[str, int]) -> bytes:
         out = head + struct.pack(">ii", VARIABLE if variables else 0, len(variables))
         for n, (d, _, a) in variables.items():
             out += label(n) + struct.pack(">i", len(d)) + b"".join(struct.pack(">i", names.index(x)) for x in d) + attributes(a)
-            out += struct.pack(">iii", codes[data[n][0]], len(pad(data[n][1])), begins[n])
+            out += struct.pack(">iIq", codes[data[n][0]], min(len(pad(data[n][1])), 2**32 - 1), begins[n])
         return out
 
     begins, at = {}, len(header(dict.fromkeys(variables, 0)))
     for n in variables:
         begins[n] = at
         at += len(pad(data[n][1]))
-    with open(path, "wb") as f:
-        f.write(header(begins) + b"".join(pad(data[n][1]) for n in variables))
+    return header(begins) + b"".join(pad(data[n][1]) for n in variables)
+
+
+def write(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]], attrs: dict | None = None) -> None:
+    """``encoded`` into a local file."""
+    Path(path).write_bytes(encoded(dims, variables, attrs))
 
 
 def decoded(nc: NcFile, name: str) -> np.ndarray:
@@ -155,6 +162,25 @@ def decoded(nc: NcFile, name: str) -> np.ndarray:
     return a * float(v.attrs.get("scale_factor", 1.0)) + float(v.attrs.get("add_offset", 0.0))
 
 
+PIXELS_AT_ONCE = 200_000
+
+
+def images(raw: bytes, variables: list[str], flip: bool = False) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(slot, first gpi, values by variable) of a file's images in slices, gpi row-major over the spatial dimensions.  Variables
+    have one shape, with a leading time step where there are three dimensions; ``flip`` turns the rows over first."""
+    nc = parse(raw)
+    arrays = [decoded(nc, v) for v in variables]
+    if len({a.shape for a in arrays}) != 1:
+        raise EngineError("the variables differ in shape")
+    shape = arrays[0].shape
+    steps = shape[0] if len(shape) == 3 else 1
+    cubes = [a.reshape(steps, *shape[-2:]) if len(shape) >= 2 else a.reshape(1, 1, -1) for a in arrays]
+    cubes = [(c[:, ::-1] if flip else c).reshape(steps, -1) for c in cubes]
+    for slot in range(steps):
+        for lo in range(0, cubes[0].shape[1], PIXELS_AT_ONCE):
+            yield slot, lo, [c[slot, lo : lo + PIXELS_AT_ONCE] for c in cubes]
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(0)
@@ -169,26 +195,18 @@ class _Reader(DataSourceReader):
     def partitions(self):
         return [_File(p) for p in self.options["paths"].split("\n") if p]
 
-    def read(self, partition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            nc = parse(f.read())
-        arrays = [decoded(nc, v).reshape(-1) for v in self.variables]
-        shapes = {tuple(nc.array(v).shape) for v in self.variables}
-        if len(shapes) != 1:
-            raise EngineError(f"{partition.path}: the variables differ in shape")
-        shape = shapes.pop()
-        steps = shape[0] if len(shape) == 3 else 1
-        per = len(arrays[0]) // max(steps, 1)
-        for slot in range(steps):
-            for gpi in range(per):
-                values = (float(a[slot * per + gpi]) for a in arrays)
-                yield (partition.path, slot, gpi, *(None if x != x else x for x in values))
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        names = ["path", "slot", "gpi", *self.variables]
+        for slot, lo, values in images(fetched(partition.path), self.variables):
+            n = len(values[0])
+            columns = [pa.repeat(partition.path, n), pa.repeat(pa.scalar(slot, pa.int32()), n), pa.array(np.arange(lo, lo + n)), *(pa.array(v, from_pandas=True) for v in values)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 class NetCdf3Source(DataSource):
     """Format ``netcdf3``: options ``paths`` (one a line) and ``variables`` (comma-separated, all of one shape).
 
-    One row per (file, time step, gpi), gpi row-major over the spatial dimensions; one partition per file."""
+    One row per (file, time step, gpi), gpi row-major over the spatial dimensions; one partition per file, in Arrow batches."""
 
     @classmethod
     def name(cls) -> str:

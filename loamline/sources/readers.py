@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from datetime import datetime
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.functions.missing import nan_to_null
-from loamline.functions.times import time_in_name
-from loamline.operators.images import select_known, select_levels
+from loamline.functions.missing import nan_to_null, present
+from loamline.functions.times import plus_seconds, time_in_name
+from loamline.operators.compaction import template_regex
+from loamline.operators.grid import land_only
+from loamline.operators.images import daily_mean, in_time, select_known, select_levels
 from loamline.session import EngineError, ship
-
-#: File-name patterns and time formats of the swath products, and the image template.
-SMOS_L2 = (r"SM(?:_[A-Z]{4})?_MIR_SMUDP2_([0-9T]+)_.*.nc", "%Y%m%dT%H%M%S")
-SMAP_L2 = (r"SMAP_L2_SM_P_[0-9]+_[AD]+_([0-9T]+)_R.*.h5", "%Y%m%dT%H%M%S")
-CGLS_FILE = ("c_gls_SSM1km_{datetime}_CEURO_S1CSAR_V*.nc", "%Y%m%d%H%M")
+from loamline.sources.files import fetched
+from loamline.sources.openers import OPENERS
 
 
 def file_catalog(spark: SparkSession, folder: str, pattern: str = "*.nc", fmt: str | None = None, regex: str | None = None) -> DataFrame:
@@ -34,35 +37,100 @@ def file_catalog(spark: SparkSession, folder: str, pattern: str = "*.nc", fmt: s
     return out
 
 
-def read_images(spark: SparkSession, folder: str, variables: list[str], fmt: str, pattern: str = "*.csv", regex: str | None = None, opener: Callable[[SparkSession, list[str]], DataFrame] | None = None, rename: dict[str, str] | None = None, levels: dict | None = None, fill: float | None = None, skip_missing: bool = False, start=None, end=None) -> DataFrame:
-    """Images of a directory, one file per time: only files whose name lies in the time range are opened.
+def template_catalog(spark: SparkSession, folder: str, template: str, fmt: str) -> DataFrame:
+    """The catalog of a product whose names follow a template with ``{datetime}`` and ``*``; other files are left out."""
+    pattern = template.replace("{datetime}", "*")
+    return file_catalog(spark, folder, pattern, fmt, template_regex(template, fmt)).where("time IS NOT NULL")
 
-    ``opener`` turns paths into a table with ``path`` and ``gpi`` columns (default: CSV with a header line and numbers); afterwards
-    fill values become NULL, levels are selected and variables renamed, in this order."""
-    ship(spark)
-    catalog = file_catalog(spark, folder, pattern, fmt, regex).where("time IS NOT NULL")
-    if start is not None:
-        catalog = catalog.where(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        catalog = catalog.where(F.col("time") <= F.lit(end).cast("timestamp_ntz"))
-    paths = [r.path for r in catalog.select("path").orderBy("path").collect()]  # file names are metadata of the driver's scan
-    if not paths:
+
+def exemplar(catalog: DataFrame) -> tuple[str, datetime]:
+    """(path, time) of the first image (by time, then path), which stands for all where a source is described."""
+    first = catalog.agg(F.min(F.struct("time", "path")).alias("f")).first().f
+    if first is None:
         raise EngineError("no image in the time range")
-    plain = re.sub(r"^file:", "", "\n".join(paths), flags=re.M).split("\n")
-    if opener:
-        data = opener(spark, plain)
-    else:
-        data = spark.read.option("header", "true").csv(paths).select("*", F.col("_metadata.file_path").alias("path"))
-        data = data.select(*(F.col(c) if c == "path" else F.col(c).try_cast("bigint" if c == "gpi" else "double").alias(c) for c in data.columns))
-    data = nan_to_null(data.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)))
-    if fill is not None:
-        data = data.select(*(F.nullif(F.col(c), F.lit(fill)).alias(c) if t in ("double", "float", "int", "bigint") and c not in ("gpi", "slot") else F.col(c) for c, t in data.dtypes))
+    return first.path, first.time
+
+
+def _opened(opener, variables: list[str], offsets: list[int] | None):
+    """Catalog rows (path, time) to image rows; each file is opened by the task that has its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, time in zip(batch.column("path").to_pylist(), batch.column("time"), strict=True):
+                for rows in opener.rows(fetched(path), variables):
+                    n = rows.num_rows
+                    if "time" in rows.schema.names:
+                        at = rows.column("time")
+                    elif offsets is None:
+                        at = pa.repeat(time.cast(pa.timestamp("us")), n)
+                    else:  # the slots of a file by position
+                        slot = np.asarray(rows.column("slot"))
+                        known = np.flatnonzero(slot < len(offsets))
+                        rows, n = rows.take(pa.array(known)), len(known)
+                        at = pa.array(np.int64(time.cast(pa.timestamp("us")).value) + np.array(offsets, np.int64)[slot[known]] * 1_000_000, pa.timestamp("us"))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(path, n), at, *(rows.column(c) for c in ("slot", "gpi", *variables))], names=["path", "time", "slot", "gpi", *variables])
+
+    return run
+
+
+def read_images(
+    spark: SparkSession, folder: str | DataFrame, variables: list[str], fmt: str | None = None, pattern: str = "*.csv", regex: str | None = None, opener=None, rename: dict[str, str] | None = None, levels: dict | None = None,
+    fill: float | None = None, skip_missing: bool = False, start=None, end=None, offsets: list[int] | None = None, average: str | None = None, landmask: DataFrame | None = None,
+) -> DataFrame:
+    """Images of a directory (or of a catalog): ``time, gpi, slot`` and the variables.  Only files whose name lies in the time
+    range are opened, each by a task of its own; no list of files is collected.
+
+    ``opener`` is ``netcdf``, ``csv`` or an object like those of ``openers``; by default the pattern's ending decides.  The first
+    image tells which variables there are.  ``offsets`` are the seconds from a file's time to each of its slots, further slots
+    are left out.  Afterwards fill values become NULL, variables are renamed, values off the ``landmask`` (gpi, is_land) become
+    NULL and, with ``average="daily"``, days are averaged, in this order."""
+    ship(spark)
+    catalog = file_catalog(spark, folder, pattern, fmt, regex) if isinstance(folder, str) else folder
+    catalog = in_time(catalog.where("time IS NOT NULL"), start, end).select("path", "time")
+    first, _ = exemplar(catalog)
+    opener = opener or ("netcdf" if pattern.endswith((".nc", ".nc4")) else "csv")
+    opener = OPENERS[opener] if isinstance(opener, str) else opener
+    back = {new: old for old, new in (rename or {}).items()}
+    offered = opener.names(fetched(first))
+    wanted = [n for n in dict.fromkeys(back.get(v, v) for v in variables) if n in offered]
+    if levels:
+        wanted = [n for n in offered if n in {*wanted, *levels}]
+    if not wanted and not skip_missing:
+        raise EngineError(f"no variables {variables} in {first}")
+    columns = ", ".join(f"`{v}` double" for v in wanted)
+    data = catalog.mapInArrow(_opened(opener, wanted, offsets), "path string, time timestamp_ntz, slot int, gpi long" + (f", {columns}" if columns else ""))
+    data = data.select("time", "gpi", "slot", *(present(F.col(v), *([fill] if fill is not None else [])).alias(v) for v in wanted))
     if levels:
         data = select_levels(data, levels)
-    data = data.join(F.broadcast(catalog.select("name", "time")) if len(paths) <= 100_000 else catalog.select("name", "time"), "name")
-    keys = [c for c in ("time", "gpi", "slot") if c in data.columns]
-    known = select_known(data, [*keys, *variables], rename, skip_missing)
-    return known
+    data = select_known(data, ["time", "gpi", "slot", *variables], rename, skip_missing)
+    names = [v for v in variables if v in data.columns]
+    if landmask is not None:
+        data = data.join(landmask.select("gpi", "is_land"), "gpi", "left").withColumns({v: land_only(F.col(v), F.col("is_land")) for v in names}).select("time", "gpi", "slot", *names)
+    if average == "daily":
+        data = daily_mean(data, names)
+    return data
+
+
+def mask_of(spark: SparkSession, spec: DataFrame | str, folder: str | None = None) -> DataFrame:
+    """A landmask (gpi, is_land): a table, ``file:variable`` of a NetCDF file, or a variable of ``folder``'s first image; a
+    number other than 0 is land, a missing one is none."""
+    if isinstance(spec, DataFrame):
+        return spec.select("gpi", "is_land")
+    path, _, name = spec.rpartition(":")
+    path = path or exemplar(file_catalog(spark, folder, "*.nc", "%Y%m%d"))[0]
+    one = spark.createDataFrame([(path,)], "path string").withColumn("time", F.lit("1970-01-01").cast("timestamp_ntz"))
+    values = one.mapInArrow(_opened(OPENERS["netcdf"], [name], None), f"path string, time timestamp_ntz, slot int, gpi long, `{name}` double")
+    return values.where("slot = 0").select("gpi", F.coalesce(F.col(name) != 0, F.lit(False)).alias("is_land"))
+
+
+def stack_overpasses(morning: DataFrame, evening: DataFrame, variables: list[str], hours: tuple[float, float] = (6, 18), suffix: str = "_pm") -> DataFrame:
+    """Two overpasses of a day, whose variables differ by a suffix in one file or come from two, under one name: slot 0 and 1 with
+    their hour added to the day."""
+    parts = []
+    for slot, (df, hour) in enumerate(zip((morning, evening), hours, strict=True)):
+        names = [F.col(v + suffix if slot and v + suffix in df.columns else v).alias(v) for v in variables]
+        parts.append(df.select(plus_seconds(F.col("time"), F.lit(hour * 3600)).alias("time"), "gpi", F.lit(slot).alias("slot"), *names))
+    return parts[0].unionByName(parts[1])
 
 
 def read_stack(spark: SparkSession, path: str, variables: list[str] | None = None, rename: dict[str, str] | None = None, load: bool = False) -> DataFrame:
@@ -129,7 +197,14 @@ def zip_metadata(content: bytes) -> dict:
 
         return yaml.safe_load(text) or {}
     except ImportError:
-        return dict(re.findall(r"^(\w+):\s*(.*)$", text, re.M))
+        return {k: _plain(v) for k, v in re.findall(r"^\"?(\w+)\"?:\s*(.*)$", text, re.M)}
+
+
+def _plain(text: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
 
 
 def from_series(spark: SparkSession, series: list[pd.Series | pd.DataFrame], lats: list[float], lons: list[float], gpis: list[int] | None = None) -> DataFrame:
@@ -143,8 +218,3 @@ def from_series(spark: SparkSession, series: list[pd.Series | pd.DataFrame], lat
         table.insert(0, "gpi", int(gpis[gpi] if gpis else gpi))
         frames.append(table)
     return nan_to_null(spark.createDataFrame(pd.concat(frames, ignore_index=True))).withColumn("time", F.col("time").cast("timestamp_ntz"))
-
-
-def level_expr(name: str, level: int) -> Column:
-    """One level of an array variable."""
-    return F.get(F.col(name), F.lit(level))

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import io
+import json
+import tempfile
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.functions.cf import COORDINATES, attributes_of
+from loamline.functions.strptime import strptime_parts
 from loamline.operators.grid import near_stations, with_cells
 from loamline.operators.images import in_time
 from loamline.operators.series import transposed
+from loamline.session import EngineError, cut
+from loamline.sources.files import stored
+from loamline.sources.netcdf3 import encoded
 from loamline.sources.readers import read_cells
-from loamline.session import EngineError
 
 
 def exists(df: DataFrame, path: str) -> bool:
@@ -45,15 +51,83 @@ def write_transposed(obs: DataFrame, variables: list[str], path: str) -> None:
     transposed(obs, variables).write.mode("overwrite").parquet(path)
 
 
+def _netcdf(frame: pd.DataFrame, variables: list[str], attrs: dict[str, dict], time_last: bool, north_first: bool = False, with_time: bool = True) -> bytes:
+    """Rows (time, gpi, lat, lon, variables) as a NetCDF file: a regular grid (time, lat, lon) where the places are one, else
+    (time, location); time goes last for series.  Missing values are NaN."""
+    times = np.sort(frame["time"].unique())
+    lats, lons = np.sort(frame["lat"].unique()), np.sort(frame["lon"].unique())
+    places = frame[["gpi", "lat", "lon"]].drop_duplicates("gpi").sort_values("gpi")
+    regular = len(places) == len(lats) * len(lons) == len(places.drop_duplicates(["lat", "lon"]))
+    if north_first:
+        lats = lats[::-1]
+    step = np.searchsorted(times, frame["time"].to_numpy())
+    if regular:
+        y = np.searchsorted(np.sort(lats), frame["lat"].to_numpy())
+        y, x = (len(lats) - 1 - y if north_first else y), np.searchsorted(lons, frame["lon"].to_numpy())
+        space, at, dims = (len(lats), len(lons)), (y, x), {"lat": len(lats), "lon": len(lons)}
+        coords = {"lat": (["lat"], lats, COORDINATES["lat"]), "lon": (["lon"], lons, COORDINATES["lon"])}
+    else:
+        space, at, dims = (len(places),), (np.searchsorted(places["gpi"].to_numpy(), frame["gpi"].to_numpy()),), {"location": len(places)}
+        coords = {"lat": (["location"], places["lat"].to_numpy(), COORDINATES["lat"]), "lon": (["location"], places["lon"].to_numpy(), COORDINATES["lon"]), "gpi": (["location"], places["gpi"].to_numpy(float), {})}
+    out = {}
+    for v in variables:
+        cube = np.full((len(times), *space), np.nan)
+        cube[(step, *at)] = frame[v].to_numpy(float)
+        cube, names = (np.moveaxis(cube, 0, -1), [*dims, "time"]) if time_last else (cube, ["time", *dims])
+        if not with_time:
+            cube, names = cube[..., 0] if time_last else cube[0], list(dims)
+        out[v] = (names, cube, attrs.get(v, {}))
+    if with_time:
+        seconds = (times - np.datetime64("1970-01-01")) / np.timedelta64(1, "s")
+        coords["time"] = (["time"], seconds, COORDINATES["time"] | {"units": "seconds since 1970-01-01"})
+    return encoded(({"time": len(times)} if with_time else {}) | dims, coords | out)
+
+
+def write_netcdf_series(obs: DataFrame, variables: list[str], folder: str, name: str = "series") -> DataFrame:
+    """The transposed stack as NetCDF: one file per cell with time as the last dimension; returns (cell, file, bytes).  ``obs``
+    needs cell, gpi, lat, lon and time; a cell is what one task holds, so its size bounds the memory."""
+    attrs = {v: {k: x for k, x in a.items() if isinstance(x, str | int | float)} for v, a in attributes_of(obs).items()}
+
+    def save(frame: pd.DataFrame) -> pd.DataFrame:
+        cell = int(frame["cell"].iloc[0])
+        content = _netcdf(frame, variables, attrs, True)
+        stored(f"{folder}/{name}_{cell:04d}.nc", content)
+        return pd.DataFrame({"cell": [cell], "file": [f"{folder}/{name}_{cell:04d}.nc"], "bytes": [len(content)]})
+
+    return cut(obs.where("time IS NOT NULL").select("cell", "gpi", "lat", "lon", "time", *variables).groupBy("cell").applyInPandas(save, "cell int, file string, bytes long"), "written")
+
+
+def _image_names(obs: DataFrame, stepsize: int, fmt: str) -> DataFrame:
+    """Rows with the name of their file in ``image``: the first of ``stepsize`` consecutive times."""
+    if stepsize == 1:
+        return obs.withColumn("image", F.date_format("time", fmt))
+    times = obs.select("time").distinct().withColumn("one", F.lit(1))
+    step = F.floor((F.row_number().over(Window.partitionBy("one").orderBy("time")) - 1) / stepsize)  # one row per image time
+    named = times.withColumn("step", step).withColumn("first", F.min("time").over(Window.partitionBy("step"))).select("time", F.date_format("first", fmt).alias("image"))
+    return obs.join(named, "time")
+
+
+def write_netcdf_images(obs: DataFrame, variables: list[str], folder: str, name: str, fmt: str = "%Y%m%dT%H%M", stepsize: int = 1, include_time: bool = True, north_first: bool = False) -> DataFrame:
+    """One NetCDF file for every ``stepsize`` times, ``{name}_{time}.nc`` by the first of them; returns (file, bytes, pixels).
+    Attributes on the columns go along, coordinates get theirs.  An image is what one task holds; files without their time
+    hold one."""
+    if not include_time and stepsize != 1:
+        raise EngineError("only files of one time can leave it out")
+    attrs = {v: {k: x for k, x in a.items() if isinstance(x, str | int | float)} for v, a in attributes_of(obs).items()}
+
+    def save(frame: pd.DataFrame) -> pd.DataFrame:
+        file = f"{folder}/{name}_{frame['image'].iloc[0]}.nc"
+        content = _netcdf(frame, variables, attrs, False, north_first, include_time)
+        stored(file, content)
+        return pd.DataFrame({"file": [file], "bytes": [len(content)], "pixels": [len(frame)]})
+
+    rows = _image_names(obs.where("time IS NOT NULL").select("gpi", "lat", "lon", "time", *variables), stepsize, strptime_parts(fmt)[1])
+    return cut(rows.groupBy("image").applyInPandas(save, "file string, bytes long, pixels long"), "written")
+
+
 def write_images(obs: DataFrame, path: str, fmt: str = "yyyyMMdd'T'HHmm", stepsize: int = 1, include_time: bool = True, north_first: bool = False) -> None:
     """Images by file: ``path/image=<time>/``; ``stepsize`` consecutive times share a folder named by the first."""
-    if stepsize == 1:
-        rows = obs.withColumn("image", F.date_format("time", fmt))
-    else:
-        times = obs.select("time").distinct().withColumn("one", F.lit(1))
-        step = F.floor((F.row_number().over(Window.partitionBy("one").orderBy("time")) - 1) / stepsize)  # one row per image time
-        named = times.withColumn("step", step).withColumn("first", F.min("time").over(Window.partitionBy("step"))).select("time", F.date_format("first", fmt).alias("image"))
-        rows = obs.join(named, "time")
+    rows = _image_names(obs, stepsize, fmt)
     order = [F.col("lat").desc(), F.col("lon")] if north_first else [F.col("gpi")]
     rows = rows.repartition("image").sortWithinPartitions("image", "time", *order)
     (rows if include_time else rows.drop("time")).write.mode("overwrite").partitionBy("image").parquet(path)
@@ -66,31 +140,58 @@ def series_file(name: str, gpi: int, lat: float, lon: float) -> str:
 
 def write_csv_series(obs: DataFrame, folder: str, name: str, variables: list[str]) -> DataFrame:
     """One CSV file per gpi in a folder all tasks share; returns (gpi, file, rows).  Each series is written by one task."""
+
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         file = f"{folder}/{series_file(name, int(first.gpi), float(first.lat), float(first.lon))}"
-        pdf.sort_values("time").set_index("time")[variables].to_csv(file)
+        stored(file, pdf.sort_values("time").set_index("time")[variables].to_csv().encode())
         return pd.DataFrame({"gpi": [int(first.gpi)], "file": [file], "rows": [len(pdf)]})
 
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    return obs.select("gpi", "lat", "lon", "time", *variables).groupBy("gpi").applyInPandas(save, "gpi long, file string, rows long")
+    return cut(obs.select("gpi", "lat", "lon", "time", *variables).groupBy("gpi").applyInPandas(save, "gpi long, file string, rows long"), "written")
+
+
+def _zipped(target: str, name: str, variables: list[str], metadata: str):
+    """Rows in the order of (gpi, time) into one archive, series by series, so no more than one is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with tempfile.TemporaryFile() as f:
+            files, held = 0, []
+
+            def close(z: zipfile.ZipFile) -> None:
+                table = pd.concat(held)
+                first = table.iloc[0]
+                z.writestr(series_file(name, int(first.gpi), float(first.lat), float(first.lon)), table.set_index("time")[variables].to_csv())
+
+            with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                for batch in batches:
+                    for _, part in batch.groupby("gpi", sort=False):
+                        if held and held[-1]["gpi"].iloc[0] != part["gpi"].iloc[0]:
+                            close(z)
+                            files, held = files + 1, []
+                        held.append(part)
+                if held:
+                    close(z)
+                    files += 1
+                z.writestr("metadata.yml", metadata)
+            f.seek(0)
+            if files:
+                stored(target, f.read())
+        yield pd.DataFrame({"file": [target], "series": [files]})
+
+    return run
 
 
 def write_csv_dataset(obs: DataFrame, folder: str, name: str, variables: list[str], metadata: dict | None = None, stations: DataFrame | None = None, radius_km: float = 2.0) -> str:
-    """A zip of CSV series with metadata.yml; with ``stations`` only series near one (ids keep their numbers)."""
+    """A zip of CSV series with metadata.yml; with ``stations`` only series near one (ids keep their numbers).  One task writes
+    the archive, which is one file, series by series."""
     if stations is not None:
         points = obs.select("gpi", "lat", "lon").distinct()
         obs = obs.join(near_stations(points, stations, "gpi", radius_km).select("gpi"), "gpi", "left_semi")
-    files = [r.file for r in write_csv_series(obs, folder, name, variables).select("file").collect()]
-    if not files:
-        raise EngineError("no series to write")
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(files):
-            z.write(f, Path(f).name)
-        z.writestr("metadata.yml", "".join(f"{k}: {v}\n" for k, v in (metadata or {}).items()))
     target = f"{folder}/{name}.zip"
-    Path(target).write_bytes(buffer.getvalue())
+    text = "".join(f"{json.dumps(str(k))}: {json.dumps(v, default=str)}\n" for k, v in (metadata or {}).items())  # JSON is YAML
+    rows = obs.select("gpi", "lat", "lon", "time", *variables).repartition(1).sortWithinPartitions("gpi", "time")
+    if not sum(r.series for r in rows.mapInPandas(_zipped(target, name, variables, text), "file string, series long").collect()):
+        raise EngineError("no series to write")
     return target
 
 

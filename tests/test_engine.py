@@ -238,7 +238,7 @@ def test_image_directory_to_cells(spark, tmp_path):
         x = np.full((2, 4), float(d))
         x[0, 0] = np.nan
         nc_image(tmp_path / "in" / "2000" / f"img_2000010{d + 1}.nc", x)
-    opener = lambda s, paths: netcdf3.read_netcdf3(s, paths, ["X"])
+    opener = "netcdf"
     got = readers.read_images(spark, str(tmp_path / "in"), ["W"], "%Y%m%d", "*.nc", opener=opener, rename={"X": "W"}, start="2000-01-02", end="2000-01-03")
     assert got.count() == 16 and got.where("W IS NULL").count() == 2 and {r.time.day for r in got.select("time").distinct().collect()} == {2, 3}
     with pytest.raises(EngineError):
