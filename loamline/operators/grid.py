@@ -52,10 +52,15 @@ def cell_number(lat: Column, lon: Column, size: float) -> Column:
     return F.floor(F.floor((lon + 180) / size) * (180 / size) + F.floor((lat + 90) / size)).cast("int")
 
 
+def cellsize(grid: DataFrame) -> DataFrame:
+    """(cellsize): 30 * sqrt(lat extent * lon extent / points); 180 where that is 0 or the grid is empty."""
+    area = (F.max("lat") - F.min("lat")) * (F.max("lon") - F.min("lon")) / F.count(F.lit(1))
+    return grid.agg((30 * F.sqrt(area)).alias("size")).select(F.when(F.col("size") > 0, F.col("size")).otherwise(180.0).alias("cellsize"))
+
+
 def infer_cellsize(grid: DataFrame) -> float:
-    """30 * sqrt(lat extent * lon extent / points); 180 where that is 0 or the grid is empty."""
-    r = grid.agg((F.max("lat") - F.min("lat")).alias("a"), (F.max("lon") - F.min("lon")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    return (30 * math.sqrt(r.a * r.b / r.n) if r.n and r.a is not None else 0) or 180.0
+    """``cellsize`` as a number."""
+    return cellsize(grid).first()[0]
 
 
 def with_cells(grid: DataFrame, size: float | None = None) -> DataFrame:

@@ -21,9 +21,12 @@ def in_time(df: DataFrame, start=None, end=None, time: str = "time") -> DataFram
 
 
 def in_period(df: DataFrame, start: str, end: str, time: str = "time") -> DataFrame:
-    """Rows of a series period; an end that is only a date stands for that whole day."""
-    if len(end) == 10:
-        return in_time(df, start, None, time).where(F.col(time) < F.lit(end).cast("timestamp_ntz") + F.expr("interval 1 day"))
+    """Rows of a series period; a year, month or day as its end stands for the whole of it, as its start for the beginning."""
+    kinds = {4: ("-01-01", "1 year"), 7: ("-01", "1 month"), 10: ("", "1 day")}
+    start = start + kinds[len(start)][0] if len(start) in kinds else start
+    if len(end) in kinds:
+        rest, span = kinds[len(end)]
+        return in_time(df, start, None, time).where(F.col(time) < F.lit(end + rest).cast("timestamp_ntz") + F.expr(f"interval {span}"))
     return in_time(df, start, end, time)
 
 
@@ -177,3 +180,8 @@ def joined_by_day(left: DataFrame, right: DataFrame, keys: list[str], time: str
     """Left rows with the right rows of the same day (left join); the right side should have one row per key and day."""
     day = F.date_trunc("day", time).cast("timestamp_ntz")
     return left.withColumn("day", day).join(right.withColumn("day", day).drop(time), [*keys, "day"], "left")
+
+
+def file_report(files: DataFrame, by: str = "reader_name", path: str = "path", size: str = "size_bytes", ending: str = ".nc") -> DataFrame:
+    """Files, files with an ending, and bytes of each group."""
+    return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col(path).endswith(ending)).alias("nc_files"), F.sum(size).alias("bytes"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions.missing import present
@@ -39,3 +39,37 @@ def labelled(classified: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The exported table: a constant ``variable``, without coordinates and index unless kept."""
     drop = [c for c in ("lon", "lat", "idx") if c in classified.columns and c not in keep]
     return classified.drop(*drop).withColumn("variable", F.lit("soil_moisture"))
+
+
+#: The columns of a sensor and what they are called in a result unless the caller says otherwise.
+RESULT_FIELDS = {"snr": "snr", "nobs": "n_obs", "ci_lower": "snr_ci_lower", "ci_upper": "snr_ci_upper", "depth_from": "depth_from", "depth_to": "depth_to", "network": "network", "station": "station", "instrument": "instrument"}
+
+
+def collocation_results(results: DataFrame, fields: dict[str, str] | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+    """A triple-collocation result as sensors: idx, lat, lon (where it has them), the columns of ``fields`` (column: name in the
+    result), and ``others`` as they are.  Bytes become text, NaN is NULL; a result without the ratio or the number of
+    observations is refused, other fields that are missing are NULL."""
+    names = RESULT_FIELDS | (fields or {})
+    lost = [names[c] for c in ("snr", "nobs") if names[c] not in results.columns]
+    if lost:
+        raise EngineError(f"the result has no {lost}")
+    kinds = dict(results.dtypes)
+
+    def field(column: str) -> Column:
+        name, text = names[column], column in ("network", "station", "instrument")
+        if name not in kinds:
+            return F.lit(None).cast("string" if text else "double").alias(column)
+        value = F.col(f"`{name}`")
+        return (F.trim(F.decode(value, "UTF-8") if kinds[name] == "binary" else value.cast("string")) if text else present(value.cast("double"))).alias(column)
+
+    places = [c for c in ("idx", "lat", "lon") if c in kinds]
+    return results.select(*places, *(field(c) for c in RESULT_FIELDS), *(F.col(f"`{c}`") for c in others))
+
+
+def qualified(results: DataFrame, fields: dict[str, str] | None = None, others: tuple[str, ...] = (), **limits) -> DataFrame:
+    """From a triple-collocation result to the classified sensors of an export: one row per sensor with its class and criterion.
+    A result without both bounds of the interval is classified without them."""
+    names = RESULT_FIELDS | (fields or {})
+    bounds = all(names[c] in results.columns for c in ("ci_lower", "ci_upper"))
+    sensors = collocation_results(results, fields, others)
+    return classify(sensors, ci_lower="ci_lower" if bounds else None, ci_upper="ci_upper" if bounds else None, **limits)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +38,45 @@ def smap_rows(orbit: DataFrame) -> DataFrame:
 
 
 def on_grid(rows: DataFrame, grid: DataFrame, mission: str, only_land: bool = False) -> DataFrame:
-    """Swath rows at their grid points, with ``time`` from acquisition_time; rows off the grid or without a time are gone.
+    """Prepared swath rows at their grid points, with ``time`` from acquisition_time; rows off the grid or without a time are gone.
     SMOS joins by gpi, SMAP by row and column; nothing is densified to the global grid."""
-    points = grid.where("is_land") if only_land else grid
-    keys = ("gpi",) if mission == "smos" else ("row_idx", "col_idx")
-    joined = swath_to_grid(rows, points, keys)
-    return joined.withColumn("time", acquired(F.col("acquisition_time"), mission)).where("time IS NOT NULL")
-
-
-def acquired(seconds: Column, mission: str) -> Column:
-    """The zone-free UTC time behind acquisition_time."""
-    return plus_seconds(F.lit("1970-01-01").cast("timestamp_ntz"), present(seconds) + EPOCH[mission])
+    return replace(MISSIONS[mission], prepare=lambda df: df).series(rows, grid, only_land)
 
 
 def orbit_time(name: Column, mission: str) -> Column:
     """The sensing start in a swath file's name."""
-    regex, fmt = SMOS_NAME if mission == "smos" else SMAP_NAME
-    return time_in_name(name, fmt, regex)
+    return MISSIONS[mission].time_of(name)
 
 
 def inside_valid_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Values outside their declared valid range as NULL; opt-in, no source does it by itself."""
     return df.withColumns({c: F.when(F.col(c).between(*r), F.col(c)) for c, r in ranges.items()})
+
+
+@dataclass(frozen=True)
+class Mission:
+    """What a swath product brings: how its files are named, how its rows are prepared, where its times begin, and by which
+    columns its rows meet a grid.  A product of one's own is another instance."""
+
+    name: tuple[str, str]
+    epoch: int
+    keys: tuple[str, ...]
+    prepare: Callable[[DataFrame], DataFrame]
+    attributes: dict[str, dict[str, str]]
+
+    def series(self, rows: DataFrame, grid: DataFrame, only_land: bool = False) -> DataFrame:
+        """Prepared rows at their grid points with ``time``; rows off the grid or without a time are gone."""
+        points = grid.where("is_land") if only_land else grid
+        joined = swath_to_grid(self.prepare(rows), points, self.keys)
+        at = plus_seconds(F.lit("1970-01-01").cast("timestamp_ntz"), present(F.col("acquisition_time")) + self.epoch)
+        return joined.withColumn("time", at).where("time IS NOT NULL")
+
+    def time_of(self, name: Column) -> Column:
+        """The sensing start in a file's name."""
+        return time_in_name(name, self.name[1], self.name[0])
+
+
+MISSIONS = {
+    "smos": Mission(SMOS_NAME, EPOCH["smos"], ("gpi",), smos_rows, SMOS_ATTRIBUTES),
+    "smap": Mission(SMAP_NAME, EPOCH["smap"], ("row_idx", "col_idx"), smap_rows, SMAP_ATTRIBUTES),
+}

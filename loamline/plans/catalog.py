@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from loamline.functions import times as T
 from loamline.functions.missing import present
 from loamline.operators import agreement, grid, images, sensors, series, swath, uploads
-from loamline.operators.near import in_regions, valid_points
+from loamline.operators.near import in_polygons, in_regions, valid_points
 from loamline.operators.readings import all_readings
+from loamline.operators.regular_grid import daily_means
 from loamline.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,7 +173,7 @@ def cell_assignment_points(spark, folder):
 
 @register(f"SELECT round(30 * sqrt((max(lat) - min(lat)) * (max(lon) - min(lon)) / count(*)), 6) AS cellsize FROM {GRID_SQL} g")
 def cellsize_heuristic(spark, folder):
-    return spark.createDataFrame([(round(grid.infer_cellsize(_grid(spark, folder)), 6),)], "cellsize double")
+    return grid.cellsize(_grid(spark, folder)).select(F.round("cellsize", 6).alias("cellsize"))
 
 
 @register(f"SELECT id, arg_min(gpi, km) AS gpi FROM (SELECT a.id, b.gpi, {KM} + b.gpi * 1e-9 AS km FROM {STATION_SQL} a CROSS JOIN {GRID_SQL} b) t GROUP BY id")
@@ -196,6 +197,14 @@ def containing_region(spark, folder):
     return in_regions(_stations(spark, folder), n.withColumns({"lat_max": F.col("lat_min") + 10, "lon_max": F.col("lon_min") + 20}), "id", "region")
 
 
+@register(f"SELECT DISTINCT a.id, b.n AS region FROM {STATION_SQL} a JOIN (SELECT n_name AS n, n_nationkey * 6.0 - 80 AS y, n_nationkey * 15.0 - 190 AS x FROM nation) b ON a.lat BETWEEN b.y AND b.y + 10 AND (a.lon - b.x + 720) % 360 <= 20")
+def containing_polygon(spark, folder):
+    """As rings, some of them across the date line."""
+    n = read_table(spark, folder, "nation").select(F.col("n_name").alias("region"), (F.col("n_nationkey") * 6.0 - 80).alias("y"), (F.col("n_nationkey") * 15.0 - 190).alias("x"))
+    corner = lambda dy, dx: F.struct((F.col("y") + dy).alias("lat"), (F.col("x") + dx).alias("lon"))
+    return in_polygons(_stations(spark, folder), n.select("region", F.array(corner(0, 0), corner(10, 0), corner(10, 20), corner(0, 20)).alias("ring")), "id", "region")
+
+
 @register("SELECT DISTINCT lat, lon FROM ismn_stations WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 360")
 def distinct_coords(spark, folder):
     return valid_points(read_table(spark, folder, "ismn_stations")).select("lat", "lon").distinct()
@@ -234,10 +243,10 @@ def latest_version_string(spark, folder):
     return images.latest_versions(read_table(spark, folder, "part").select("p_brand", F.col("p_name").alias("version")), ["p_brand"], "version")
 
 
-@register("SELECT area, max(vers) AS vers FROM image_versions WHERE regexp_matches(vers, '^[0-9]') GROUP BY area")
+@register("SELECT area, max(trim(vers)) AS vers FROM image_versions GROUP BY area")
 def latest_version_images(spark, folder):
-    """By text and area, of versions without v only, as its SQL has it; ``latest_version_by_image`` is the whole job."""
-    return images.latest_versions(read_table(spark, folder, "image_versions").where("vers rlike '^[0-9]'"), ["area"], "vers")
+    """By text and area, over all rows; ``latest_version_by_image`` goes by numbers and images."""
+    return images.latest_versions(read_table(spark, folder, "image_versions").withColumn("vers", F.trim("vers")), ["area"], "vers")
 
 
 @register(r"""
@@ -388,17 +397,16 @@ def pixel_mean_std_count(spark, folder):
 
 
 READINGS_DAILY = """
-SELECT sensor, gpi, CAST(floor(unix / 86400) AS INTEGER) AS day, round(avg(value), 6) AS value, count(*) AS n FROM (
-  SELECT DISTINCT 'smap' AS sensor, gpi, obs_id, acquisition_time + 946728000 AS unix, soil_moisture AS value FROM smap_obs WHERE NOT isnan(acquisition_time) AND NOT isnan(soil_moisture) AND soil_moisture <> -9999
-  UNION ALL SELECT DISTINCT 'smos', gpi, obs_id, acquisition_time + 946684800, soil_moisture FROM smos_obs WHERE acquisition_time <> 0 AND NOT isnan(acquisition_time) AND NOT isnan(soil_moisture) AND soil_moisture <> -999) r
-WHERE value BETWEEN 0 AND 1 GROUP BY 1, 2, 3"""
+SELECT sensor, gpi, CAST(floor(unix / 86400) AS INTEGER) AS day, round(avg(CASE WHEN value BETWEEN 0 AND 1 THEN value END), 6) AS value, count(*) AS n FROM (
+  SELECT 'smap' AS sensor, gpi, acquisition_time + 946728000 AS unix, soil_moisture AS value FROM smap_obs WHERE NOT isnan(acquisition_time) AND acquisition_time <> -9999 AND NOT isnan(soil_moisture) AND soil_moisture <> -9999
+  UNION ALL SELECT 'smos', gpi, acquisition_time + 946684800, soil_moisture FROM smos_obs WHERE acquisition_time NOT IN (0, -999) AND NOT isnan(acquisition_time) AND NOT isnan(soil_moisture) AND soil_moisture <> -999) r
+GROUP BY 1, 2, 3"""
 
 
 @register(READINGS_DAILY)
 def daily_mean_readings(spark, folder):
-    r = all_readings(read_table(spark, folder, "smap_obs"), read_table(spark, folder, "smos_obs")).distinct().where("value BETWEEN 0 AND 1")
-    daily = r.groupBy("sensor", "gpi", F.floor(F.col("unix") / 86400).cast("int").alias("day")).agg(F.round(F.avg("value"), 6).alias("value"), F.count(F.lit(1)).alias("n"))
-    return daily
+    r = all_readings(read_table(spark, folder, "smap_obs"), read_table(spark, folder, "smos_obs"))
+    return daily_means(r, (0.0, 1.0)).withColumn("value", F.round("value", 6))
 
 
 # --- sensors ------------------------------------------------------------------------------------------------------
@@ -443,8 +451,7 @@ def name_validation(spark, folder):
 
 @register(f"SELECT gpi, count(*) AS n, count(DISTINCT date_trunc('hour', time)) AS times, count(*) <> count(DISTINCT date_trunc('hour', time)) AS repeated FROM {OBS_SQL} o GROUP BY gpi")
 def duplicate_timestamps(spark, folder):
-    n, d = F.count(F.lit(1)), F.countDistinct(F.date_trunc("hour", "time"))
-    return _obs(spark, folder).groupBy("gpi").agg(n.alias("n"), d.alias("times"), (n != d).alias("repeated"))
+    return uploads.repeated_times(_obs(spark, folder).withColumn("time", F.date_trunc("hour", "time")), ["gpi"])
 
 
 @register("SELECT o_custkey, array_to_string(list_slice(e, 1, 3), '; ') || CASE WHEN len(e) > 3 THEN ' (and ' || (len(e) - 3) || ' more errors)' ELSE '' END AS message FROM (SELECT o_custkey, list(CAST(o_orderkey AS VARCHAR) ORDER BY CAST(o_orderkey AS VARCHAR)) AS e FROM orders GROUP BY o_custkey) t")
@@ -453,25 +460,14 @@ def error_summary(spark, folder):
     return o.select("o_custkey", uploads.error_line(F.col("e")).alias("message"))
 
 
-@register("SELECT dataset_name, count(*) AS files, count(DISTINCT file_name) AS names, min(lat) AS lat_min, max(lat) AS lat_max FROM csv_series WHERE lat BETWEEN -90 AND 90 GROUP BY dataset_name")
-def coordinate_ranges(spark, folder):
-    """Of rows with a latitude in range only, as its SQL has it; ``coordinate_bounds`` is the whole report."""
-    c = read_table(spark, folder, "csv_series").where("lat BETWEEN -90 AND 90")
-    return c.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_name").alias("names"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"))
-
-
 @register("""
 WITH c AS (SELECT dataset_name, file_name, CASE WHEN CAST(lat AS VARCHAR) NOT IN ('nan', '-9999.0') THEN lat END AS lat, CASE WHEN CAST(lon AS VARCHAR) NOT IN ('nan', '-9999.0') THEN lon END AS lon FROM csv_series)
 SELECT dataset_name, count(*) AS files, count(DISTINCT file_name) AS names, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max,
   count(*) FILTER (WHERE lat IS NULL OR lon IS NULL) AS missing, count(*) FILTER (WHERE lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180) AS outside FROM c GROUP BY dataset_name
 """)
-def coordinate_bounds(spark, folder):
+def coordinate_ranges(spark, folder):
     """Bounds of both coordinates over all rows, and how many lack a coordinate or have one out of -90..90 or -180..180."""
-    lat, lon = (present(F.col(c), -9999) for c in ("lat", "lon"))
-    c = read_table(spark, folder, "csv_series").select("dataset_name", "file_name", lat.alias("lat"), lon.alias("lon"))
-    outside = F.coalesce(~F.col("lat").between(-90, 90), F.lit(False)) | F.coalesce(~F.col("lon").between(-180, 180), F.lit(False))
-    bounds = [f(v).alias(f"{v}_{n}") for v in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
-    return c.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_name").alias("names"), *bounds, F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("missing"), F.count_if(outside).alias("outside"))
+    return uploads.coordinate_report(read_table(spark, folder, "csv_series"), "dataset_name", "file_name")
 
 
 # --- swaths of the missions, and what remains ---------------------------------------------------------------------
@@ -522,17 +518,14 @@ def fill_on_read(spark, folder):
 
 @register("SELECT reader_name, count(*) AS files, count(*) FILTER (WHERE path LIKE '%.nc') AS nc_files, sum(size_bytes)::BIGINT AS bytes FROM image_files GROUP BY reader_name")
 def file_counts(spark, folder):
-    f = read_table(spark, folder, "image_files")
-    return f.groupBy("reader_name").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("path").endswith(".nc")).alias("nc_files"), F.sum("size_bytes").alias("bytes"))
+    return images.file_report(read_table(spark, folder, "image_files"))
 
 
-@register("SELECT image_id, prod, regexp_extract(file_name, '_([A-Z0-9]+)_V', 1) AS sensor FROM image_versions WHERE regexp_matches(file_name, '_(SCATSAR|S1CSAR)_V') ")
+@register("SELECT image_id, prod, CASE WHEN starts_with(upper(prod), 'SWI') THEN 'SCATSAR' ELSE 'S1CSAR' END AS sensor FROM image_versions")
 def product_sensors(spark, folder):
-    v = read_table(spark, folder, "image_versions").where("file_name rlike '_(SCATSAR|S1CSAR)_V'")
-    return v.select("image_id", "prod", T.sensor_of_product(F.upper("prod")).alias("sensor"))
+    return read_table(spark, folder, "image_versions").select("image_id", "prod", T.sensor_of_product(F.upper("prod")).alias("sensor"))
 
 
 @register("SELECT dataset_name, count(*) AS n, count(*) FILTER (WHERE g > 1) AS in_repeated FROM (SELECT dataset_name, count(*) OVER (PARTITION BY file_name) AS g FROM csv_series) t GROUP BY dataset_name")
 def repeated_names(spark, folder):
-    c = read_table(spark, folder, "csv_series").groupBy("dataset_name", "file_name").agg(F.count(F.lit(1)).alias("g"))
-    return c.groupBy("dataset_name").agg(F.sum("g").alias("n"), F.sum(F.when(F.col("g") > 1, F.col("g")).otherwise(0)).alias("in_repeated"))
+    return uploads.repeated_names(read_table(spark, folder, "csv_series"), "dataset_name", "file_name")

@@ -56,10 +56,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset and the session runs on this machine
+    alone (tests) a local one.  Without it a cluster is refused: each executor would write to a disk of its own."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise EngineError("set spark.checkpoint.dir to a folder that all executors share")
     if not hasattr(shared_folder, "own"):
         shared_folder.own = "file://" + tempfile.mkdtemp(prefix="loamline-")
     return shared_folder.own

@@ -2,45 +2,32 @@
 
 from __future__ import annotations
 
-import io
 import re
-import shutil
 import zipfile
-from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.functions.cf import coordinate_of, time_of
-from loamline.functions.instants import unit_epoch
+from loamline.functions.cf import time_of
 from loamline.operators.grid import with_cells, within_box
-from loamline.operators.uploads import data_names, upload_kind, Variable
+from loamline.operators.uploads import Variable, data_names, upload_kind
 from loamline.session import EngineError
 from loamline.sources import netcdf3
-from loamline.sources.readers import read_zipped_csv
+from loamline.sources.files import fetched, located, stored
+from loamline.sources.readers import read_stacks, read_zipped_csv
 from loamline.sources.writers import write_cells
 
 
 def netcdf_stack(spark: SparkSession, path: str, variables: list[str] | None = None) -> DataFrame:
-    """One classic file with (time, y, x) variables as rows time, gpi, lat, lon and the variables; regular, curvilinear
-    and (time, location) grids are recognised by the coordinates' dimensions."""
-    nc = netcdf3.parse(Path(path).read_bytes())
-    attrs = {n: v.attrs for n, v in nc.variables.items()}
-    dims = {n: nc.dim_names(n) for n in nc.variables}
-    lat, lon, time = coordinate_of(attrs, "latitude"), coordinate_of(attrs, "longitude"), time_of(attrs, dims)
-    scale = unit_epoch(attrs[time].get("units", ""))
-    if scale is None:
-        raise EngineError(f"{time} has no unit of time since a date")
-    names = variables or data_names({n: Variable(dims[n]) for n in nc.variables}) or [n for n in nc.variables if dims[n] and dims[n][0] == dims[time][0] and n != time]
-    a, o = netcdf3.decoded(nc, lat), netcdf3.decoded(nc, lon)
-    if a.ndim == 1 and dims[lat] != dims[lon]:
-        a, o = (x.reshape(-1) for x in np.meshgrid(a, o, indexing="ij"))
-    coords = spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(zip(a.reshape(-1), o.reshape(-1), strict=True))], "gpi long, lat double, lon double")
-    ms = np.trunc(netcdf3.decoded(nc, time)) * scale[0] + scale[1]
-    slots = spark.createDataFrame([(i, int(m)) for i, m in enumerate(ms)], "slot int, ms long").select("slot", F.timestamp_millis("ms").cast("timestamp_ntz").alias("time"))
-    data = netcdf3.read_netcdf3(spark, [path], names)
-    return data.join(F.broadcast(slots), "slot").join(coords, "gpi").select("time", "gpi", "lat", "lon", *names)
+    """One classic file with (time, y, x) variables as rows time, gpi, lat, lon and the variables, read by a task; regular,
+    curvilinear and (time, location) grids are recognised by the coordinates' dimensions.  The driver sees its header only to
+    name the variables."""
+    if not variables:
+        nc = netcdf3.parse(fetched(path))
+        dims = {n: nc.dim_names(n) for n in nc.variables}
+        time = time_of({n: v.attrs for n, v in nc.variables.items()}, dims)
+        variables = data_names({n: Variable(d) for n, d in dims.items()}) or [n for n, d in dims.items() if d and d[0] == dims[time][0] and n != time]
+    return read_stacks(spark, path, variables, "*").drop("path")
 
 
 def ingest_upload(spark: SparkSession, path: str, out: str, most_gb: float = 30) -> DataFrame | str:
@@ -53,14 +40,13 @@ def ingest_upload(spark: SparkSession, path: str, out: str, most_gb: float = 30)
         return write_cells(stack.drop("lat", "lon"), grid, out, overwrite=True)
     if not low.endswith(".zip"):
         raise EngineError("an upload is .nc, .nc4 or .zip")
-    with zipfile.ZipFile(io.BytesIO(Path(path).read_bytes())) as z:
+    system, name = located(path)
+    with system.open_input_file(name) as source_file, zipfile.ZipFile(source_file) as z:  # only its directory is read
         infos = [i for i in z.infolist() if not i.is_dir()]
         if upload_kind([i.filename for i in infos], [i.file_size for i in infos], most_gb) == "netcdf":
-            Path(out).mkdir(parents=True, exist_ok=True)
             for i in infos:
                 if i.filename.lower().endswith((".nc", ".nc4")):
-                    with z.open(i) as source, open(Path(out) / Path(i.filename).name, "wb") as target:
-                        shutil.copyfileobj(source, target)
+                    stored(f"{out}/{i.filename.rsplit('/', 1)[-1]}", z.read(i))
             return out
     long = read_zipped_csv(spark, path)
     names = sorted(r.variable for r in long.select("variable").distinct().collect())  # columns of the CSV files

@@ -87,7 +87,8 @@ class StackOpener:
         if a.ndim == 1 and nc.dim_names(lat) != nc.dim_names(lon):
             a, o = np.meshgrid(a, o, indexing="ij")
         a, o, times = a.reshape(-1), o.reshape(-1), file_times(nc)
-        cubes = [netcdf3.decoded(nc, v).reshape(len(times), -1) for v in variables]
+        axis = nc.dim_names(time_of(attrs, {n: nc.dim_names(n) for n in nc.variables}))[0]
+        cubes = [np.moveaxis(netcdf3.decoded(nc, v), nc.dim_names(v).index(axis), 0).reshape(len(times), -1) for v in variables]
         for step, time in enumerate(times):
             for lo in range(0, len(a), netcdf3.PIXELS_AT_ONCE):
                 part = slice(lo, lo + netcdf3.PIXELS_AT_ONCE)

@@ -22,7 +22,7 @@ from loamline.operators.grid import land_only
 from loamline.operators.images import daily_mean, in_time, select_known, select_levels
 from loamline.session import EngineError, ship
 from loamline.sources.files import fetched
-from loamline.sources.openers import OPENERS
+from loamline.sources.openers import OPENERS, StackOpener
 
 
 def file_catalog(spark: SparkSession, folder: str, pattern: str = "*.nc", fmt: str | None = None, regex: str | None = None) -> DataFrame:
@@ -111,6 +111,22 @@ def read_images(
     return data
 
 
+def read_stacks(spark: SparkSession, folder: str, variables: list[str], pattern: str = "*.nc") -> DataFrame:
+    """NetCDF files with coordinates and times of their own (images, stacks, or series by cell): ``path, time, gpi, lat, lon`` and the
+    variables, gpi being the place's number in its file; each file is opened by one task."""
+    ship(spark)
+    opener = StackOpener()
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                for rows in opener.rows(fetched(path), variables):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(path, rows.num_rows), *rows.columns], names=["path", *rows.schema.names])
+
+    columns = ", ".join(f"`{v}` double" for v in variables)
+    return file_catalog(spark, folder, pattern).select("path").mapInArrow(opened, f"path string, time timestamp_ntz, gpi long, lat double, lon double, {columns}")
+
+
 def mask_of(spark: SparkSession, spec: DataFrame | str, folder: str | None = None) -> DataFrame:
     """A landmask (gpi, is_land): a table, ``file:variable`` of a NetCDF file, or a variable of ``folder``'s first image; a
     number other than 0 is land, a missing one is none."""

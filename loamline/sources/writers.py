@@ -16,6 +16,7 @@ from loamline.functions.cf import COORDINATES, attributes_of
 from loamline.functions.strptime import strptime_parts
 from loamline.operators.grid import near_stations, with_cells
 from loamline.operators.images import in_time
+from loamline.operators.sensors import class_counts, labelled, qualified
 from loamline.operators.series import transposed
 from loamline.session import EngineError, cut
 from loamline.sources.files import stored
@@ -30,18 +31,20 @@ def exists(df: DataFrame, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_cells(obs: DataFrame, grid: DataFrame, path: str, start=None, end=None, overwrite: bool = False, append: bool = False, cellsize: float | None = None, time: str = "time", files_per_cell: int = 1) -> DataFrame:
+def write_cells(obs: DataFrame, grid: DataFrame, path: str, start=None, end=None, overwrite: bool = False, append: bool = False, cellsize: float | None = None, time: str = "time", files_per_cell: int | None = None) -> DataFrame:
     """Images to series by cell: ``path/cell=.../``, sorted by (gpi, time); returns the written table.
 
     Observations off the grid or without a time are dropped.  An existing target is left as it is unless ``overwrite`` or
-    ``append`` is set (not both).  ``files_per_cell`` spreads large cells over several tasks by gpi."""
+    ``append`` is set (not both).  Large cells are cut into files of the advisory partition size and small ones share a task, as
+    adaptive execution measures them; ``files_per_cell`` spreads each over that many tasks by gpi instead."""
     if overwrite and append:
         raise EngineError("overwrite and append exclude each other")
     if exists(obs, path) and not (overwrite or append):
         return read_cells(obs.sparkSession, path)
     cells = (grid if "cell" in grid.columns else with_cells(grid, cellsize)).select("gpi", "cell")
     rows = in_time(obs.where(F.col(time).isNotNull()), start, end, time).drop("cell").join(cells, "gpi")
-    rows = rows.repartition("cell", F.pmod(F.xxhash64("gpi"), F.lit(files_per_cell))).sortWithinPartitions("cell", "gpi", time)
+    rows = rows.repartition("cell", F.pmod(F.xxhash64("gpi"), F.lit(files_per_cell))) if files_per_cell else rows.hint("rebalance", "cell")
+    rows = rows.sortWithinPartitions("cell", "gpi", time)
     rows.write.mode("append" if append else "overwrite").partitionBy("cell").parquet(path)
     return read_cells(obs.sparkSession, path)
 
@@ -129,7 +132,7 @@ def write_images(obs: DataFrame, path: str, fmt: str = "yyyyMMdd'T'HHmm", stepsi
     """Images by file: ``path/image=<time>/``; ``stepsize`` consecutive times share a folder named by the first."""
     rows = _image_names(obs, stepsize, fmt)
     order = [F.col("lat").desc(), F.col("lon")] if north_first else [F.col("gpi")]
-    rows = rows.repartition("image").sortWithinPartitions("image", "time", *order)
+    rows = rows.hint("rebalance", "image").sortWithinPartitions("image", "time", *order)
     (rows if include_time else rows.drop("time")).write.mode("overwrite").partitionBy("image").parquet(path)
 
 
@@ -208,3 +211,12 @@ def write_ragged(obs: DataFrame, path: str, stations: DataFrame | None = None, r
 def export_sensors(classified: DataFrame, stations: DataFrame, path: str) -> None:
     """Classified sensors with their station columns as one ``;`` CSV (a table of thousands of rows at most)."""
     classified.drop("criterion").join(stations, "idx").coalesce(1).write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
+
+
+def export_qualified(results: DataFrame, path: str, fields: dict[str, str] | None = None, others: tuple[str, ...] = (), **limits) -> DataFrame:
+    """From a triple-collocation result to its sensor file (``;`` CSV, without the criterion); returns the number of sensors by
+    class and criterion, which is what a plot of them shows."""
+    found = qualified(results, fields, others, **limits)
+    keep = tuple(c for c in ("lat", "lon") if c in others)
+    labelled(found, keep).drop("criterion").coalesce(1).write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
+    return class_counts(found)

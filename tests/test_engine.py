@@ -309,7 +309,7 @@ def test_coordinate_bounds_keep_every_row(spark, tmp_path):
     nan = float("nan")
     rows = [("d", "a", 1.0, 2.0), ("d", "b", 95.0, 3.0), ("d", "c", -9999.0, 200.0), ("d", "c", nan, None), ("d", "e", -91.0, -9999.0), ("e", "f", None, nan)]
     spark.createDataFrame(rows, "dataset_name string, file_name string, lat double, lon double").write.parquet(str(tmp_path / "csv_series.parquet"))
-    got = {r.dataset_name: tuple(r)[1:] for r in catalog.coordinate_bounds(spark, str(tmp_path)).collect()}
+    got = {r.dataset_name: tuple(r)[1:] for r in catalog.coordinate_ranges(spark, str(tmp_path)).collect()}
     assert got == {"d": (5, 4, -91.0, 95.0, 2.0, 200.0, 3, 3), "e": (1, 1, None, None, None, None, 1, 0)}
 
 
@@ -329,9 +329,9 @@ CSV = ",sm\n2020-01-01,1\n2020-01-02,2\n"
 
 
 @pytest.mark.parametrize("files,part", [
-    ({}, "ZIP file is empty"), ({"a.yml": ""}, "at least one CSV"), ({GOOD: CSV, "x.txt": ""}, "may only contain CSV"), ({GOOD: CSV, "a.yml": "", "b.yml": ""}, "one YML file"),
+    ({}, "ZIP file is empty"), ({"a.yml": ""}, "at least one CSV"), ({GOOD: CSV, "x.txt": ""}, "nothing else"), ({GOOD: CSV, "a.yml": "", "b.yml": ""}, "at most one YML"),
     ({"bad.csv": CSV}, "Invalid filename format"), ({GOOD: CSV, "d_gpi=1_lat=3_lon=2.csv": CSV}, "Duplicate GPI value found: 1"), ({"d_gpi=1_lat=95_lon=185.csv": CSV}, "Invalid latitude 95.0"),
-    ({GOOD: CSV, "e_gpi=2_lat=3_lon=2.csv": CSV}, "same dataset name"), ({GOOD: ",sm\n"}, "is empty"), ({GOOD: ",sm\nx,1\n"}, "datetime parseable"),
+    ({GOOD: CSV, "e_gpi=2_lat=3_lon=2.csv": CSV}, "same dataset name"), ({GOOD: ",sm\n"}, "has no rows"), ({GOOD: ",sm\nx,1\n"}, "holds no times"),
 ])
 def test_zip_findings(files, part):
     r = uploads.validate_zip(archive(files))
@@ -362,7 +362,7 @@ def test_netcdf_uploads(tmp_path):
         "lat": V(["time"], {"units": "degrees_north"}, lambda: np.array([0, 95])), "lon": V(["a", "b", "c"], {"bad name": 1}, lambda: np.array([0, 185])), "time": V(["time", "x"], {}, lambda: np.array([1, 1, 2])),
         "a b": V(["x"], compound=True), "n" * 31: V(["time", "lat", "lon"], vlen=True),
     }, {"groups": ["g"], "user_types": True})
-    for part in ("At least 3 dimensions", "Invalid variable name: a b", "longer than 30", "depends on time", "has 3 dimensions", "Time coordinate has 2", "outside -90 to 90", "outside -180 to 180", "Duplicate timestamps", "Compound", "Variable-length", "Groups", "User-defined"):
+    for part in ("At least 3 dimensions", "Invalid variable name: a b", "longer than 30", "depends on time", "has 3 dimensions", "Time has 2", "outside valid range -90", "outside valid range -180", "Duplicate timestamps", "compound type", "varying length", "groups found", "types of its own"):
         assert any(part in e for e in bad.errors), part
     assert uploads.validate_dataset({}, {}).errors[:2] == ["No dimensions found", "No variables found"]
 
