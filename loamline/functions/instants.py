@@ -9,8 +9,9 @@ from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 EPOCH = datetime(1970, 1, 1)
-#: Offsets of zone abbreviations in minutes.
-ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180, "MSK": 180, "EAT": 180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AEST": 600, "AEDT": 660}
+#: Offsets of zone abbreviations in minutes; those that several countries use (CST, CDT) count only at a site whose
+#: clock uses them.
+ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180, "MSK": 180, "EAT": 180, "EST": -300, "EDT": -240, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AEST": 600, "AEDT": 660}
 MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 UNIT_MS = {"s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 PLACEHOLDER_NUMBERS = {Decimal(-9999), Decimal(-999)}
@@ -92,21 +93,24 @@ def _to_ms(when: datetime, fraction: Decimal = Decimal(0)) -> int:
 
 
 def text_ms(text: str, site: str | None) -> int | None:
-    """Milliseconds since 1970-01-01 UTC of a written date, or None."""
+    """Milliseconds since 1970-01-01 UTC of a written date, or None: every form is tried, and one that gives a date that does not
+    exist or no instant is no reading; readings that differ fix none."""
+    found = set()
     for form in FORMS:
         if m := form.match(text):
             g = m.groupdict()
             wall = _wall(g)
             if wall is None:
-                return None
+                continue
             local, fraction = wall
             if zone := g.get("zone"):
                 offset = _offset(zone, site, local)
                 utc = None if offset is None else local - offset
             else:
                 utc = local if site is None else local_to_utc(local, site)
-            return None if utc is None else _to_ms(utc, fraction)
-    return None
+            if utc is not None:
+                found.add(_to_ms(utc, fraction))
+    return found.pop() if len(found) == 1 else None
 
 
 @lru_cache(maxsize=4096)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 YEAR = 365.2425
 ROWS_AT_ONCE = 200_000
+#: Days from 0001-01-01 to 9999-12-31; a time outside has no date.
+CALENDAR = (-719_162, 2_932_896)
 SCHEMA = "sensor string, gpi long, day int, value double, fitted double, missing boolean"
 
 
@@ -39,8 +41,9 @@ def daily_means(readings: DataFrame, valid: tuple[float, float] | None = None) -
     """One row per (sensor, gpi, UTC day): count and mean of the values inside ``valid`` (NULL if none is).  Partial
     sums are built before the shuffle, so a hot source sends at most one row per day and task."""
     value = F.col("value") if valid is None else F.when(F.col("value").between(*valid), F.col("value"))
+    day = F.floor(F.col("unix") / 86400)
     return (
-        readings.withColumn("day", F.floor(F.col("unix") / 86400).cast("int"))
+        readings.where(day.between(*CALENDAR)).withColumn("day", day.cast("int"))
         .groupBy("sensor", "gpi", "day")
         .agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n"))
     )
@@ -74,7 +77,7 @@ def regularize(readings: DataFrame, harmonics: int = 2, ridge: float = 1e-4, ori
     and ``missing``.  Values outside ``valid`` make their day an observed one but enter neither mean nor fit (``value``
     is NULL where a day, or both ends of a gap, have nothing else).  Several readings of a day, repeated deliveries included, make one day.  An empty input gives an
     empty result; a source with one day gives that day.  A source's daily means meet in one row: their number is
-    bounded by the calendar, not by the number of readings.  ``only_missing`` leaves observed days out.
+    bounded by the calendar (times outside the years 1 to 9999 have no day and are left out), not by the number of readings.  ``only_missing`` leaves observed days out.
     """
     k = 2 + 2 * harmonics
     upper = np.triu_indices(k)
@@ -101,23 +104,25 @@ def regularize(readings: DataFrame, harmonics: int = 2, ridge: float = 1e-4, ori
                 xtx = xtx + np.triu(xtx, 1).T
                 good = ~np.isnan(value)
                 beta = _solve(xtx, xty_all[i], good.sum(), ridge) if good.any() else np.full(k, np.nan)
-                grid = np.arange(day[0], day[-1] + 1)
-                seen = np.zeros(len(grid), bool)
-                seen[day - day[0]] = True
-                if only_missing:
-                    grid, seen = grid[~seen], seen[~seen]
-                if not len(grid):
-                    continue
-                fitted = _basis(grid, origin, harmonics) @ beta
-                bridge = np.interp(grid, day[good], value[good] - _basis(day[good], origin, harmonics) @ beta) if good.any() else np.nan
-                final = fitted + bridge
-                if not only_missing:
-                    final[seen] = value
-                parts.append((np.full(len(grid), i), grid, final, fitted, ~seen))
-                size += len(grid)
-                if size >= ROWS_AT_ONCE:
-                    yield _rows(batch, parts)
-                    parts, size = [], 0
+                rest = value[good] - _basis(day[good], origin, harmonics) @ beta if good.any() else None
+                for first in range(day[0], day[-1] + 1, ROWS_AT_ONCE):
+                    grid = np.arange(first, min(first + ROWS_AT_ONCE, day[-1] + 1))
+                    here = slice(*np.searchsorted(day, [first, grid[-1] + 1]))
+                    seen = np.zeros(len(grid), bool)
+                    seen[day[here] - first] = True
+                    if only_missing:
+                        grid, seen = grid[~seen], seen[~seen]
+                    if not len(grid):
+                        continue
+                    fitted = _basis(grid, origin, harmonics) @ beta
+                    final = fitted + (np.nan if rest is None else np.interp(grid, day[good], rest))
+                    if not only_missing:
+                        final[seen] = value[here]
+                    parts.append((np.full(len(grid), i), grid, final, fitted, ~seen))
+                    size += len(grid)
+                    if size >= ROWS_AT_ONCE:
+                        yield _rows(batch, parts)
+                        parts, size = [], 0
             if parts:
                 yield _rows(batch, parts)
 

@@ -1,4 +1,5 @@
-"""Mixed time notations to one UTC instant (problem 5): each distinct text is parsed once, and the dictionary is kept."""
+"""Mixed time notations to one UTC instant (problem 5): each distinct text of a source is parsed once, and the dictionary is
+kept, so a later run parses only what is new."""
 
 from __future__ import annotations
 
@@ -10,48 +11,59 @@ from pyspark.sql import functions as F
 
 from loamline.functions.instants import instant_ms
 from loamline.operators.skew import hot_aware_join
-from loamline.session import cut, work_path
+from loamline.session import cut, shared_folder, work_path
 
-KEYS = ["raw", "units", "site"]
+KEYS = ["sensor", "raw", "units", "site"]
+ENTRY = "sensor string, raw string, units string, site string, base_ms long"
+#: Counts up with every change of what a text denotes: a kept dictionary of other readings is not used.
+PARSER = 2
 UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ms = [instant_ms(r, u or None, s or None) for r, u, s in zip(*(batch.column(k).to_pylist() for k in KEYS), strict=True)]
+        ms = [instant_ms(r, u or None, s or None) for r, u, s in zip(*(batch.column(k).to_pylist() for k in KEYS[1:]), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), pa.array(ms, pa.int64())], names=[*KEYS, "base_ms"])
 
 
 class TimeDictionary:
-    """A Parquet dictionary (raw, units, site) -> base_ms below ``root`` that grows by what it does not know yet.
+    """A Parquet dictionary (sensor, raw, units, site) -> base_ms below ``root`` that grows by what it does not know yet.
 
-    NULL units and site are stored as empty text; texts without one digit fix no instant and are never stored."""
+    NULL sensors, units and sites are stored as empty text; texts without one digit fix no instant and are never stored."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.parts = spark, root, 0
 
     def read(self) -> DataFrame:
+        """The whole dictionary."""
         if not self.parts and not self._exists():
-            return self.spark.createDataFrame([], "raw string, units string, site string, base_ms long")
-        return self.spark.read.schema("raw string, units string, site string, base_ms long").parquet(self.root)
+            return self.spark.createDataFrame([], ENTRY)
+        return self.spark.read.schema(ENTRY).parquet(self.root)
 
     def _exists(self) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def extend(self, values: DataFrame) -> None:
-        """Parse the distinct (raw, units, site) that are not in the dictionary, and append them."""
+        """Parse the distinct keys that are not in the dictionary, and append them.  Writers at the same time may leave a key
+        twice, with the same instant."""
         fresh = values.select(*KEYS).distinct()
         if self.parts or self._exists():
             fresh = fresh.join(self.read().select(*KEYS), KEYS, "left_anti")
-        fresh.mapInArrow(_parse, "raw string, units string, site string, base_ms long").write.mode("append").parquet(self.root)
+        fresh.mapInArrow(_parse, ENTRY).write.mode("append").parquet(self.root)
         self.parts += 1
 
 
+def kept_dictionary(spark: SparkSession) -> TimeDictionary:
+    """The dictionary that stays in the shared folder from run to run."""
+    return TimeDictionary(spark, f"{shared_folder(spark)}/time-dictionary-{PARSER}")
+
+
 def keyed(rows: DataFrame) -> DataFrame:
     """The dictionary's keys beside the rows; rows whose text has no digit are dropped, they denote no instant."""
+    sensor = F.coalesce("sensor", F.lit("")) if "sensor" in rows.columns else F.lit("")
     return rows.withColumns(
-        {"raw": F.col("acquisition_time"), "units": F.coalesce("time_units", F.lit("")), "site": F.coalesce("site_zone", F.lit(""))}
+        {"sensor": sensor, "raw": F.col("acquisition_time"), "units": F.coalesce("time_units", F.lit("")), "site": F.coalesce("site_zone", F.lit(""))}
     ).where(F.col("raw").rlike(r"\d"))
 
 

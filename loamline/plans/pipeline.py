@@ -11,7 +11,7 @@ from loamline.operators.readings import all_readings
 from loamline.operators.regular_grid import missing_days, regularize
 from loamline.operators.schema_drift import drift_report, unified_records, unified_table
 from loamline.operators.spikes import flag_readings
-from loamline.operators.time_dictionary import normalise_times
+from loamline.operators.time_dictionary import kept_dictionary, normalise_times
 from loamline.plans import drift_sql
 from loamline.session import read_table, work_path
 
@@ -29,6 +29,11 @@ def p1_series(spark: SparkSession, folder: str) -> DataFrame:
     return regularize(_readings(spark, folder))
 
 
+def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The regular grid with the observed values alone."""
+    return regularize(_readings(spark, folder)).select("sensor", "gpi", "day", "missing", F.when(~F.col("missing"), F.round("value", 6)).alias("observed"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return superfluous_files(lambda: read_table(spark, folder, "image_files"), read_table(spark, folder, "image_readers"))
 
@@ -54,7 +59,7 @@ def p4_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return normalise_times(read_table(spark, folder, "acq_raw"))
+    return normalise_times(read_table(spark, folder, "acq_raw"), kept_dictionary(spark))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +75,7 @@ def p7_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return flag_readings(_readings(spark, folder)).groupBy("sensor", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_series, p2_found, p2_compacted, p4_found, p4_unified, p4_table, p5_found, p6_found, p7_found, p7_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_series, p1_grid, p2_found, p2_compacted, p4_found, p4_unified, p4_table, p5_found, p6_found, p7_found, p7_reasons)}
 
 READINGS_SQL = """
 SELECT 'smap' AS sensor, gpi, acquisition_time + 946728000 AS unix, soil_moisture AS value, obs_id FROM smap_obs
@@ -102,6 +107,11 @@ span AS (SELECT sensor, gpi, min(day) AS a, max(day) AS b FROM seen GROUP BY sen
 every AS (SELECT sensor, gpi, unnest(range(a, b)) AS day FROM span)
 SELECT e.sensor, e.gpi, strftime(DATE '1970-01-01' + CAST(e.day AS INTEGER), '%Y-%m-%d') AS missing_day
 FROM every e WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.sensor = e.sensor AND s.gpi = e.gpi AND s.day = e.day)
+""",
+    "p1_grid": f"""
+WITH seen AS (SELECT sensor, gpi, CAST(floor(unix / 86400) AS BIGINT) AS day, avg(CASE WHEN value BETWEEN 0 AND 1 THEN value END) AS value FROM ({READINGS_SQL}) r GROUP BY ALL),
+every AS (SELECT sensor, gpi, unnest(range(min(day), max(day) + 1)) AS day FROM seen GROUP BY sensor, gpi)
+SELECT e.sensor, e.gpi, CAST(e.day AS INTEGER) AS day, s.day IS NULL AS missing, round(s.value, 6) AS observed FROM every e LEFT JOIN seen s USING (sensor, gpi, day)
 """,
     "p2_found": FILES_SQL + r""",
 lines AS (SELECT file_id, reader_name, image_time, unnest(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM timed WHERE image_time IS NOT NULL),

@@ -60,6 +60,14 @@ def test_implausible_values_make_a_day_but_no_fit(spark):
     assert got[16004].missing and abs(got[16004].value - 0.2) < 1e-3
 
 
+def test_wild_times(spark):
+    """A time without a date is left out, one far away is filled in slices."""
+    rows = [(1, 1, at(16000), 0.2, None), (2, 1, 1e17, 0.2, None), (3, 1, -1e17, 0.2, None), (4, 2, at(16000), 0.2, None), (5, 2, at(-500_000), 0.4, None)]
+    r = all_readings(raw(spark, rows), raw(spark, []))
+    got = {x.gpi: (x.n, x.a, x.b) for x in regularize(r).groupBy("gpi").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("a"), F.max("day").alias("b")).collect()}
+    assert got == {1: (1, 16000, 16000), 2: (516_001, -500_000, 16000)} and missing_days(r).count() == 515_999
+
+
 def test_empty(spark):
     r = all_readings(raw(spark, []), raw(spark, []))
     assert regularize(r).count() == 0 and missing_days(r).count() == 0 and flag_readings(r).count() == 0

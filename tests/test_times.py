@@ -75,7 +75,7 @@ def test_rows(spark):
 
 def test_dictionary_grows_by_what_is_new(spark):
     d = TimeDictionary(spark, work_path(spark, "dict"))
-    v = lambda *x: spark.createDataFrame([(t, "", "") for t in x], "raw string, units string, site string")
+    v = lambda *x: spark.createDataFrame([("s", t, "", "") for t in x], "sensor string, raw string, units string, site string")
     d.extend(v("2018-01-01", "2018-01-02", "2018-01-01"))
     d.extend(v("2018-01-02", "2018-01-03"))
     again = TimeDictionary(spark, d.root)
@@ -83,6 +83,29 @@ def test_dictionary_grows_by_what_is_new(spark):
     assert sorted(r.raw for r in again.read().collect()) == ["2018-01-01", "2018-01-02", "2018-01-03"]
 
 
+def test_every_form_is_tried():
+    """A date that does not exist in one notation may exist in another; abbreviations of several countries need a site."""
+    assert instant_ms("2017-11-29 15:25:32 CST", None, None) is None and instant_ms("2017-11-29 15:25:32 CST", None, "Europe/Vienna") is None
+    assert instant_ms("2017-11-29 15:25:32 CST", None, "Asia/Shanghai") == ms(2017, 11, 29, 7, 25, 32)
+    assert instant_ms("2015-366", None, None) is None and instant_ms("2016-366", None, None) == ms(2016, 12, 31)
+
+
+def test_kept_dictionary_is_used_again(spark, monkeypatch):
+    from loamline.operators import time_dictionary
+
+    root = work_path(spark, "kept")
+    monkeypatch.setattr(time_dictionary, "shared_folder", lambda s: root)
+    row = (1, None, "2018-01-01 00:00", None, None, None, None, "clash", 1)
+    rows = spark.createDataFrame([row], SCHEMA)
+    for _ in range(2):
+        assert normalise_times(rows, time_dictionary.kept_dictionary(spark)).count() == 1
+    assert time_dictionary.kept_dictionary(spark).read().count() == 1
+    # what it says counts: a second run does not parse again
+    spark.createDataFrame([("", "2018-01-02", "", "", 7)], time_dictionary.ENTRY).write.mode("append").parquet(time_dictionary.kept_dictionary(spark).root)
+    other = spark.createDataFrame([(2, None, "2018-01-02", *row[3:])], SCHEMA)
+    assert normalise_times(other, time_dictionary.kept_dictionary(spark)).first().utc_ms == 7
+
+
 def test_hot_keys_join_like_others(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(3000)], "id int, k string")
     lookup = rows.groupBy("k").count().withColumnRenamed("count", "n")
