@@ -2,7 +2,7 @@
 
 One pass recomputes each text's length under several encodings and looks at its ending; lengths that pile up in a
 source under one of them expose the limit it enforces.  Endings that only look unfinished (signatures, remarks) are told
-from cut ones by how often they close different mails of the corpus.
+from cut ones by the endings that begin alike: cuts of one sentence stop at many places, a remark always at its end.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from loamline.session import cut
 MEASURES = ["chars", "utf8", "utf16", "crlf_chars", "crlf_utf8", "html_chars", "html_utf8", "json_ascii", "json_utf8", "char_refs"]
 PASS = "doc_id long, source string, lengths array<int>, verdict string, reason string, ending string, context long"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lengths", pa.list_(pa.int32())), ("verdict", pa.string()), ("reason", pa.string()), ("ending", pa.string()), ("context", pa.int64())])
-#: An unpunctuated ending is a usual one if it closes at least two different texts and more than one in so many.
-USUAL_ONE_IN = 2500
+#: An unpunctuated ending is a usual one if it closes several different texts and, allowing for chance, more than this share of the
+#: unpunctuated endings that begin like it; so many standard deviations of its count are allowed for.
+USUAL_SHARE, USUAL_TEXTS, ALLOWED = 0.3, 3, 1.25
 CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
 QUOTE = re.compile(r"^[>|\s]+")
 MARK = re.compile(r"(?:\.\.\.|…|\[\.{2,3}\]|\[…\]|\(\.\.\.\))$")
@@ -95,7 +96,7 @@ def _plain_ending(text: str, whole: str) -> tuple[str, str, str]:
             return "whole", "address", ""
         return "ask", "inside a signature", key
     if "://" in last.split()[-1]:
-        return "ask", "inside a link", key
+        return "ask", "inside a link", re.sub(r"9+", "9", key)
     if SENTENCE_END.search(last):
         return "whole", "sentence", ""
     if last[-1] in ";|\t" or ";" in last or "\t" in last:
@@ -207,22 +208,35 @@ def look(documents: DataFrame) -> DataFrame:
     return cut(docs.mapInArrow(_look, PASS), "endings")
 
 
+def usual_endings(asked: DataFrame) -> DataFrame:
+    """(ending): unpunctuated endings with which texts end on their own.
+
+    All cuts inside one sentence share its beginning, but stop anywhere; what many texts end with as a whole holds most of the
+    endings that begin like it.  Of an ending of n characters its first n / 2, rounded down to a power of two, are its beginning.
+    The share does not depend on the size of the corpus, nor on how many other endings or writers it has; in a small corpus
+    an ending may be too rare to be told from a cut."""
+    endings = asked.groupBy("ending").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("context").alias("contexts"))
+    power = lambda length: F.pow(F.lit(2), F.floor(F.log2(F.greatest(length, F.lit(1))))).cast("int")
+    sizes = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.length("ending"), F.lit(1)))).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+    beginnings = endings.select("ending", "n", F.explode(sizes).alias("size")).select(F.expr("left(ending, size)").alias("beginning"), "n")
+    families = beginnings.groupBy("beginning").agg(F.sum("n").alias("family"))
+    several = endings.where(F.col("contexts") >= USUAL_TEXTS).withColumn("size", power(F.length("ending") / 2))
+    known = several.withColumn("beginning", F.expr("left(ending, size)")).join(families, "beginning")
+    return known.where(F.col("n") - ALLOWED * F.sqrt("n") > USUAL_SHARE * F.col("family")).select("ending")
+
+
 def truncated(documents: DataFrame, looked: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, reason): texts that were cut before their end.
 
     Cut are texts exactly at a limit that their source enforces (``hidden_limits``), texts that end inside a header,
-    part, encoding, tag, character, number or address, with a cut mark, or in an unpunctuated ending that is not usual in
-    the corpus.  Texts that end with a sentence, a whole table line, the name of someone in the mail, a greeting, a
+    part, encoding, tag, character, number or address, with a cut mark, or in an unpunctuated ending that is not usual
+    (``usual_endings``).  Texts that end with a sentence, a whole table line, the name of someone in the mail, a greeting, a
     closed part, or that are empty, are whole.  Documents with a NULL text or doc_id are left out; repeated rows count
     once; an empty table gives an empty result.
     """
     looked = look(documents) if looked is None else looked
-    total = looked.count()
     asked = looked.where("verdict = 'ask'")
-    # at most USUAL_ONE_IN endings can each close more than one text in USUAL_ONE_IN
-    usual = asked.groupBy("ending").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("context").alias("contexts"))
-    usual = usual.where((F.col("contexts") >= 2) & (F.col("n") > total / USUAL_ONE_IN)).select("ending")
-    unusual = asked.join(F.broadcast(usual), "ending", "left_anti").select("doc_id", "source", "reason")
+    unusual = asked.join(usual_endings(asked), "ending", "left_anti").select("doc_id", "source", "reason")
     plain = looked.where("verdict = 'cut'").select("doc_id", "source", "reason")
     limits = cut(hidden_limits(looked).select("source", "measure", "limit"), "limits")
     names = F.array(*(F.lit(m) for m in MEASURES))

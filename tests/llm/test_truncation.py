@@ -99,6 +99,38 @@ def test_usual_remarks_are_whole(spark):
     assert {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()} == {50}
 
 
+def written(writers, seed=0):
+    """Mails of some writers, each with a closing remark of their own, one in ten cut inside the sentences all of them use; the doc_ids
+    of the cut ones."""
+    rnd = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sentences = ["The probe drifted again after the storm of last week and was replaced.", "Between two and nine files arrived late, the rest is complete.", "I moved the meeting about the new grid to Thursday morning."]
+    rows, cut = [], set()
+    for w in range(writers):
+        remark = "".join(rnd.choice(letters) for _ in range(9)) + " from afar"
+        for k in range(30):
+            i = w * 30 + k
+            body = f"Note {i} of {w}.\n\n" + rnd.choice(sentences)
+            if k % 10 == 0:
+                at = len(body) - rnd.randrange(3, 50)
+                while body[at - 1] in " .,\n":
+                    at -= 1
+                body = body[:at]
+                cut.add(i)
+            else:
+                body += f"\n\n{remark}"
+            rows.append((i, PLAIN + body, f"s{w % 7}"))
+    return rows, cut
+
+
+@pytest.mark.parametrize("writers", [4, 40, 400])
+def test_as_precise_with_more_writers(spark, writers):
+    """However many writers share the corpus, their remarks stay whole and cut sentences stay cut."""
+    rows, cut = written(writers)
+    got = {r.doc_id for r in truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got <= cut and len(got) >= 0.97 * len(cut)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert truncated(df).count() == 0 and truncation_rates(df).count() == 0
