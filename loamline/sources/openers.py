@@ -24,9 +24,9 @@ def _columns(slot: int, gpi: np.ndarray, values: dict[str, np.ndarray]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(gpi), slot), pa.int32()), pa.array(gpi, pa.int64()), *(pa.array(v.astype(float), from_pandas=True) for v in values.values())], names=["slot", "gpi", *values])
 
 
-def file_times(nc: netcdf3.NcFile) -> np.ndarray:
+def file_times(nc: netcdf3.NcFile, name: str | None = None) -> np.ndarray:
     """The times of a file as microseconds since 1970-01-01 UTC."""
-    name = time_of({n: v.attrs for n, v in nc.variables.items()}, {n: nc.dim_names(n) for n in nc.variables})
+    name = name or time_of({n: v.attrs for n, v in nc.variables.items()}, {n: nc.dim_names(n) for n in nc.variables})
     scale = unit_epoch(nc.variables[name].attrs.get("units", ""))
     if scale is None:
         raise EngineError(f"{name} has no unit of time since a date")
@@ -77,17 +77,21 @@ class CsvOpener:
 @dataclass(frozen=True)
 class StackOpener:
     """A NetCDF stack with coordinates: each row has its own time, lat and lon; regular, curvilinear and (time, location)
-    grids are recognised by the coordinates' dimensions."""
+    grids are recognised by the coordinates' dimensions.  Names that are given count, else metadata decide."""
+
+    lat: str | None = None
+    lon: str | None = None
+    time: str | None = None
 
     def rows(self, content: bytes, variables: list[str]) -> Iterator[pa.RecordBatch]:
         nc = netcdf3.parse(content)
         attrs = {n: v.attrs for n, v in nc.variables.items()}
-        lat, lon = coordinate_of(attrs, "latitude"), coordinate_of(attrs, "longitude")
+        lat, lon = self.lat or coordinate_of(attrs, "latitude"), self.lon or coordinate_of(attrs, "longitude")
         a, o = netcdf3.decoded(nc, lat), netcdf3.decoded(nc, lon)
         if a.ndim == 1 and nc.dim_names(lat) != nc.dim_names(lon):
             a, o = np.meshgrid(a, o, indexing="ij")
-        a, o, times = a.reshape(-1), o.reshape(-1), file_times(nc)
-        axis = nc.dim_names(time_of(attrs, {n: nc.dim_names(n) for n in nc.variables}))[0]
+        a, o, times = a.reshape(-1), o.reshape(-1), file_times(nc, self.time)
+        axis = nc.dim_names(self.time or time_of(attrs, {n: nc.dim_names(n) for n in nc.variables}))[0]
         cubes = [np.moveaxis(netcdf3.decoded(nc, v), nc.dim_names(v).index(axis), 0).reshape(len(times), -1) for v in variables]
         for step, time in enumerate(times):
             for lo in range(0, len(a), netcdf3.PIXELS_AT_ONCE):

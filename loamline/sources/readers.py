@@ -111,11 +111,10 @@ def read_images(
     return data
 
 
-def read_stacks(spark: SparkSession, folder: str, variables: list[str], pattern: str = "*.nc") -> DataFrame:
+def read_stacks(spark: SparkSession, folder: str, variables: list[str], pattern: str = "*.nc", opener: StackOpener = StackOpener()) -> DataFrame:
     """NetCDF files with coordinates and times of their own (images, stacks, or series by cell): ``path, time, gpi, lat, lon`` and the
     variables, gpi being the place's number in its file; each file is opened by one task."""
     ship(spark)
-    opener = StackOpener()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

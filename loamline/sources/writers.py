@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.cf import COORDINATES, attributes_of
+from loamline.functions.chunks import images_in
 from loamline.functions.strptime import strptime_parts
 from loamline.operators.grid import near_stations, with_cells
 from loamline.operators.images import in_time
@@ -110,10 +111,12 @@ def _image_names(obs: DataFrame, stepsize: int, fmt: str) -> DataFrame:
     return obs.join(named, "time")
 
 
-def write_netcdf_images(obs: DataFrame, variables: list[str], folder: str, name: str, fmt: str = "%Y%m%dT%H%M", stepsize: int = 1, include_time: bool = True, north_first: bool = False) -> DataFrame:
+def write_netcdf_images(obs: DataFrame, variables: list[str], folder: str, name: str, fmt: str = "%Y%m%dT%H%M", stepsize: int = 1, include_time: bool = True, north_first: bool = False, memory_gb: float | None = None) -> DataFrame:
     """One NetCDF file for every ``stepsize`` times, ``{name}_{time}.nc`` by the first of them; returns (file, bytes, pixels).
     Attributes on the columns go along, coordinates get theirs.  An image is what one task holds; files without their time
-    hold one."""
+    hold one.  With ``memory_gb`` a file holds no more images than fit in it."""
+    if memory_gb is not None:
+        stepsize = min(stepsize, images_in(memory_gb, (obs.select("gpi").distinct().count() or 1,), 8, len(variables)))
     if not include_time and stepsize != 1:
         raise EngineError("only files of one time can leave it out")
     attrs = {v: {k: x for k, x in a.items() if isinstance(x, str | int | float)} for v, a in attributes_of(obs).items()}

@@ -178,3 +178,26 @@ def test_large_archives_are_written_series_by_series(spark, tmp_path):
     assert back.count() == 2000 and back.select("gpi").distinct().count() == 40
     with pytest.raises(EngineError):
         writers.write_csv_dataset(obs.limit(0), str(tmp_path), "none", ["v"])
+
+
+def test_command_line_options(spark, tmp_path):
+    from loamline import cli
+
+    for day in (1, 2, 3):
+        cube(tmp_path / f"img_2000010{day}.nc", [day - 1], name="sm")
+    run = lambda command, out, *more: cli.main([command, str(tmp_path), str(tmp_path / out), "2000-01-01", "2000-01-31", "--parameter", "sm", *more])
+    run("repurpose", "a", "--time_fmt", "%Y%m%d", "--lat", "10", "30", "10", "--lon", "0", "3", "1", "--timestamps", "6", "--skip_missing", "--landmask", f"{tmp_path}/img_20000101.nc:sm", "--only_land", "--cellsize", "5")
+    got = spark.read.parquet(str(tmp_path / "a"))
+    assert {r.time.hour for r in got.collect()} == {6} and got.count() == 15 and got.where("gpi = 0").count() == 0
+    run("transpose", "b", "--latname", "lat", "--lonname", "lon", "--timename", "time", "--netcdf", "--bbox", "0", "5", "1", "25", "--cellsize", "180")
+    back = readers.read_stacks(spark, str(tmp_path / "b"), ["sm"])
+    assert back.count() == 3 * 4 and {(r.lat, r.lon) for r in back.collect()} == {(10.0, 0.0), (10.0, 1.0), (20.0, 0.0), (20.0, 1.0)}
+    run("images", "c", "--stepsize", "2", "--memory", "1", "--fill_value", "5", "--rename", "x:y")
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["images_20000101T0000.nc", "images_20000103T0000.nc"]
+    assert readers.read_stacks(spark, str(tmp_path / "c"), ["sm"]).where("sm IS NULL").count() == 3
+    spark.createDataFrame([(1, T0, 0.5, 90.0, 1.0)], "gpi long, time timestamp_ntz, sm double, exact double, late double").write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(1, 0.0, 0.0)], "gpi long, lat double, lon double").write.parquet(str(tmp_path / "g"))
+    cli.main(["repurpose", str(tmp_path / "s"), str(tmp_path / "d"), "2000-01-01", "2000-01-31", "--parameter", "sm", "--grid", str(tmp_path / "g"), "--timevarname", "exact", "--timevarunit", "minutes since 2000-01-01", "--timeoffsetvarname", "late", "--timeoffsetunit", "hours"])
+    assert spark.read.parquet(str(tmp_path / "d")).first().time == datetime(2000, 1, 1, 2, 30)
+    with pytest.raises(EngineError, match="--lat"):
+        run("repurpose", "e", "--time_fmt", "%Y%m%d")
