@@ -198,16 +198,23 @@ class SnapshotTable:
         return len(old)
 
 
+def _hashed() -> Column:
+    return F.xxhash64("file_id", "path", "content").cast("decimal(20,0)")
+
+
+def _fingerprint(files: Column, hashes: Column) -> Column:
+    """A count and a sum of hashes, so repeated rows can't cancel out."""
+    return F.concat_ws("-", files, hashes.cast("decimal(38,0)").cast("string"))
+
+
 def small_file_plan(matched: DataFrame, small_files: int, periods: dict[str, str] | None = None) -> DataFrame:
-    """Per reader and period: files, bytes, and a fingerprint of the input (a count and a sum, so repeats can't cancel out);
-    ``crowded`` where more than ``small_files`` files are below the target size.
+    """Per reader and period: files, bytes, and a fingerprint of the input; ``crowded`` where more than ``small_files`` files are below the target size.
 
     The period is the year of the image time where a year of the reader holds FILES_A_YEAR files of the target size, else
     ``all``; a reader in ``periods`` keeps the kind of period it has there."""
     size = F.coalesce(F.octet_length("content").cast("long"), F.lit(0))
-    hashed = F.xxhash64("file_id", "path", "content").cast("decimal(20,0)")
     by_year = matched.groupBy("reader_name", F.year("image_time").cast("string").alias("year")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.max("target_bytes").alias("target_bytes"), F.count_if(size < F.col("target_bytes")).alias("small"), F.sum(hashed).alias("hashes")
+        F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.max("target_bytes").alias("target_bytes"), F.count_if(size < F.col("target_bytes")).alias("small"), F.sum(_hashed()).alias("hashes")
     )
     usual = F.when(F.sum("bytes") >= FILES_A_YEAR * F.count(F.lit(1)) * F.max("target_bytes"), "year").otherwise("all")
     kind = usual
@@ -218,7 +225,7 @@ def small_file_plan(matched: DataFrame, small_files: int, periods: dict[str, str
     kinds = by_year.groupBy("reader_name").agg(kind.alias("kind"))
     plan = by_year.join(kinds, "reader_name").groupBy("reader_name", F.when(F.col("kind") == "year", F.col("year")).otherwise("all").alias("period"))
     sums = plan.agg(*(F.sum(c).alias(c) for c in ("files", "bytes", "small", "hashes")), F.max("target_bytes").alias("target_bytes"))
-    return sums.select("reader_name", "period", "files", "bytes", "small", "target_bytes", F.concat_ws("-", "files", F.col("hashes").cast("string")).alias("fingerprint"), (F.col("small") > small_files).alias("crowded"))
+    return sums.select("reader_name", "period", "files", "bytes", "small", "target_bytes", _fingerprint(F.col("files"), F.col("hashes")).alias("fingerprint"), (F.col("small") > small_files).alias("crowded"))
 
 
 def compact(files: DataFrame | Callable[[], DataFrame], readers: DataFrame, root: str, small_files: int = 1) -> tuple[SnapshotTable, DataFrame]:
@@ -240,7 +247,7 @@ def _compact(matched: DataFrame, source: Callable[[], DataFrame], rules: DataFra
     table = SnapshotTable(spark, root)
     before = table.manifest()
     periods = {e["reader"]: e["kind"] for e in before["partitions"].values()}
-    plan = cut(small_file_plan(matched, small_files, periods), "plan").withColumn("rewrite", F.col("crowded"))
+    plan = small_file_plan(matched, small_files, periods).withColumn("rewrite", F.col("crowded"))
     known = [(e["reader"], e["period"], e["fingerprint"]) for e in before["partitions"].values()]
     if known:
         same = spark.createDataFrame(known, "reader_name string, period string, fingerprint string").withColumn("written", F.lit(True))
@@ -285,8 +292,9 @@ def _compact(matched: DataFrame, source: Callable[[], DataFrame], rules: DataFra
     seen = {(r.reader_name, r.period): r.fingerprint for r in todo}
 
     def unchanged() -> bool:
-        now = small_file_plan(matched_files(source(), rules), small_files, dict(kinds))
-        return {(r.reader_name, r.period): r.fingerprint for r in now.join(wanted, ["reader_name", "period"], "left_semi").collect()} == seen
+        now = matched_files(source(), rules).join(by_reader, "reader_name").withColumn("period", period).join(wanted, ["reader_name", "period"], "left_semi")
+        sums = now.groupBy("reader_name", "period").agg(_fingerprint(F.count(F.lit(1)), F.sum(_hashed())).alias("fingerprint"))
+        return {(r.reader_name, r.period): r.fingerprint for r in sums.collect()} == seen
 
     table.overwrite_partitions(rows, ["reader_name", "period"], before["version"], unchanged, notes)
     return table, plan
