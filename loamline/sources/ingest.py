@@ -19,11 +19,11 @@ from loamline.sources.writers import write_cells
 
 
 def netcdf_stack(spark: SparkSession, path: str, variables: list[str] | None = None) -> DataFrame:
-    """One classic file with (time, y, x) variables as rows time, gpi, lat, lon and the variables, read by a task; regular,
+    """One NetCDF file with (time, y, x) variables as rows time, gpi, lat, lon and the variables, read by a task; regular,
     curvilinear and (time, location) grids are recognised by the coordinates' dimensions.  The driver sees its header only to
     name the variables."""
     if not variables:
-        nc = netcdf3.parse(fetched(path))
+        nc = netcdf3.opened(fetched(path))
         dims = {n: nc.dim_names(n) for n in nc.variables}
         time = time_of({n: v.attrs for n, v in nc.variables.items()}, dims)
         variables = data_names({n: Variable(d) for n, d in dims.items()}) or [n for n, d in dims.items() if d and d[0] == dims[time][0] and n != time]

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from loamline.session import EngineError
+from loamline.sources import hdf5
 from loamline.sources.files import fetched
 
 #: Fixed values of the format: type code -> (array protocol, size).
@@ -152,7 +153,12 @@ def write(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str],
     Path(path).write_bytes(encoded(dims, variables, attrs))
 
 
-def decoded(nc: NcFile, name: str) -> np.ndarray:
+def opened(raw: bytes) -> NcFile | hdf5.H5File:
+    """A classic or an HDF5-based file, by its first bytes."""
+    return hdf5.parse(raw) if raw[:8] == hdf5.MAGIC else parse(raw)
+
+
+def decoded(nc: NcFile | hdf5.H5File, name: str) -> np.ndarray:
     """Values as float64 with fill values as NaN and scale and offset applied."""
     v = nc.variables[name]
     a = nc.array(name).astype(float)
@@ -168,7 +174,7 @@ PIXELS_AT_ONCE = 200_000
 def images(raw: bytes, variables: list[str], flip: bool = False) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """(slot, first gpi, values by variable) of a file's images in slices, gpi row-major over the spatial dimensions.  Variables
     have one shape, with a leading time step where there are three dimensions; ``flip`` turns the rows over first."""
-    nc = parse(raw)
+    nc = opened(raw)
     arrays = [decoded(nc, v) for v in variables]
     if len({a.shape for a in arrays}) != 1:
         raise EngineError("the variables differ in shape")

@@ -1,4 +1,4 @@
-"""What turns one image file into rows, in a task: NetCDF classic and CSV.  Other formats bring an opener of their own.
+"""What turns one image file into rows, in a task: NetCDF (classic and HDF5-based) and CSV.  Other formats bring an opener of their own.
 
 An opener has ``names(content)``, the variables a file offers, and ``rows(content, variables)``, batches with ``slot`` (the
 time step in the file), ``gpi`` and the variables; with ``time`` among them the file's own time counts.
@@ -24,7 +24,7 @@ def _columns(slot: int, gpi: np.ndarray, values: dict[str, np.ndarray]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(gpi), slot), pa.int32()), pa.array(gpi, pa.int64()), *(pa.array(v.astype(float), from_pandas=True) for v in values.values())], names=["slot", "gpi", *values])
 
 
-def file_times(nc: netcdf3.NcFile, name: str | None = None) -> np.ndarray:
+def file_times(nc, name: str | None = None) -> np.ndarray:
     """The times of a file as microseconds since 1970-01-01 UTC."""
     name = name or time_of({n: v.attrs for n, v in nc.variables.items()}, {n: nc.dim_names(n) for n in nc.variables})
     scale = unit_epoch(nc.variables[name].attrs.get("units", ""))
@@ -42,17 +42,17 @@ def single_time(times: np.ndarray) -> int:
 
 @dataclass(frozen=True)
 class NetCdfOpener:
-    """Classic NetCDF.  ``flip`` numbers pixels from the bottom row; ``own_time`` takes the one time of the file itself."""
+    """NetCDF, classic or HDF5-based, and HDF5.  ``flip`` numbers pixels from the bottom row; ``own_time`` takes the one time of the file itself."""
 
     flip: bool = False
     own_time: bool = False
 
     def names(self, content: bytes) -> list[str]:
-        nc = netcdf3.parse(content)
-        return [n for n, v in nc.variables.items() if len(v.dims) >= 2 or (v.dims and n not in nc.dim_names(n) and "units" in v.attrs and " since " not in str(v.attrs["units"]))]
+        nc = netcdf3.opened(content)
+        return [n for n, v in nc.variables.items() if v.dims and n not in nc.dim_names(n) and " since " not in str(v.attrs.get("units", ""))]
 
     def rows(self, content: bytes, variables: list[str]) -> Iterator[pa.RecordBatch]:
-        time = single_time(file_times(netcdf3.parse(content))) if self.own_time else None
+        time = single_time(file_times(netcdf3.opened(content))) if self.own_time else None
         for slot, lo, values in netcdf3.images(content, variables, self.flip):
             out = _columns(slot, np.arange(lo, lo + len(values[0])), dict(zip(variables, values, strict=True)))
             yield out if time is None else out.append_column("time", pa.repeat(pa.scalar(time, pa.timestamp("us")), out.num_rows))
@@ -84,7 +84,7 @@ class StackOpener:
     time: str | None = None
 
     def rows(self, content: bytes, variables: list[str]) -> Iterator[pa.RecordBatch]:
-        nc = netcdf3.parse(content)
+        nc = netcdf3.opened(content)
         attrs = {n: v.attrs for n, v in nc.variables.items()}
         lat, lon = self.lat or coordinate_of(attrs, "latitude"), self.lon or coordinate_of(attrs, "longitude")
         a, o = netcdf3.decoded(nc, lat), netcdf3.decoded(nc, lon)

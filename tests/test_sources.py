@@ -154,7 +154,7 @@ def test_stand_alone_check(tmp_path):
     assert uploads.check_file("a.NC", raw) == (True, "valid") and uploads.check_file("a.csv", b"x")[0] and not uploads.check_file("a.nc", b"x")[0]
     assert not uploads.check_file("a.nc", b"\x89HDF\r\n\x1a\n")[0]
     assert uploads.format_of(raw) == "NetCDF Classic" and uploads.format_of(b"PK\x03\x04") == "ZIP" and uploads.format_of(b"") is None
-    assert uploads.validate_netcdf3(raw).info["format"] == "NetCDF Classic"
+    assert uploads.validate_netcdf(raw).info["format"] == "NetCDF Classic"
 
 
 def test_uploads_without_name_or_content(spark):
