@@ -135,6 +135,15 @@ def near_stations(series: DataFrame, stations: DataFrame, series_id: str, radius
     return series.join(pairs.select(series_id).distinct(), series_id, "left_semi")
 
 
+def target_points(points: DataFrame, stations: DataFrame | None = None, only: list[tuple[float, float]] | None = None, radius_km: float = 2.0) -> DataFrame:
+    """The points (gpi, lat, lon) that an export keeps: near a station, near one of the given places (lat, lon), or all."""
+    if stations is not None and only is not None:
+        raise EngineError("name stations or places, not both")
+    if only is not None:
+        stations = points.sparkSession.createDataFrame([(float(a), float(o)) for a, o in only], "lat double, lon double")
+    return points if stations is None else near_stations(points, stations, "gpi", radius_km)
+
+
 def distance(a: tuple[str, str], b: tuple[str, str]) -> Column:
     """Great-circle kilometres between two (lat, lon) column pairs."""
     return great_circle_km(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))

@@ -18,7 +18,9 @@ from loamline.operators import grid, images, series, swath, uploads
 from loamline.plans.catalog import FRM_SQL, GRID_SQL, KM, OBS_SQL, STATION_SQL, _grid, _obs, _stations
 from loamline.session import read_table, work_path
 from loamline.sources import netcdf3, readers, writers
+from loamline.sources.files import stored
 from loamline.sources.ingest import ingest_upload, reshuffle
+from loamline.sources.openers import RaggedOpener
 from loamline.streaming import streams
 
 QUERIES: dict = {}
@@ -127,6 +129,33 @@ def netcdf_images(spark, folder):
     return readers.read_stacks(spark, path, ["value"]).where("value IS NOT NULL").select("lat", "lon", "time", F.round("value", 6).alias("value"))
 
 
+@register(f"SELECT gpi, lat, lon, time, round(value, 6) AS value, CAST(obs_id AS DOUBLE) AS obs_id FROM {SMOS_SQL} s")
+def ragged_files(spark, folder):
+    """Series with their own times, one ragged NetCDF file per cell."""
+    path = work_path(spark, "ragged")
+    writers.write_netcdf_ragged(_smos(spark, folder), ["value", "obs_id"], path)
+    return readers.read_stacks(spark, path, ["value", "obs_id"], opener=RaggedOpener()).select("gpi", "lat", "lon", "time", F.round("value", 6).alias("value"), "obs_id")
+
+
+@register(f"SELECT time, variable, value FROM (SELECT time, unnest(['event_id', 'value']) AS variable, unnest([event_id::DOUBLE, value]) AS value FROM {OBS_SQL} o WHERE gpi = 7) t")
+def csv_series_of_point(spark, folder):
+    """The one file of a location out of an archive that holds those near some places."""
+    path = work_path(spark, "dataset")
+    at = _grid(spark, folder).where("gpi IN (7, 8, 9)").select("lat", "lon").collect()
+    target = writers.write_csv_dataset(_obs(spark, folder), path, "events", ["event_id", "value"], only=[(r.lat, r.lon) for r in at], radius_km=1.0)
+    return readers.read_zipped_csv(spark, target, gpi=7).select("time", "variable", "value")
+
+
+@register("SELECT gpi, cell, lat, lon, coalesce(is_land, false) AS is_land FROM grid_points WHERE grid_name = 'smos_dgg'")
+def grid_from_file(spark, folder):
+    """A static grid written as NetCDF and read back."""
+    rows = _points(spark, folder).toPandas()  # a grid is metadata of its readers
+    path, column = work_path(spark, "grid") + ".nc", lambda c: (["points"], rows[c].to_numpy(float), {})
+    land = (["points"], rows["is_land"].fillna(False).to_numpy("i4"), {})
+    stored(path, netcdf3.encoded({"points": len(rows)}, {"gpi": column("gpi"), "cell": column("cell"), "lat": column("lat"), "lon": column("lon"), "land_flag": land}))
+    return readers.read_grid(spark, path).select("gpi", "cell", "lat", "lon", "is_land")
+
+
 def _pixels(spark: SparkSession, folder: str) -> DataFrame:
     e = read_table(spark, folder, "embeddings").select(F.timestamp_add("DAY", F.col("vec_id"), F.lit("2000-01-01").cast("timestamp_ntz")).alias("time"), "embedding")
     flat = images.flatten_image(e, "embedding", 8)

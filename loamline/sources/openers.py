@@ -101,4 +101,27 @@ class StackOpener:
                 yield pa.RecordBatch.from_arrays(columns, names=["time", "gpi", "lat", "lon", *variables])
 
 
+@dataclass(frozen=True)
+class RaggedOpener:
+    """Series of their own times one after the other (contiguous ragged arrays): ``row_size`` says how many values a location
+    has, ``location_id`` (or gpi) which one it is."""
+
+    def rows(self, content: bytes, variables: list[str]) -> Iterator[pa.RecordBatch]:
+        nc = netcdf3.opened(content)
+        attrs = {n: v.attrs for n, v in nc.variables.items()}
+        sizes = nc.array("row_size").astype(np.int64).reshape(-1)
+        if (sizes < 0).any() or sizes.sum() != len(nc.array(variables[0]).reshape(-1)):
+            raise EngineError("row_size does not add up to the values")
+        ids = nc.array("location_id" if "location_id" in nc.variables else "gpi").astype(np.int64).reshape(-1)
+        whose = np.repeat(np.arange(len(sizes)), sizes)
+        lat, lon = (netcdf3.decoded(nc, coordinate_of({n: a for n, a in attrs.items() if n in ("lat", "lon", "latitude", "longitude")}, k)).reshape(-1) for k in ("latitude", "longitude"))
+        times = file_times(nc, "time")
+        values = [netcdf3.decoded(nc, v).reshape(-1) for v in variables]
+        for lo in range(0, len(whose), netcdf3.PIXELS_AT_ONCE):
+            part = slice(lo, lo + netcdf3.PIXELS_AT_ONCE)
+            w = whose[part]
+            columns = [pa.array(times[part], pa.timestamp("us")), pa.array(ids[w]), pa.array(lat[w], from_pandas=True), pa.array(lon[w], from_pandas=True), *(pa.array(v[part], from_pandas=True) for v in values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["time", "gpi", "lat", "lon", *variables])
+
+
 OPENERS = {"netcdf": NetCdfOpener(), "csv": CsvOpener()}

@@ -21,8 +21,9 @@ from loamline.operators.compaction import template_regex
 from loamline.operators.grid import land_only
 from loamline.operators.images import daily_mean, in_time, select_known, select_levels
 from loamline.session import EngineError, ship
+from loamline.sources import netcdf3
 from loamline.sources.files import fetched
-from loamline.sources.openers import OPENERS, StackOpener
+from loamline.sources.openers import OPENERS, RaggedOpener, StackOpener
 
 
 def file_catalog(spark: SparkSession, folder: str, pattern: str = "*.nc", fmt: str | None = None, regex: str | None = None) -> DataFrame:
@@ -111,9 +112,10 @@ def read_images(
     return data
 
 
-def read_stacks(spark: SparkSession, folder: str, variables: list[str], pattern: str = "*.nc", opener: StackOpener = StackOpener()) -> DataFrame:
-    """NetCDF files with coordinates and times of their own (images, stacks, or series by cell): ``path, time, gpi, lat, lon`` and the
-    variables, gpi being the place's number in its file; each file is opened by one task."""
+def read_stacks(spark: SparkSession, folder: str, variables: list[str], pattern: str = "*.nc", opener: StackOpener | RaggedOpener = StackOpener()) -> DataFrame:
+    """NetCDF files with coordinates and times of their own: ``path, time, gpi, lat, lon`` and the variables; each file is opened by
+    one task.  In images, stacks and series by cell gpi is the place's number in its file, in ragged series (``RaggedOpener``) its
+    own."""
     ship(spark)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +128,27 @@ def read_stacks(spark: SparkSession, folder: str, variables: list[str], pattern:
     return file_catalog(spark, folder, pattern).select("path").mapInArrow(opened, f"path string, time timestamp_ntz, gpi long, lat double, lon double, {columns}")
 
 
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """A static grid from a Parquet table or a NetCDF file: ``gpi, lat, lon`` and, where there are such, ``cell`` and ``is_land``.
+
+    Of a NetCDF file the variables lat and lon count, along one dimension or as the axes of a regular grid (numbered row by
+    row), and gpi, cell and land_flag (or is_land) of the same shape."""
+    if not path.endswith((".nc", ".nc4", ".h5")):
+        return spark.read.parquet(path)
+    nc = netcdf3.opened(fetched(path))
+    lat, lon = netcdf3.decoded(nc, "lat"), netcdf3.decoded(nc, "lon")
+    if lat.ndim == 1 and nc.dim_names("lat") != nc.dim_names("lon"):
+        lat, lon = np.meshgrid(lat, lon, indexing="ij")
+    table = pd.DataFrame({"gpi": np.arange(lat.size), "lat": lat.reshape(-1), "lon": lon.reshape(-1)})
+    for column, names in (("gpi", ("gpi",)), ("cell", ("cell",)), ("is_land", ("is_land", "land_flag"))):
+        for name in names:
+            if name in nc.variables and nc.array(name).size == len(table):
+                values = nc.array(name).reshape(-1)
+                table[column] = values != 0 if column == "is_land" else values.astype(np.int64)
+    df = spark.createDataFrame(table)
+    return df.withColumn("cell", F.col("cell").cast("int")) if "cell" in df.columns else df
+
+
 def mask_of(spark: SparkSession, spec: DataFrame | str, folder: str | None = None) -> DataFrame:
     """A landmask (gpi, is_land): a table, ``file:variable`` of a NetCDF file, or a variable of ``folder``'s first image; a
     number other than 0 is land, a missing one is none."""
@@ -176,28 +199,34 @@ def _one(regex: str, name: str) -> str:
     return found[0]
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
-                    base = name.rsplit("/", 1)[-1]
-                    gpi, lat, lon = int(_one(r"gpi=([0-9]+)", base)), float(_one(r"lat=([-0-9.]+)(?=_|\.csv)", base).rstrip(".")), float(_one(r"lon=([-0-9.]+)(?=_|\.csv)", base).rstrip("."))
-                    table = pd.read_csv(z.open(name), index_col=0)
-                    times = pd.to_datetime(table.index, errors="coerce", format="mixed")
-                    long = table.apply(pd.to_numeric, errors="coerce").set_axis(range(len(table)), axis=0).stack().reset_index()
-                    long.columns = ["row", "variable", "value"]
-                    yield pd.DataFrame({"path": path, "gpi": gpi, "lat": lat, "lon": lon, "time": times[long["row"]], "variable": long["variable"].astype(str), "value": long["value"]})
+def _unzip(wanted: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
+                        base = name.rsplit("/", 1)[-1]
+                        gpi, lat, lon = int(_one(r"gpi=([0-9]+)", base)), float(_one(r"lat=([-0-9.]+)(?=_|\.csv)", base).rstrip(".")), float(_one(r"lon=([-0-9.]+)(?=_|\.csv)", base).rstrip("."))
+                        if wanted is not None and gpi != wanted:
+                            continue
+                        table = pd.read_csv(z.open(name), index_col=0)
+                        times = pd.to_datetime(table.index, errors="coerce", format="mixed")
+                        long = table.apply(pd.to_numeric, errors="coerce").set_axis(range(len(table)), axis=0).stack().reset_index()
+                        long.columns = ["row", "variable", "value"]
+                        yield pd.DataFrame({"path": path, "gpi": gpi, "lat": lat, "lon": lon, "time": times[long["row"]], "variable": long["variable"].astype(str), "value": long["value"]})
+
+    return run
 
 
-def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_zipped_csv(spark: SparkSession, path: str, gpi: int | None = None) -> DataFrame:
     """Zipped CSV series in long form: path, gpi, lat, lon, time, variable, value.
 
     Each CSV holds one location, its place is in the file name (gpi, lat and lon exactly once, else an error), and its
-    first column is the time.  Missing numbers are left out; archives are read in parallel."""
+    first column is the time.  Missing numbers are left out; archives are read in parallel.  With ``gpi`` only the file of that
+    location is unpacked."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(_unzip, "path string, gpi long, lat double, lon double, time timestamp_ntz, variable string, value double")
+    return files.mapInPandas(_unzip(gpi), "path string, gpi long, lat double, lon double, time timestamp_ntz, variable string, value double")
 
 
 def zip_metadata(content: bytes) -> dict:

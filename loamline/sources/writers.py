@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loamline.functions.cf import COORDINATES, attributes_of
 from loamline.functions.chunks import images_in
 from loamline.functions.strptime import strptime_parts
-from loamline.operators.grid import near_stations, with_cells
+from loamline.operators.grid import target_points, with_cells
 from loamline.operators.images import in_time
 from loamline.operators.sensors import class_counts, labelled, qualified
 from loamline.operators.series import transposed
@@ -187,12 +187,14 @@ def _zipped(target: str, name: str, variables: list[str], metadata: str):
     return run
 
 
-def write_csv_dataset(obs: DataFrame, folder: str, name: str, variables: list[str], metadata: dict | None = None, stations: DataFrame | None = None, radius_km: float = 2.0) -> str:
-    """A zip of CSV series with metadata.yml; with ``stations`` only series near one (ids keep their numbers).  One task writes
-    the archive, which is one file, series by series."""
-    if stations is not None:
-        points = obs.select("gpi", "lat", "lon").distinct()
-        obs = obs.join(near_stations(points, stations, "gpi", radius_km).select("gpi"), "gpi", "left_semi")
+def write_csv_dataset(
+    obs: DataFrame, folder: str, name: str, variables: list[str], metadata: dict | None = None, stations: DataFrame | None = None, radius_km: float = 2.0, only: list[tuple[float, float]] | None = None
+) -> str:
+    """A zip of CSV series with metadata.yml; with ``stations``, or ``only`` some places, the series near one (ids keep their
+    numbers).  One task writes the archive, which is one file, series by series."""
+    if stations is not None or only is not None:
+        kept = target_points(obs.select("gpi", "lat", "lon").distinct(), stations, only, radius_km)
+        obs = obs.join(kept.select("gpi"), "gpi", "left_semi")
     target = f"{folder}/{name}.zip"
     text = "".join(f"{json.dumps(str(k))}: {json.dumps(v, default=str)}\n" for k, v in (metadata or {}).items())  # JSON is YAML
     rows = obs.select("gpi", "lat", "lon", "time", *variables).repartition(1).sortWithinPartitions("gpi", "time")
@@ -201,16 +203,36 @@ def write_csv_dataset(obs: DataFrame, folder: str, name: str, variables: list[st
     return target
 
 
-def write_ragged(obs: DataFrame, path: str, stations: DataFrame | None = None, radius_km: float = 2.0, cellsize: float | None = None) -> DataFrame:
-    """Series with their own times by cell; with ``stations`` only those near one, and at least one is required."""
-    points = obs.select("gpi", "lat", "lon").distinct()
-    if stations is not None:
-        points = near_stations(points, stations, "gpi", radius_km)
+def write_ragged(obs: DataFrame, path: str, stations: DataFrame | None = None, radius_km: float = 2.0, cellsize: float | None = None, only: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Series with their own times by cell; with ``stations`` (or places in ``only``) those near one, and at least one is
+    required."""
+    points = target_points(obs.select("gpi", "lat", "lon").distinct(), stations, only, radius_km)
     if points.isEmpty():
         raise EngineError("no series near a station")
     return write_cells(obs.drop("lat", "lon"), points, path, overwrite=True, cellsize=cellsize)
 
 
+def write_netcdf_ragged(obs: DataFrame, variables: list[str], folder: str, name: str = "ragged") -> DataFrame:
+    """Series with their own times as contiguous ragged arrays, one NetCDF file per cell; returns (cell, file, bytes).  ``obs`` needs
+    cell, gpi, lat, lon and time; a cell is what one task holds."""
+    attrs = {v: {k: x for k, x in a.items() if isinstance(x, str | int | float)} for v, a in attributes_of(obs).items()}
+
+    def save(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["gpi", "time"])
+        places = frame.groupby("gpi", sort=True).agg(lat=("lat", "first"), lon=("lon", "first"), n=("lat", "size"))
+        seconds = (frame["time"].to_numpy() - np.datetime64("1970-01-01")) / np.timedelta64(1, "s")
+        content = encoded({"locations": len(places), "obs": len(frame)}, {
+            "location_id": (["locations"], places.index.to_numpy(float), {}), "lat": (["locations"], places["lat"].to_numpy(), COORDINATES["lat"]), "lon": (["locations"], places["lon"].to_numpy(), COORDINATES["lon"]),
+            "row_size": (["locations"], places["n"].to_numpy("i4"), {"sample_dimension": "obs"}), "time": (["obs"], seconds, COORDINATES["time"] | {"units": "seconds since 1970-01-01"}),
+            **{v: (["obs"], frame[v].to_numpy(float), attrs.get(v, {})) for v in variables},
+        })
+        cell = int(frame["cell"].iloc[0])
+        stored(f"{folder}/{name}_{cell:04d}.nc", content)
+        return pd.DataFrame({"cell": [cell], "file": [f"{folder}/{name}_{cell:04d}.nc"], "bytes": [len(content)]})
+
+    return cut(obs.where("time IS NOT NULL").select("cell", "gpi", "lat", "lon", "time", *variables).groupBy("cell").applyInPandas(save, "cell int, file string, bytes long"), "written")
+
+
 def export_sensors(classified: DataFrame, stations: DataFrame, path: str) -> None:
     """Classified sensors with their station columns as one ``;`` CSV (a table of thousands of rows at most)."""
     classified.drop("criterion").join(stations, "idx").coalesce(1).write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
