@@ -42,16 +42,16 @@ def instant(text: Column) -> Column:
 
 
 def version_key(text: Column) -> Column:
-    """Version numbers component by component, comparable as an array: left-out components are 0, so trailing zeros go."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)")), lambda p: p.try_cast("decimal(38,0)"))
-    last = F.array_max(F.transform(parts, lambda p, i: F.when(p != 0, i + 1).otherwise(0)))
-    return F.when(text.isNull(), F.array().cast("array<decimal(38,0)>")).otherwise(F.slice(parts, F.lit(1), F.coalesce(last, F.lit(0))))
+    """The digits of each version number without leading zeros: left-out components are 0, so trailing zeros go."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)")), lambda p: F.ltrim(p, F.lit("0")))
+    last = F.array_max(F.transform(parts, lambda p, i: F.when(p != "", i + 1).otherwise(0)))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.slice(parts, F.lit(1), F.coalesce(last, F.lit(0))))
 
 
 def rank_text(version: Column, produced: Column) -> Column:
     """Version and production time as a text in the same order: each number behind its count of digits, a missing time
     first."""
-    digits = F.transform(version, lambda p: F.concat(F.lpad(F.length(p.cast("string")).cast("string"), 2, "0"), p.cast("string")))
+    digits = F.transform(version, lambda p: F.concat(F.lpad(F.length(p).cast("string"), 4, "0"), p))
     time = F.lpad((F.unix_micros(produced.cast("timestamp")) + F.lit(10**17)).cast("string"), 18, "0")
     return F.concat(F.array_join(digits, ""), F.lit(" "), F.coalesce(time, F.lit("")))
 
@@ -72,7 +72,7 @@ def image_files(versions: DataFrame) -> DataFrame:
     kinds = dict(versions.dtypes)
     entity = F.struct(F.lower(F.trim("prod")).alias("prod"), F.trim("area").alias("area"), instant(F.col("img_datetime")).alias("at"))
     rows = versions.select(entity.alias("entity"), F.col("image_id").cast("long").alias("record"), version_key(F.col("vers")).alias("version"), "produced_at", *(claim_text(f, kinds[f]).alias(f) for f in FIELDS))
-    part = lambda i: F.coalesce(F.get("version", F.lit(i)), F.lit(0)).cast("string")
+    part = lambda i: F.coalesce(F.nullif(F.get("version", F.lit(i)), F.lit("")), F.lit("0"))
     source = F.concat(F.col("entity.prod"), F.lit("/"), part(0), F.lit("."), part(1))
     return rows.where("record IS NOT NULL AND entity.prod IS NOT NULL AND entity.area IS NOT NULL AND entity.at IS NOT NULL").select("entity", "record", rank_text(F.col("version"), F.col("produced_at")).alias("rank"), source.alias("source"), *FIELDS)
 
