@@ -15,7 +15,8 @@ from loamline.functions import cf
 from loamline.functions import times as T
 from loamline.functions.missing import present
 from loamline.operators import grid, images, series, swath, uploads
-from loamline.plans.catalog import FRM_SQL, GRID_SQL, KM, OBS_SQL, STATION_SQL, _grid, _obs, _stations
+from loamline.functions.chunks import chunk_sizes, images_in
+from loamline.plans.catalog import FRM_SQL, GRID_SQL, KM, OBS_SQL, STATION_SQL, _grid, _obs, _sensors, _stations
 from loamline.session import read_table, work_path
 from loamline.sources import netcdf3, readers, writers
 from loamline.sources.files import stored
@@ -418,3 +419,66 @@ def stream_first(spark, folder):
     query = streams.first_deliveries(raw, ["obs_id"]).select("obs_id", "gpi").writeStream.format("parquet").option("checkpointLocation", work_path(spark, "stream")).trigger(availableNow=True).start(path)
     query.awaitTermination()
     return spark.read.parquet(path)
+
+
+# --- metadata and reports, worked out by tasks -------------------------------------------------------------------------
+
+
+def _recognised(batches):
+    for batch in batches:
+        out = []
+        for k in batch["n_nationkey"].tolist():
+            attrs = {"a": [{"standard_name": "latitude"}, {"long_name": "Latitude"}, {"units": "degrees_north"}, {"_CoordinateAxisType": "Lat"}, {"units": "degreeN"}][k % 5], "b": {"units": "degrees_east"}, "t": {"units": "days since 2000-01-01"}, "v": {}}
+            dims = [["y", "x"], ["north_south", "east_west"], ["x", "row"], ["rows", "columns"]][k % 4]
+            lat_dims, lon_dims = [(["lat"], ["lon"]), (["loc"], ["loc"]), (["y", "x"], ["y", "x"])][k % 3]
+            y, x = cf.yx_dims(dims)
+            out.append((k, cf.coordinate_of(attrs, "latitude"), cf.coordinate_of(attrs, "longitude"), cf.time_of(attrs, {"t": ["t"]}), y, x, grid.grid_type(lat_dims, lon_dims), len(cf.with_time_axis(["lat", "lon"], ("lat", "lon")))))
+        yield pd.DataFrame(out, columns=["key", "lat", "lon", "time", "y", "x", "grid", "axes"])
+
+
+@register("""SELECT n_nationkey AS key, 'a' AS lat, 'b' AS lon, 't' AS time, CASE n_nationkey % 4 WHEN 0 THEN 'y' WHEN 1 THEN 'north_south' WHEN 2 THEN 'row' ELSE 'rows' END AS y,
+ CASE n_nationkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'east_west' WHEN 2 THEN 'x' ELSE 'columns' END AS x, CASE n_nationkey % 3 WHEN 0 THEN 'regular' WHEN 1 THEN 'unstructured' ELSE 'curvilinear' END AS grid, CAST(3 AS INTEGER) AS axes FROM nation""")
+def coordinates_recognised(spark, folder):
+    """Coordinates, dimensions and the type of grid by their metadata."""
+    return read_table(spark, folder, "nation").mapInPandas(_recognised, "key int, lat string, lon string, time string, y string, x string, grid string, axes int")
+
+
+def _planned(batches):
+    for batch in batches:
+        rows = [(int(k), *chunk_sizes((int(s) * 40, int(s) * 30, 1000), 8.0, 8), images_in(1.0, (int(s) * 40, 100), 8)) for k, s in zip(batch["p_partkey"], batch["p_size"], strict=True)]
+        yield pd.DataFrame(rows, columns=["p_partkey", "a", "b", "c", "images"])
+
+
+@register("SELECT p_partkey, CAST(least(p_size * 40, 31) AS INTEGER) AS a, CAST(least(p_size * 30, 31) AS INTEGER) AS b, CAST(1000 AS INTEGER) AS c, CAST(floor(1e9 / (p_size * 40 * 100 * 8)) AS BIGINT) AS images FROM part")
+def chunks_planned(spark, folder):
+    """Chunks of 8 MB with the last dimension whole, and how many images fit in a gigabyte."""
+    return read_table(spark, folder, "part").where("p_size > 0").mapInPandas(_planned, "p_partkey long, a int, b int, c int, images long")
+
+
+def _reported(batches):
+    for batch in batches:
+        rows = []
+        for name, content in zip(batch["name"], batch["content"], strict=True):
+            info = uploads.validate_zip(bytes(content)).info
+            rows.append((name, info["csv_files"], info["total_files"], info["bytes"], info.get("row_count")))
+        yield pd.DataFrame(rows, columns=["name", "csv_files", "total_files", "bytes", "row_count"]).astype({"row_count": "Int64"})
+
+
+@register("""
+WITH named AS (SELECT DISTINCT series_id // 20 AS number, file_name FROM csv_series WHERE file_name IS NOT NULL AND lower(file_name) LIKE '%.csv')
+SELECT number || '.zip' AS name, count(*) AS csv_files, count(*) AS total_files, count(*) * 17 AS bytes, CAST(1 AS BIGINT) AS row_count FROM named GROUP BY number
+""")
+def archive_reports(spark, folder):
+    """What a check notes of an archive: files, unpacked bytes, and the rows of its first series."""
+    c = read_table(spark, folder, "csv_series").where("file_name IS NOT NULL AND lower(file_name) LIKE '%.csv'")
+    packed = c.select(F.floor(F.col("series_id") / 20).alias("number"), "file_name").groupBy("number").agg(F.collect_set("file_name").alias("names"))
+    return packed.mapInPandas(_archives, "name string, content binary").mapInPandas(_reported, "name string, csv_files long, total_files long, bytes long, row_count long")
+
+
+@register(f"SELECT t.id AS idx, t.frm_class, 'S' || (t.id % 7) AS station FROM ({FRM_SQL}) t")
+def sensors_with_stations(spark, folder):
+    """The sensor file with the columns of its stations, joined by index."""
+    path = work_path(spark, "stations")
+    classified = _sensors(spark, folder).withColumnRenamed("id", "idx").select("idx", "frm_class", "criterion")
+    writers.export_sensors(classified, classified.select("idx", F.concat(F.lit("S"), (F.col("idx") % 7).cast("string")).alias("station")).distinct(), path)
+    return spark.read.option("sep", ";").option("header", "true").csv(path).select(F.col("idx").cast("bigint").alias("idx"), "frm_class", "station")
