@@ -26,10 +26,17 @@ from loamline.operators.skew import salted_join
 from loamline.session import cut
 
 EARTH_KM = 6371.0
-LEVELS = 12  # 2 / 4096 of the radius: cells of about 3 km
+LEVELS, STRIDE = 20, 2  # cells of 12 m at the deepest; levels that a step of the large join goes down
 SLACK = 1e-12  # of the squared chord, for rounding
 RIGHT_AT_MOST = 200_000
-PAIRS_AT_ONCE, ROWS_AT_ONCE = 20_000, 500_000
+PAIRS_AT_ONCE, ROWS_AT_ONCE, FEW = 20_000, 500_000, 16
+
+
+def depth_of(radius_km: float | None) -> int:
+    """The level at which cells are about half as wide as a radius: further down little can be discarded any more."""
+    if not radius_km or radius_km <= 0:
+        return LEVELS
+    return min(LEVELS, max(3 * STRIDE, STRIDE * (math.ceil(math.log2(4 * EARTH_KM / radius_km)) // STRIDE)))
 
 
 def valid_points(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -54,8 +61,8 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 
 class Tree:
-    """The octree of some points: for each level the nodes' boxes, where their children begin, and (for points with a
-    reach) the greatest and least reach below; the last level's children are the points in ``order``."""
+    """The octree of some points: for each level the nodes' boxes, where their children and their points in ``order`` begin, and
+    (for points with a reach) the greatest and least reach below."""
 
     def __init__(self, lat: np.ndarray, lon: np.ndarray, reach: np.ndarray | None = None):
         a, o = np.radians(lat), np.radians(lon)
@@ -68,17 +75,18 @@ class Tree:
         self.order = np.argsort(code, kind="stable")
         node, low, high = code[self.order], xyz[self.order], xyz[self.order]
         most = least = None if reach is None else reach[self.order]
-        self.low, self.high, self.start, self.most, self.least = [], [], [], [], []
+        self.low, self.high, self.start, self.points, self.most, self.least = [], [], [], [], [], []
         for level in range(LEVELS, -1, -1):
             first = np.flatnonzero(np.diff(node, prepend=-1)) if len(node) else np.zeros(0, int)
             self.start.append(np.append(first, len(node)))
+            self.points.append(self.points[-1][self.start[-1]] if self.points else self.start[-1])
             if len(first):
                 low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
                 if reach is not None:
                     most, least = np.maximum.reduceat(most, first), np.minimum.reduceat(least, first)
             node = node[first] >> 3 if level else node[first]
             self.low.append(low), self.high.append(high), self.most.append(most), self.least.append(least)
-        for kept in (self.low, self.high, self.start, self.most, self.least):
+        for kept in (self.low, self.high, self.start, self.points, self.most, self.least):
             kept.reverse()  # by level, the root first
 
 
@@ -90,34 +98,42 @@ def _combined(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np
     return i, first_a[i] + w // n_b[i], first_b[i] + w % n_b[i]
 
 
-def dual_tree(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def dual_tree(a: Tree, b: Tree, depth: int = LEVELS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place in a.order, place in b.order, sure) of point pairs that may be near, in slices; ``sure`` pairs come from nodes that
-    were accepted whole."""
+    were accepted whole.  Pairs of nodes with few points, or at ``depth``, are taken apart into points."""
     if not len(a.order) or not len(b.order):
         return
     todo = [(0, np.zeros(1, int), np.zeros(1, int), np.zeros(1, bool))]
     while todo:
-        level, pa_, pb, sure = todo.pop()
-        if len(pa_) > PAIRS_AT_ONCE:
-            half = len(pa_) // 2
-            todo += [(level, pa_[:half], pb[:half], sure[:half]), (level, pa_[half:], pb[half:], sure[half:])]
+        level, na, nb, sure = todo.pop()
+        if len(na) > PAIRS_AT_ONCE:
+            half = len(na) // 2
+            todo += [(level, na[:half], nb[:half], sure[:half]), (level, na[half:], nb[half:], sure[half:])]
             continue
-        sa, sb = a.start[level], b.start[level]
-        n_a, n_b = sa[pa_ + 1] - sa[pa_], sb[pb + 1] - sb[pb]
-        if level == LEVELS and len(pa_) > 1 and (n_a * n_b).sum() > ROWS_AT_ONCE:
-            half = len(pa_) // 2
-            todo += [(level, pa_[:half], pb[:half], sure[:half]), (level, pa_[half:], pb[half:], sure[half:])]
-            continue
-        i, ca, cb = _combined(sa[pa_], n_a, sb[pb], n_b)
-        s = sure[i]
-        if level == LEVELS:
-            yield ca, cb, s
+        pa_, pb = a.points[level], b.points[level]
+        n_a, n_b = pa_[na + 1] - pa_[na], pb[nb + 1] - pb[nb]
+        ends = sure | (n_a * n_b <= FEW) | (level == depth)
+        e, n = np.flatnonzero(ends), n_a * n_b
+        for i in e[n[e] > ROWS_AT_ONCE]:  # a crowded pair: some points of a at a time
+            by = max(1, ROWS_AT_ONCE // int(n_b[i]))
+            for lo in range(0, int(n_a[i]), by):
+                _, x, y = _combined(pa_[na[[i]]] + lo, np.array([min(by, int(n_a[i]) - lo)]), pb[nb[[i]]], n_b[[i]])
+                yield x, y, np.full(len(x), sure[i])
+        e = e[n[e] <= ROWS_AT_ONCE]
+        for part in np.split(e, np.flatnonzero(np.diff(np.cumsum(n[e]) // ROWS_AT_ONCE)) + 1) if len(e) else ():
+            i, x, y = _combined(pa_[na[part]], n_a[part], pb[nb[part]], n_b[part])
+            yield x, y, sure[part][i]
+        go = np.flatnonzero(~ends)
+        if not len(go):
             continue
+        sa, sb = a.start[level], b.start[level]
+        na, nb = na[go], nb[go]
+        i, ca, cb = _combined(sa[na], sa[na + 1] - sa[na], sb[nb], sb[nb + 1] - sb[nb])
         level += 1
         lo_a, hi_a, lo_b, hi_b = a.low[level][ca], a.high[level][ca], b.low[level][cb], b.high[level][cb]
         apart = np.maximum(np.maximum(lo_a - hi_b, lo_b - hi_a), 0.0)
         across = np.maximum(hi_a - lo_b, hi_b - lo_a)
-        s |= (across * across).sum(1) <= a.least[level][ca] * (1 - 1e-9) - SLACK
+        s = (across * across).sum(1) <= a.least[level][ca] * (1 - 1e-9) - SLACK
         keep = np.flatnonzero(s | ((apart * apart).sum(1) <= a.most[level][ca] * (1 + 1e-9) + SLACK))
         if len(keep):
             todo.append((level, ca[keep], cb[keep], s[keep]))
@@ -141,7 +157,7 @@ def _searcher(ids: pa.Array, lat: np.ndarray, lon: np.ndarray, names: tuple[str,
             by_place, first = np.argsort(whose, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(places)))])
             chord = 2 * np.sin(np.minimum(places[:, 2] / (2 * EARTH_KM), math.pi / 2))
             mine = Tree(places[:, 0], places[:, 1], chord * chord)
-            for x, y, sure in dual_tree(mine, tree):
+            for x, y, sure in dual_tree(mine, tree, depth_of(float(np.quantile(places[:, 2], 0.1)) if len(places) else None)):
                 p = mine.order[x]
                 km = _km(places[p, 0], places[p, 1], lat[y], lon[y])
                 near = np.flatnonzero(sure | (km <= places[p, 2]))
@@ -159,20 +175,19 @@ def _searcher(ids: pa.Array, lat: np.ndarray, lon: np.ndarray, names: tuple[str,
 # --- the join of two large sides --------------------------------------------------------------------------------------
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Adds x, y, z and the code of the leaf cell: three bits a level, the coarsest first."""
+def _placed(df: DataFrame, depth: int) -> DataFrame:
+    """Adds x, y, z and the code of the leaf cell at ``depth``: three bits a level, the coarsest first."""
     lat, lon = F.radians("lat"), F.radians("lon")
     df = df.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
-    cell = {c: F.least(F.floor((F.col(c) + 1) * 2 ** (LEVELS - 1)), F.lit(2**LEVELS - 1)).cast("long") for c in "xyz"}
+    cell = {c: F.least(F.floor((F.col(c) + 1) * 2 ** (depth - 1)), F.lit(2**depth - 1)).cast("long") for c in "xyz"}
     code = F.lit(0).cast("long")
-    for bit in range(LEVELS):
+    for bit in range(depth):
         for k, c in enumerate("xyz"):
             code = code.bitwiseOR(F.shiftleft(F.shiftright(cell[c], bit).bitwiseAND(F.lit(1).cast("long")), 3 * bit + k))
     return df.withColumn("leaf", code)
 
 
 BOX = [f"{f}_{c}" for c in "xyz" for f in ("lo", "hi")]
-STRIDE = 2  # levels that a step goes down
 
 
 def _leaves(points: DataFrame, side: str) -> DataFrame:
@@ -182,10 +197,10 @@ def _leaves(points: DataFrame, side: str) -> DataFrame:
     return points.groupBy(F.col("leaf").alias(f"{side}_node")).agg(*aggs)
 
 
-def _levels(leaves: DataFrame, side: str) -> dict[int, DataFrame]:
+def _levels(leaves: DataFrame, side: str, depth: int) -> dict[int, DataFrame]:
     """The nodes of every step's level, each rolled up from the one below."""
-    out = {LEVELS: cut(leaves, f"near-{side}-{LEVELS}")}
-    for level in range(LEVELS - STRIDE, 0, -STRIDE):
+    out = {depth: cut(leaves, f"near-{side}-{depth}")}
+    for level in range(depth - STRIDE, 0, -STRIDE):
         below = out[level + STRIDE]
         aggs = [(F.min if c.startswith("lo") else F.max)(f"{side}_{c}").alias(f"{side}_{c}") for c in BOX] + [F.sum(f"{side}_n").alias(f"{side}_n")]
         if side == "a":
@@ -206,16 +221,17 @@ def _gap2() -> tuple[Column, Column]:
 
 def _large_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, hot_leaf: int) -> DataFrame:
     place = ["lat", "lon", "radius"]
-    a = cut(_placed(left.select(*place).distinct()).withColumn("reach", chord2_of(F.col("radius"))).select(*place, "leaf", "x", "y", "z", "reach"), "near-a")
-    b = cut(_placed(right).select(right_id, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "leaf", "x", "y", "z"), "near-b")
-    nodes_a, nodes_b = _levels(_leaves(a, "a"), "a"), _levels(_leaves(b, "b"), "b")
+    depth = depth_of(left.agg(F.percentile_approx("radius", 0.1)).first()[0])
+    a = cut(_placed(left.select(*place).distinct(), depth).withColumn("reach", chord2_of(F.col("radius"))).select(*place, "leaf", "x", "y", "z", "reach"), "near-a")
+    b = cut(_placed(right, depth).select(right_id, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "leaf", "x", "y", "z"), "near-b")
+    nodes_a, nodes_b = _levels(_leaves(a, "a"), "a", depth), _levels(_leaves(b, "b"), "b", depth)
     least, most = _gap2()
     pairs = a.sparkSession.createDataFrame([(0, 0, False)], "a_parent long, b_parent long, sure boolean")  # the pair of roots
-    for level in range(STRIDE, LEVELS + 1, STRIDE):
+    for level in range(STRIDE, depth + 1, STRIDE):
         below = pairs.join(nodes_a[level], "a_parent").join(nodes_b[level], "b_parent")
         below = below.withColumn("sure", F.col("sure") | (most <= F.col("reach_min") * (1 - 1e-9) - SLACK)).where(F.col("sure") | (least <= F.col("reach_max") * (1 + 1e-9) + SLACK))
         pairs = cut(below.select("a_node", "b_node", "a_n", "b_n", "sure"), f"near-pairs-{level}")
-        if level < LEVELS:
+        if level < depth:
             pairs = pairs.select(F.col("a_node").alias("a_parent"), F.col("b_node").alias("b_parent"), "sure")
 
     def parts(side: str) -> Column:
@@ -229,7 +245,7 @@ def _large_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
     every = lambda side: F.explode(F.sequence(F.lit(0), parts(side) - 1)).alias(f"{side}_part")
     middle = pairs.select("a_node", "b_node", "b_n", "sure", every("a")).select("a_node", "b_node", "sure", "a_part", every("b"))
-    met = middle.join(spread(a, nodes_a[LEVELS], "a", place), ["a_node", "a_part"]).join(spread(b, nodes_b[LEVELS], "b", [right_id, "b_lat", "b_lon"]), ["b_node", "b_part"])
+    met = middle.join(spread(a, nodes_a[depth], "a", place), ["a_node", "a_part"]).join(spread(b, nodes_b[depth], "b", [right_id, "b_lat", "b_lon"]), ["b_node", "b_part"])
     met = met.withColumn("km", great_circle_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("sure") | (F.col("km") <= F.col("radius")))
     return salted_join(left, met.select(*place, right_id, "km"), place).select(left_id, right_id, "km")
 

@@ -51,6 +51,22 @@ def test_pairs_are_accepted_whole():
     assert not list(dual_tree(Tree(a, o, reach), Tree(p - 60, q)))
 
 
+def test_crowded_places_in_slices(spark, monkeypatch):
+    """Many points at nearly one place, more pairs than a slice holds, at any depth."""
+    import loamline.operators.near as near
+
+    rnd = np.random.default_rng(4)
+    a, o, p, q = (10 + rnd.normal(0, 0.001, 70) for _ in range(4))
+    reach = np.full(70, (2 * math.sin(0.1 / (2 * 6371))) ** 2)
+    expected = {(i, j) for i in range(70) for j in range(70) if km((a[i], o[i]), (p[j], q[j])) <= 0.1}
+    for rows, depth in ((500_000, 20), (7, 20), (7, 6), (500_000, 2)):
+        monkeypatch.setattr(near, "ROWS_AT_ONCE", rows)
+        left, right = Tree(a, o, reach), Tree(p, q)
+        met = [(left.order[i], right.order[j], s) for x, y, sure in dual_tree(left, right, depth) for i, j, s in zip(x, y, sure, strict=True)]
+        assert len(met) == len({m[:2] for m in met}) and expected <= {m[:2] for m in met} and {m[:2] for m in met if m[2]} <= expected
+    assert [near.depth_of(r) for r in (None, 0.0, 0.001, 0.3, 150, 20_000)] == [20, 20, 20, 16, 8, 6]
+
+
 def test_nearest(spark):
     grid = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 50.0, 50.0), (4, 50.0, 50.0)], "gpi long, lat double, lon double")
     points = spark.createDataFrame([(10, 0.1, 0.2), (11, -80.0, -170.0), (12, 49.0, 50.0), (13, None, 1.0)], "id long, lat double, lon double")
