@@ -12,7 +12,7 @@ from loamline.operators.regular_grid import missing_days, regularize
 from loamline.operators.schema_drift import drift_report, unified_records, unified_table
 from loamline.operators.spikes import flag_readings
 from loamline.operators.time_dictionary import kept_dictionary, normalise_times
-from loamline.plans import drift_sql
+from loamline.plans import drift_sql, times_sql
 from loamline.session import read_table, work_path
 
 
@@ -130,6 +130,7 @@ SELECT reader_name, image_time, gpi, ssm, ssm_noise, file_id FROM ranked WHERE r
 """,
     "p4_found": drift_sql.FOUND,
     "p4_unified": drift_sql.UNION,
+    "p5_found": times_sql.FOUND,
     "p6_found": """
 SELECT DISTINCT s.series_id, t.station_id FROM csv_series s JOIN ismn_stations t
 ON 2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(t.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - s.lon) / 2), 2)))) <= s.radius_km
