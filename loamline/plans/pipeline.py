@@ -34,6 +34,11 @@ def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
     return regularize(_readings(spark, folder)).select("sensor", "gpi", "day", "missing", F.when(~F.col("missing"), F.round("value", 6)).alias("observed"))
 
 
+def p1_fitted(spark: SparkSession, folder: str) -> DataFrame:
+    """The regular daily series; the regression and what fills gaps to four digits."""
+    return regularize(_readings(spark, folder)).select("sensor", "gpi", "day", "missing", F.when(F.col("missing"), F.round("value", 4)).otherwise(F.round("value", 6)).alias("value"), F.round("fitted", 4).alias("fitted"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return superfluous_files(lambda: read_table(spark, folder, "image_files"), read_table(spark, folder, "image_readers"))
 
@@ -75,7 +80,7 @@ def p7_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return flag_readings(_readings(spark, folder)).groupBy("sensor", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_series, p1_grid, p2_found, p2_compacted, p4_found, p4_unified, p4_table, p5_found, p6_found, p7_found, p7_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_series, p1_grid, p1_fitted, p2_found, p2_compacted, p4_found, p4_unified, p4_table, p5_found, p6_found, p7_found, p7_reasons)}
 
 READINGS_SQL = """
 SELECT 'smap' AS sensor, gpi, acquisition_time + 946728000 AS unix, soil_moisture AS value, obs_id FROM smap_obs
@@ -87,6 +92,33 @@ WHERE acquisition_time IS NOT NULL AND NOT isnan(acquisition_time) AND acquisiti
   AND soil_moisture IS NOT NULL AND NOT isnan(soil_moisture) AND soil_moisture <> -999
 """
 
+
+
+def fitted_sql(size: int = 6, ridge: float = 1e-4) -> str:
+    """The regression by elimination on the summed normal equations, and the bridge over gaps by the observed days around."""
+    t = "((day - 16000) / 365.2425)"
+    x = ["1.0::DOUBLE", t, *(f"{f}({2 * h} * pi() * {t})" for h in (1, 2) for f in ("cos", "sin"))]
+    sums = [f"sum({x[i]} * {x[j]}) + {'1e-12' if i == j == 0 else f'{ridge} * count(*)' if i == j else '0'} AS a{i}{j}" for i in range(size) for j in range(i, size)] + [f"sum({x[i]} * value) AS b{i}" for i in range(size)]
+    steps = [f"s0 AS (SELECT sensor, gpi, {', '.join(sums)} FROM seen WHERE value IS NOT NULL GROUP BY sensor, gpi)"]
+    for k in range(size - 1):
+        rest = [f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} AS a{i}{j}" for i in range(k + 1, size) for j in range(i, size)] + [f"b{i} - a{k}{i} * b{k} / a{k}{k} AS b{i}" for i in range(k + 1, size)]
+        done = [f"a{i}{j}" for i in range(k + 1) for j in range(i, size)] + [f"b{i}" for i in range(k + 1)]
+        steps.append(f"s{k + 1} AS (SELECT sensor, gpi, {', '.join(done + rest)} FROM s{k})")
+    back = [f"(b{i}{''.join(f' - a{i}{j} * c{j}' for j in range(i + 1, size))}) / a{i}{i} AS c{i}" for i in reversed(range(size))]
+    fit = " + ".join(f"c{i} * {x[i]}" for i in range(size))
+    good = "CASE WHEN value IS NOT NULL THEN {} END"
+    around = [f"last_value({good.format(c)} IGNORE NULLS) OVER before AS {c}_a, first_value({good.format(c)} IGNORE NULLS) OVER after AS {c}_b" for c in ("day", "rest")]
+    return f"""
+WITH seen AS MATERIALIZED (SELECT sensor, gpi, CAST(floor(unix / 86400) AS BIGINT) AS day, avg(CASE WHEN value BETWEEN 0 AND 1 THEN value END) AS value FROM ({READINGS_SQL}) r GROUP BY ALL),
+{", ".join(steps)}, coefficients AS MATERIALIZED (SELECT sensor, gpi, {", ".join(back)} FROM s{size - 1}),
+every AS (SELECT sensor, gpi, unnest(range(min(day), max(day) + 1)) AS day FROM seen GROUP BY sensor, gpi),
+fits AS (SELECT e.sensor, e.gpi, e.day, s.day IS NULL AS missing, s.value, {fit.replace("day", "e.day")} AS fitted FROM every e LEFT JOIN seen s USING (sensor, gpi, day) LEFT JOIN coefficients c ON c.sensor = e.sensor AND c.gpi = e.gpi),
+rests AS (SELECT *, value - fitted AS rest FROM fits),
+spans AS (SELECT *, {", ".join(around)} FROM rests WINDOW before AS (PARTITION BY sensor, gpi ORDER BY day ROWS UNBOUNDED PRECEDING), after AS (PARTITION BY sensor, gpi ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT sensor, gpi, CAST(day AS INTEGER) AS day, missing, CASE WHEN NOT missing THEN round(value, 6) ELSE round(fitted + CASE WHEN day_a IS NULL THEN rest_b WHEN day_b IS NULL THEN rest_a ELSE rest_a + (rest_b - rest_a) * (day - day_a) / (day_b - day_a) END, 4) END AS value, round(fitted, 4) AS fitted FROM spans
+"""
+
+
 #: Matching image files with their image time; the readers' patterns are written out.
 FILES_SQL = r"""
 WITH named AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS base FROM image_files),
@@ -113,6 +145,7 @@ WITH seen AS (SELECT sensor, gpi, CAST(floor(unix / 86400) AS BIGINT) AS day, av
 every AS (SELECT sensor, gpi, unnest(range(min(day), max(day) + 1)) AS day FROM seen GROUP BY sensor, gpi)
 SELECT e.sensor, e.gpi, CAST(e.day AS INTEGER) AS day, s.day IS NULL AS missing, round(s.value, 6) AS observed FROM every e LEFT JOIN seen s USING (sensor, gpi, day)
 """,
+    "p1_fitted": fitted_sql(),
     "p2_found": FILES_SQL + r""",
 lines AS (SELECT file_id, reader_name, image_time, unnest(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM timed WHERE image_time IS NOT NULL),
 records AS (SELECT file_id, reader_name, image_time, CAST(split_part(line, ',', 1) AS BIGINT) AS gpi FROM lines WHERE regexp_matches(line, '^\d+,')),
