@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions.missing import present
-from loamline.operators.near import near_pairs
+from loamline.operators.near import by_place, near_pairs
 
 
 def paired(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -40,7 +40,14 @@ def scaled_to(df: DataFrame, value: str, reference: str, keys: list[str]) -> Dat
     return p.join(m, keys).withColumn("scaled", F.when(F.col("_s0") > 0, (F.col(value) - F.col("_m0")) / F.col("_s0") * F.col("_s1") + F.col("_m1"))).drop("_m0", "_s0", "_m1", "_s1")
 
 
-def area_mean(obs: DataFrame, grid: DataFrame, stations: DataFrame, station_id: str, radius_km: float, value: str) -> DataFrame:
-    """Mean of all grid points within a radius of each station by time."""
-    pairs = near_pairs(stations.withColumn("_radius", F.lit(float(radius_km))), grid, station_id, "gpi", "_radius").select(station_id, "gpi")
-    return obs.join(pairs, "gpi").groupBy(station_id, "time").agg(F.avg(present(F.col(value))).alias("mean"), F.count(present(F.col(value))).alias("n"))
+def area_mean(obs: DataFrame, grid: DataFrame, stations: DataFrame, station_id: str, radius_km: float, value: str, digits: int | None = None) -> DataFrame:
+    """Mean of all grid points within a radius of each station by time; rounded if ``digits`` is given.
+
+    Stations at one place have one mean: places are paired and summed up, and only the result is repeated for the stations."""
+    at, areas = by_place(stations, station_id, "_area")
+    points, spots = by_place(grid, "gpi", "_spot")
+    pairs = near_pairs(areas.withColumn("_radius", F.lit(float(radius_km))), spots, "_area", "_spot", "_radius").select("_area", "_spot")
+    means = obs.join(points.join(pairs, "_spot").select("gpi", "_area"), "gpi").groupBy("_area", "time").agg(F.avg(present(F.col(value))).alias("mean"), F.count(present(F.col(value))).alias("n"))
+    if digits is not None:
+        means = means.withColumn("mean", F.round("mean", digits))
+    return means.join(at, "_area").select(station_id, "time", "mean", "n")

@@ -269,6 +269,17 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, r
     return left.mapInArrow(search, f"`{left_id}` {kinds[left_id]}, `{right_id}` {dict(right.dtypes)[right_id]}, km double").distinct()
 
 
+def by_place(points: DataFrame, point_id: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(point_id, name), and (name, lat, lon) for ``near_pairs``: points at one place go by the least id there, a point with
+    several places by its own.  Rows without an id or a valid place fall out, repeated rows count once."""
+    rows = valid_points(points).where(F.col(point_id).isNotNull()).select(point_id, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).distinct()
+    ids = cut(rows.groupBy(point_id).agg(F.count(F.lit(1)).alias("_n"), F.min("lat").alias("lat"), F.min("lon").alias("lon")), "near-ids")
+    one, several = ids.where("_n = 1").drop("_n"), ids.where("_n > 1").select(point_id)
+    named = cut(one.groupBy("lat", "lon").agg(F.min(point_id).alias(name)), "near-places")
+    members = salted_join(one, named, ["lat", "lon"]).select(point_id, name).unionByName(several.withColumn(name, F.col(point_id)))
+    return members, named.select(name, "lat", "lon").unionByName(rows.join(several, point_id).select(F.col(point_id).alias(name), "lat", "lon"))
+
+
 # --- regions ------------------------------------------------------------------------------------------------------------
 
 

@@ -188,7 +188,7 @@ def radius_semi_join(spark, folder):
 
 @register(f"SELECT p.id, o.time, round(avg(o.value), 6) AS mean, count(o.value) AS n FROM (SELECT a.id, b.gpi FROM {STATION_SQL} a JOIN {GRID_SQL} b ON {KM} <= 300) p JOIN {OBS_SQL} o ON o.gpi = p.gpi GROUP BY p.id, o.time")
 def area_mean(spark, folder):
-    return agreement.area_mean(_obs(spark, folder).select("gpi", "time", "value"), _grid(spark, folder), _stations(spark, folder), "id", 300, "value").withColumn("mean", F.round("mean", 6))
+    return agreement.area_mean(_obs(spark, folder).select("gpi", "time", "value"), _grid(spark, folder), _stations(spark, folder), "id", 300, "value", 6)
 
 
 @register(f"SELECT DISTINCT a.id, b.n AS region FROM {STATION_SQL} a JOIN (SELECT n_name AS n, n_nationkey * 6.0 - 80 AS y, n_nationkey * 12.0 - 170 AS x FROM nation) b ON a.lat BETWEEN b.y AND b.y + 10 AND a.lon BETWEEN b.x AND b.x + 20")

@@ -4,7 +4,9 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from loamline.operators import agreement
 from loamline.operators.grid import nearest_point
 from loamline.operators.near import Tree, dual_tree, in_polygons, in_regions, near_pairs
 
@@ -40,6 +42,29 @@ def test_many_copies_of_a_place(spark):
         assert near_pairs(l.limit(0), r, "sid", "tid", "r", bound).count() == 0 and near_pairs(l, r.limit(0), "sid", "tid", "r", bound).count() == 0
 
 
+def test_area_mean_by_place(spark, monkeypatch):
+    pairs = []
+    monkeypatch.setattr(agreement, "near_pairs", lambda *a: pairs.append(near_pairs(*a)) or pairs[-1])
+    places = {0: (10.0, 20.0), 1: (10.0, 179.9), 2: (-60.0, 0.0)}
+    at = [(s, *places[s % 2]) for s in range(60)] + [(70, *places[0]), (70, *places[1])]  # the last has two places
+    points = [(g, places[g % 3][0] + 0.1, places[g % 3][1] - 0.2) for g in range(90)] + [(100, *places[1]), (100, *places[2]), (100, *places[2])]
+    seen = [(g, f"2020-01-0{1 + (g or 0) % 2}", None if g == 4 else float("nan") if g == 6 else (g or 0) / 7) for g in [*range(90), 100, 999, None]]
+    bad = [(900, None, 1.0), (901, float("nan"), 1.0), (902, 10.0, 361.0), (None, 10.0, 20.0)]
+    stations, grid = spark.createDataFrame(at + at[:5] + bad, "id int, lat double, lon double"), spark.createDataFrame(points + bad, "gpi long, lat double, lon double")
+    got = agreement.area_mean(spark.createDataFrame(seen, "gpi long, time string, value double").withColumn("time", F.col("time").cast("timestamp_ntz")), grid, stations, "id", 100, "value", 4)
+    expected = {}
+    for s in {s for s, *_ in at}:
+        near = {g for g, *q in points for i, *p in at if i == s and km(p, q) <= 100}
+        for g, day, v in seen:
+            if g in near:
+                expected.setdefault((s, day), []).extend([v] if v is not None and v == v else [])
+    expected = {k: (round(sum(v) / len(v), 4), len(v)) for k, v in expected.items()}
+    rows = got.collect()
+    assert got.columns == ["id", "time", "mean", "n"] and len(rows) == len(expected)
+    assert {(r.id, str(r.time)[:10]): (r["mean"], r.n) for r in rows} == expected
+    assert pairs[0].count() <= 7  # not one for each of 60 stations and 91 points
+
+
 def test_pairs_are_accepted_whole():
     """Nodes that lie well inside the reach are taken without a look at their points; undecided pairs stay few."""
     rnd = np.random.default_rng(3)
