@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import shutil
 import time
 import uuid
+from typing import BinaryIO
 
 from pyarrow import fs
 
@@ -33,12 +35,16 @@ def fetched(path: str, tries: int = TRIES) -> bytes:
     raise AssertionError("unreachable")
 
 
-def stored(path: str, content: bytes) -> None:
-    """Write a file under a name of its own and move it in place, so a task that runs twice leaves one whole file."""
+def stored(path: str, content: bytes | BinaryIO) -> None:
+    """Write a file, from bytes or what is open for reading, under a name of its own and move it in place, so a task that runs
+    twice leaves one whole file."""
     system, name = located(path)
     folder, _, base = name.rpartition("/")
     system.create_dir(folder, recursive=True)
     draft = f"{folder}/.{base}.{uuid.uuid4().hex}"
     with system.open_output_stream(draft) as f:
-        f.write(content)
+        if isinstance(content, bytes):
+            f.write(content)
+        else:
+            shutil.copyfileobj(content, f, 1 << 20)
     system.move(draft, name)

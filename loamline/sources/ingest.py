@@ -6,16 +6,15 @@ import re
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loamline.functions.cf import time_of
-from loamline.operators.grid import with_cells, within_box
+from loamline.operators.grid import infer_cellsize, with_cells, within_box
 from loamline.operators.uploads import Variable, data_names, upload_kind
 from loamline.session import EngineError
 from loamline.sources import netcdf3
 from loamline.sources.files import fetched, located, stored
-from loamline.sources.readers import read_stacks, read_zipped_csv
-from loamline.sources.writers import write_cells
+from loamline.sources.readers import read_stacks, read_zipped_table
+from loamline.sources.writers import write_by_cell, write_cells
 
 
 def netcdf_stack(spark: SparkSession, path: str, variables: list[str] | None = None) -> DataFrame:
@@ -48,11 +47,12 @@ def ingest_upload(spark: SparkSession, path: str, out: str, most_gb: float = 30)
                 if i.filename.lower().endswith((".nc", ".nc4")):
                     stored(f"{out}/{i.filename.rsplit('/', 1)[-1]}", z.read(i))
             return out
-    long = read_zipped_csv(spark, path)
-    names = sorted(r.variable for r in long.select("variable").distinct().collect())  # columns of the CSV files
-    wide = long.groupBy("gpi", "lat", "lon", "time").agg(*(F.max(F.when(F.col("variable") == n, F.col("value"))).alias(re.sub(r"[ ,;{}()\n\t=]", "_", n)) for n in names))
-    grid = with_cells(wide.select("gpi", "lat", "lon").distinct())
-    return write_cells(wide.drop("lat", "lon"), grid, out, overwrite=True)
+    table, names = read_zipped_table(spark, path)
+    if not names:
+        raise EngineError("the archive holds no numbers")
+    wide = table.toDF("gpi", "lat", "lon", "time", *(re.sub(r"[ ,;{}()\n\t=]", "_", n) for n in names))
+    size = infer_cellsize(wide.select("gpi", "lat", "lon").distinct())
+    return write_by_cell(with_cells(wide.where("time IS NOT NULL"), size).drop("lat", "lon"), out)
 
 
 def reshuffle(obs: DataFrame, grid: DataFrame, out: str, start=None, end=None, lon_min: float = -180, lat_min: float = -90, lon_max: float = 180, lat_max: float = 90) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import json
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -20,9 +22,9 @@ from loamline.functions.times import plus_seconds, time_in_name
 from loamline.operators.compaction import template_regex
 from loamline.operators.grid import land_only
 from loamline.operators.images import daily_mean, in_time, select_known, select_levels
-from loamline.session import EngineError, ship
+from loamline.session import EngineError, cut, ship
 from loamline.sources import netcdf3
-from loamline.sources.files import fetched
+from loamline.sources.files import fetched, located
 from loamline.sources.openers import OPENERS, RaggedOpener, StackOpener
 
 
@@ -199,21 +201,141 @@ def _one(regex: str, name: str) -> str:
     return found[0]
 
 
-def _unzip(wanted: int | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
+MEMBERS = "path string, name string, gpi long, lat double, lon double, start long, packed long, method int, crc long"
+ROWS_AT_ONCE, MEMBERS_A_TASK, BYTES_A_TASK = 50_000, 500, 4_000_000
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The CSV files of archives, by their directories alone; of files with one name the last counts."""
+    for batch in batches:
+        for path in batch["path"]:
+            system, place = located(path)
+            rows = []
+            with system.open_input_file(place) as f, zipfile.ZipFile(f) as z:
+                for name, i in sorted(z.NameToInfo.items()):
+                    if name.lower().endswith(".csv"):
+                        if i.flag_bits & 1:
+                            raise EngineError(f"{path}: {name} is encrypted")
                         base = name.rsplit("/", 1)[-1]
                         gpi, lat, lon = int(_one(r"gpi=([0-9]+)", base)), float(_one(r"lat=([-0-9.]+)(?=_|\.csv)", base).rstrip(".")), float(_one(r"lon=([-0-9.]+)(?=_|\.csv)", base).rstrip("."))
-                        if wanted is not None and gpi != wanted:
-                            continue
-                        table = pd.read_csv(z.open(name), index_col=0)
-                        times = pd.to_datetime(table.index, errors="coerce", format="mixed")
-                        long = table.apply(pd.to_numeric, errors="coerce").set_axis(range(len(table)), axis=0).stack().reset_index()
-                        long.columns = ["row", "variable", "value"]
-                        yield pd.DataFrame({"path": path, "gpi": gpi, "lat": lat, "lon": lon, "time": times[long["row"]], "variable": long["variable"].astype(str), "value": long["value"]})
+                        rows.append((path, name, gpi, lat, lon, i.header_offset, i.compress_size, i.compress_type, i.CRC))
+            yield pd.DataFrame(rows, columns=re.findall(r"(\w+) \w+", MEMBERS))
+
+
+def zip_members(spark: SparkSession, path: str, gpi: int | None = None) -> DataFrame:
+    """MEMBERS of the archives at ``path``, those of one place in one task, spread by what there is to unpack."""
+    ship(spark)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path").mapInPandas(_members, MEMBERS)
+    found = cut(found if gpi is None else found.where(F.col("gpi") == gpi), "members")
+    n, size = found.agg(F.count(F.lit(1)), F.sum("packed")).first()
+    return found.repartition(1 + n // MEMBERS_A_TASK + (size or 0) // BYTES_A_TASK, "gpi", "lat", "lon").sortWithinPartitions("gpi", "lat", "lon", "path", "name")
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Each member with its unpacked bytes; the archive's directory is not read again."""
+    open_path, f = None, None
+    try:
+        for batch in batches:
+            for m in batch.itertuples(index=False):
+                if m.path != open_path:
+                    if f:
+                        f.close()
+                    system, place = located(m.path)
+                    open_path, f = m.path, system.open_input_file(place)
+                if m.method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                    f.seek(m.start)
+                    head = f.read(30)
+                    f.seek(m.start + 30 + sum(struct.unpack("<HH", head[26:30])))
+                    raw = f.read(m.packed)
+                    content = raw if m.method == zipfile.ZIP_STORED else zlib.decompress(raw, -15)
+                    if head[:4] != b"PK\x03\x04" or zlib.crc32(content) != m.crc:
+                        raise EngineError(f"{m.path}: {m.name} is damaged")
+                else:
+                    with zipfile.ZipFile(f) as z:
+                        content = z.read(m.name)
+                yield m, content
+    finally:
+        if f:
+            f.close()
+
+
+def _series(content: bytes) -> tuple[pd.DatetimeIndex, list[str], np.ndarray]:
+    """Times, names and values of a CSV file; what is no time or number is missing."""
+    table = pd.read_csv(io.BytesIO(content), index_col=0)
+    times = pd.to_datetime(table.index, errors="coerce", format="mixed")
+    values = np.empty(table.shape)
+    for k in range(table.shape[1]):
+        column = table.iloc[:, k]
+        values[:, k] = column if column.dtype.kind in "iuf" else pd.to_numeric(column, errors="coerce")
+    return times, [str(c) for c in table.columns], values
+
+
+def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, n = [], 0
+    for m, content in _contents(batches):
+        times, names, values = _series(content)
+        row, k = np.nonzero(~np.isnan(values))
+        held.append(pd.DataFrame({"path": m.path, "gpi": m.gpi, "lat": m.lat, "lon": m.lon, "time": times[row], "variable": np.array(names, object)[k] if names else [], "value": values[row, k]}))
+        n += len(row)
+        if n >= ROWS_AT_ONCE:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: dict[bytes, list[str]] = {}
+    for _, content in _contents(batches):
+        line = content.split(b"\n", 1)[0]
+        if line.count(b'"') % 2:  # a name with a line break
+            line = content
+        if line not in seen:
+            seen[line] = [str(c) for c in pd.read_csv(io.BytesIO(line), index_col=0, nrows=0).columns]
+    yield pd.DataFrame({"variable": sorted({n for names in seen.values() for n in names})}, dtype=object)
+
+
+def _wide(names: list[str]):
+    """Rows (gpi, lat, lon, time, the variables), one for each place and time that has a number; the greatest where there are several."""
+    column = {n: k for k, n in enumerate(names)}
+    kinds = {"gpi": "int64", "lat": "float64", "lon": "float64"}
+
+    def whole(key: tuple, times: list, values: list) -> tuple:
+        t, v = np.concatenate(times), np.concatenate(values)
+        some = ~np.isnan(v).all(1)
+        t, v = t[some], v[some]
+        if len(np.unique(t)) < len(t):
+            table = pd.DataFrame(v).groupby(t, dropna=False).max()
+            t, v = table.index.to_numpy("datetime64[us]"), table.to_numpy()
+        return key, t, v
+
+    def frame(done: list[tuple]) -> pd.DataFrame:
+        n = [len(t) for _, t, _ in done]
+        out = {c: np.repeat(np.array([key[k] for key, _, _ in done], kind), n) for k, (c, kind) in enumerate(kinds.items())}
+        values = np.concatenate([v for _, _, v in done])
+        return pd.DataFrame(out | {"time": np.concatenate([t for _, t, _ in done])} | {f"v{k}": values[:, k] for k in range(len(names))})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, times, values, done, n = None, [], [], [], 0
+        for m, content in _contents(batches):
+            key = (m.gpi, m.lat, m.lon)
+            if key != at and times:
+                done.append(whole(at, times, values))
+                n += len(done[-1][1])
+                times, values = [], []
+                if n >= ROWS_AT_ONCE:
+                    yield frame(done)
+                    done, n = [], 0
+            t, own, v = _series(content)
+            all_of = np.full((len(t), len(names)), np.nan)
+            all_of[:, [column[c] for c in own]] = v
+            at = key
+            times.append(t.to_numpy("datetime64[us]"))
+            values.append(all_of)
+        if times:
+            done.append(whole(at, times, values))
+        if done:
+            yield frame(done)
 
     return run
 
@@ -222,11 +344,20 @@ def read_zipped_csv(spark: SparkSession, path: str, gpi: int | None = None) -> D
     """Zipped CSV series in long form: path, gpi, lat, lon, time, variable, value.
 
     Each CSV holds one location, its place is in the file name (gpi, lat and lon exactly once, else an error), and its
-    first column is the time.  Missing numbers are left out; archives are read in parallel.  With ``gpi`` only the file of that
-    location is unpacked."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(_unzip(gpi), "path string, gpi long, lat double, lon double, time timestamp_ntz, variable string, value double")
+    first column is the time.  Missing numbers are left out; the files of archives are read in parallel.  With ``gpi`` only the
+    file of that location is unpacked."""
+    return zip_members(spark, path, gpi).mapInPandas(_unzip, "path string, gpi long, lat double, lon double, time timestamp_ntz, variable string, value double")
+
+
+def read_zipped_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Zipped CSV series as one row per place and time, and the names of its further columns: the variables that have a number
+    at all.  The files are unpacked once for their headers and once for their rows, which are then stored."""
+    members = zip_members(spark, path)
+    names = sorted({r.variable for r in members.mapInPandas(_headers, "variable string").distinct().collect()})  # columns of the CSV files
+    types = "".join(f", v{k} double" for k in range(len(names)))
+    table = cut(nan_to_null(members.mapInPandas(_wide(names), f"gpi long, lat double, lon double, time timestamp_ntz{types}")), "unzipped")
+    held = table.agg(F.count(F.lit(1)), *(F.count(f"v{k}") for k in range(len(names)))).first()[1:]
+    return table.drop(*(f"v{k}" for k, n in enumerate(held) if not n)), [n for n, h in zip(names, held, strict=True) if h]
 
 
 def zip_metadata(content: bytes) -> dict:

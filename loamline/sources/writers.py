@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from loamline.operators.images import in_time
 from loamline.operators.sensors import class_counts, labelled, qualified
 from loamline.operators.series import transposed
 from loamline.session import EngineError, cut
-from loamline.sources.files import stored
+from loamline.sources.files import located, stored
 from loamline.sources.netcdf3 import encoded
 from loamline.sources.readers import read_cells
 
@@ -43,11 +45,15 @@ def write_cells(obs: DataFrame, grid: DataFrame, path: str, start=None, end=None
     if exists(obs, path) and not (overwrite or append):
         return read_cells(obs.sparkSession, path)
     cells = (grid if "cell" in grid.columns else with_cells(grid, cellsize)).select("gpi", "cell")
-    rows = in_time(obs.where(F.col(time).isNotNull()), start, end, time).drop("cell").join(cells, "gpi")
+    return write_by_cell(in_time(obs.where(F.col(time).isNotNull()), start, end, time).drop("cell").join(cells, "gpi"), path, append, time, files_per_cell)
+
+
+def write_by_cell(rows: DataFrame, path: str, append: bool = False, time: str = "time", files_per_cell: int | None = None) -> DataFrame:
+    """``write_cells`` for rows that have their cell."""
     rows = rows.repartition("cell", F.pmod(F.xxhash64("gpi"), F.lit(files_per_cell))) if files_per_cell else rows.hint("rebalance", "cell")
     rows = rows.sortWithinPartitions("cell", "gpi", time)
     rows.write.mode("append" if append else "overwrite").partitionBy("cell").parquet(path)
-    return read_cells(obs.sparkSession, path)
+    return read_cells(rows.sparkSession, path)
 
 
 def write_transposed(obs: DataFrame, variables: list[str], path: str) -> None:
@@ -156,33 +162,61 @@ def write_csv_series(obs: DataFrame, folder: str, name: str, variables: list[str
     return cut(obs.select("gpi", "lat", "lon", "time", *variables).groupBy("gpi").applyInPandas(save, "gpi long, file string, rows long"), "written")
 
 
-def _zipped(target: str, name: str, variables: list[str], metadata: str):
-    """Rows in the order of (gpi, time) into one archive, series by series, so no more than one is held."""
+def _zipped(folder: str, name: str, variables: list[str]):
+    """A task's rows in the order of (gpi, time) into an archive of its own, series by series, so no more than one is held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, target = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.part"
         with tempfile.TemporaryFile() as f:
             files, held = 0, []
 
             def close(z: zipfile.ZipFile) -> None:
-                table = pd.concat(held)
+                table = pd.concat(held) if len(held) > 1 else held[0]
                 first = table.iloc[0]
                 z.writestr(series_file(name, int(first.gpi), float(first.lat), float(first.lon)), table.set_index("time")[variables].to_csv())
 
             with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
                 for batch in batches:
-                    for _, part in batch.groupby("gpi", sort=False):
-                        if held and held[-1]["gpi"].iloc[0] != part["gpi"].iloc[0]:
+                    for _, rows in batch.groupby("gpi", sort=False):
+                        if held and held[-1]["gpi"].iloc[0] != rows["gpi"].iloc[0]:
                             close(z)
                             files, held = files + 1, []
-                        held.append(part)
+                        held.append(rows)
                 if held:
                     close(z)
                     files += 1
-                z.writestr("metadata.yml", metadata)
             f.seek(0)
             if files:
-                stored(target, f.read())
-        yield pd.DataFrame({"file": [target], "series": [files]})
+                stored(target, f)
+        yield pd.DataFrame({"part": [part], "file": [target], "series": [files]})
+
+    return run
+
+
+def _joined(target: str, parts: list[str], metadata: str):
+    """Archives into one: their files are copied as they lie there, compressed, and listed once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            with tempfile.TemporaryFile() as f:
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                    for part in parts:
+                        system, place = located(part)
+                        with system.open_input_file(place) as source, zipfile.ZipFile(source) as own:
+                            begin, left = f.tell(), own.start_dir
+                            source.seek(0)
+                            while left:
+                                f.write(piece := source.read(min(left, 1 << 20)))
+                                left -= len(piece)
+                            for info in own.infolist():
+                                info.header_offset += begin
+                                z.filelist.append(info)
+                                z.NameToInfo[info.filename] = info
+                        z.start_dir = f.tell()
+                    z.writestr("metadata.yml", metadata)
+                f.seek(0)
+                stored(target, f)
+            yield batch
 
     return run
 
@@ -191,15 +225,20 @@ def write_csv_dataset(
     obs: DataFrame, folder: str, name: str, variables: list[str], metadata: dict | None = None, stations: DataFrame | None = None, radius_km: float = 2.0, only: list[tuple[float, float]] | None = None
 ) -> str:
     """A zip of CSV series with metadata.yml; with ``stations``, or ``only`` some places, the series near one (ids keep their
-    numbers).  One task writes the archive, which is one file, series by series."""
+    numbers).  Tasks compress the series, in the order of gpi; one joins what they wrote into the archive, which is one file."""
     if stations is not None or only is not None:
         kept = target_points(obs.select("gpi", "lat", "lon").distinct(), stations, only, radius_km)
         obs = obs.join(kept.select("gpi"), "gpi", "left_semi")
     target = f"{folder}/{name}.zip"
     text = "".join(f"{json.dumps(str(k))}: {json.dumps(v, default=str)}\n" for k, v in (metadata or {}).items())  # JSON is YAML
-    rows = obs.select("gpi", "lat", "lon", "time", *variables).repartition(1).sortWithinPartitions("gpi", "time")
-    if not sum(r.series for r in rows.mapInPandas(_zipped(target, name, variables, text), "file string, series long").collect()):
+    parts = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    rows = obs.select("gpi", "lat", "lon", "time", *variables).repartitionByRange("gpi").sortWithinPartitions("gpi", "time")
+    made = sorted((r.part, r.file) for r in rows.mapInPandas(_zipped(parts, name, variables), "part int, file string, series long").where("series > 0").collect())
+    if not made:
         raise EngineError("no series to write")
+    obs.sparkSession.range(0, 1, 1, 1).mapInPandas(_joined(target, [file for _, file in made], text), "id long").collect()
+    system, place = located(parts)
+    system.delete_dir(place)
     return target
 
 

@@ -1,5 +1,7 @@
 """Files, openers, attributes, missions and series sources."""
 
+import os
+import zipfile
 from datetime import datetime
 from types import SimpleNamespace
 
@@ -12,6 +14,7 @@ from loamline.functions import cf
 from loamline.operators import images, sensors, series, swath, uploads
 from loamline.session import EngineError
 from loamline.sources import files, netcdf3, readers, writers
+from loamline.sources.ingest import ingest_upload
 from loamline.sources.openers import CsvOpener, NetCdfOpener, file_times, single_time
 
 T0 = datetime(2000, 1, 1)
@@ -180,6 +183,34 @@ def test_large_archives_are_written_series_by_series(spark, tmp_path):
         writers.write_csv_dataset(obs.limit(0), str(tmp_path), "none", ["v"])
 
 
+def test_archives_are_read_and_written_by_several_tasks(spark, tmp_path, partitions):
+    partitions(3)
+    obs = spark.range(2400).selectExpr("2 * (id % 1200) AS gpi", "0.5D AS lat", "(id % 1200) / 10D AS lon", "timestamp_ntz'2020-01-01 01:02:03' + make_dt_interval(CAST(id DIV 1200 AS INT)) AS time", "id AS v")
+    path = writers.write_csv_dataset(obs, str(tmp_path), "many", ["v"], {"a": 1})
+    assert os.listdir(tmp_path) == ["many.zip"]
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.namelist() == [*(f"many_gpi={2 * k}_lat=0.5_lon={k / 10}.csv" for k in range(1200)), "metadata.yml"]
+    back = readers.read_zipped_csv(spark, path)
+    assert back.rdd.getNumPartitions() > 1
+    assert {(r.gpi, r.lon, r.time.day, r.value) for r in back.collect()} == {(2 * (k % 1200), k % 1200 / 10, 1 + k // 1200, float(k)) for k in range(2400)}
+    assert [r.value for r in readers.read_zipped_csv(spark, path, 14).orderBy("time").collect()] == [7.0, 1207.0]
+    out = ingest_upload(spark, path, str(tmp_path / "cells"))
+    assert out.count() == 2400 and out.agg({"v": "sum"}).first()[0] == 2400 * 2399 / 2
+
+
+def test_upload_rows_of_places(spark, tmp_path):
+    head, times = "time,a b,none\n", ["2020-01-01", "2020-01-02 03:00:00"]
+    with zipfile.ZipFile(tmp_path / "u.zip", "w") as z:
+        z.writestr("x_gpi=1_lat=10.5_lon=20.0.csv", f"{head}{times[0]},1,\n{times[1]},,\nno time,7,\n", zipfile.ZIP_STORED)
+        z.writestr("d/y_gpi=1_lat=10.5_lon=20.0.csv", f"time,c,a b\n{times[0]},5,0.5\n{times[1]},x,3\n{times[1]},,4\n", zipfile.ZIP_DEFLATED)
+        z.writestr("x_gpi=1_lat=-60.0_lon=100.0.csv", f"{head}{times[0]},9,\n", zipfile.ZIP_BZIP2)
+        z.writestr("x_gpi=2_lat=0.0_lon=0.0.csv", f"{head}{times[0]},,\n", zipfile.ZIP_DEFLATED)
+    out = ingest_upload(spark, str(tmp_path / "u.zip"), str(tmp_path / "out"))
+    assert sorted(out.columns) == ["a_b", "c", "cell", "gpi", "time"]
+    rows = sorted((r.gpi, str(r.time), r.a_b, r.c or 0) for r in out.collect())
+    assert rows == [(1, "2020-01-01 00:00:00", 1.0, 5.0), (1, "2020-01-01 00:00:00", 9.0, 0), (1, "2020-01-02 03:00:00", 4.0, 0)]  # each place once
+
+
 def test_command_line_options(spark, tmp_path):
     from loamline import cli
 
